@@ -110,8 +110,13 @@ def _sort_parse(group: pd.DataFrame) -> pd.DataFrame:
     size = np.bincount(runs) if len(runs) else np.zeros(0, np.int64)
     whole = (size[runs] > 1) | (np.bincount(runs, e["twice"])[runs] > 0) if len(runs) else np.zeros(0, bool)
     of = np.cumsum(new_after) - 1
-    shared = (np.bincount(of)[of] > 1) | whole if len(runs) else whole
-    return pd.DataFrame({"uid": np.concatenate([e["doc"][shared], r["r_doc"]]), "at": np.concatenate([e["at"][shared], r["r_at"]]), "n": np.concatenate([e["n"][shared], r["r_n"]]), "whole": np.concatenate([whole[shared], np.ones(len(r["r_doc"]), bool)])})
+    if len(runs):
+        shared = (np.bincount(of)[of] > 1) | whole
+        again = whole & new & (np.bincount(of, shared & ~whole)[of] > 0)  # one of each repeat stands beside the ends that may hold parts of it
+    else:
+        shared = again = whole
+    pick = lambda k: np.concatenate([e[k][shared], e[k][again], r[f"r_{k}"]])
+    return pd.DataFrame({"uid": pick("doc"), "at": pick("at"), "n": pick("n"), "whole": np.concatenate([whole[shared], np.zeros(int(again.sum()), bool), np.ones(len(r["r_doc"]), bool)])})
 
 
 def _suffixes(parts: int, length: int):
