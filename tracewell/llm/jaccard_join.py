@@ -19,7 +19,7 @@ from .common import ASCII_LOWER, U64, SpanHash, components, find_words, mix, sav
 
 WORDS = 5
 #: Keys that a task compares at once, and distinct sets in a block.
-KEYS_A_TASK, BLOCK = 3_000_000, 4_000
+KEYS_A_TASK, BLOCK = 1_000_000, 4_000
 _STEPS = np.random.default_rng(11).integers(1, 2**62, 64, dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -248,7 +248,7 @@ def jaccard_components(docs: DataFrame, threshold: tuple[int, int] = (4, 5), blo
     bins = max(16, -(-(groups.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]) // 1_000_000))
     small = asked.join(groups.where(F.col("size") <= block), "root").select("doc_id", F.col("root").alias("grp"), F.pmod(F.xxhash64("root"), F.lit(bins)).alias("bin"), F.lit(0).alias("side"))
     placed = small.unionByName(_block_pairs(asked.join(groups.where(F.col("size") > block).select("root", "size"), "root"), num, den, block))
-    whole = docs.join(placed, "doc_id").dropDuplicates(["bin", "grp", "doc_id", "side"])
+    whole = docs.join(placed, "doc_id")
     links = save(whole.groupBy("bin").applyInPandas(_link_groups(num, den), "a long, b long"), "verified")
     linked = components(links)
 
