@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .jaccard_join import op9_jaccard_join
+from .line_dedup import LINE_DEDUP_SQL, op4_line_dedup
 from .repeats import op8_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op8_suffix_dedup, op9_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op4_line_dedup, op8_suffix_dedup, op9_jaccard_join)}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": LINE_DEDUP_SQL}
