@@ -123,14 +123,13 @@ def cutoffs(counts: list[tuple], alpha: float = ALPHA, delta: float = DELTA) ->
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The counts of each row, base_failed and kept, beside doc_id.
 
-    Strata are languages (null is one of its own) by length: under 200 words, under 1000, and longer. Cutoffs come from the counts of all labelled rows, by
+    Strata are languages; null is one of its own. Cutoffs come from the counts of all labelled rows, by
     stratum, rule and step; rows whose label is null take no part, and a stratum with too few labels for any bound rejects nothing but what fails the base.
     A null text has no words. Rows that repeat are judged each."""
     seen = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).mapInArrow(_measure, "doc_id long, lang string, " + ", ".join(f"{c} long" for c in _COUNTS)), "measures")
-    length = F.when(F.col("n_words") < 200, "short").when(F.col("n_words") < 1000, "middle").otherwise("long")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     step = lambda m: F.greatest(F.lit(0), F.least(F.lit(STEPS), F.floor(m * STEPS))).cast("int")
-    seen = seen.withColumn("stratum", F.concat_ws("/", F.coalesce("lang", F.lit("?")), length)).withColumn("base_failed", failed)
+    seen = seen.withColumn("stratum", F.coalesce("lang", F.lit("?"))).withColumn("base_failed", failed)
     known = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).alias("good"))
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), step(m).alias("step")) for k, m in rules().items()]))
     labelled = seen.where("not base_failed").join(known, "doc_id").select("stratum", "good", (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("chooses"), each.alias("r"))
