@@ -106,7 +106,7 @@ def cutoffs(counts: list[tuple], alpha: float = ALPHA, delta: float = DELTA) ->
     proposed = {}
     for key, t in beyond.items():
         gain = t[1, 0] - LIFT * t[1, 1]
-        best = 1 + int(np.argmax(gain[1:]))  # a cutoff of nothing would reject all
+        best = STEPS - int(np.argmax(gain[:0:-1]))  # the laxest of equals; a cutoff of nothing would reject all
         if gain[best] > 0:
             proposed[key] = best
     out = {}

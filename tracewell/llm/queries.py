@@ -6,8 +6,10 @@ from .decontam import op7_decontamination
 from .jaccard_join import op9_jaccard_join
 from .line_dedup import LINE_DEDUP_SQL, op4_line_dedup
 from .packing import op1_best_fit_packing
+from .pii import op6_pii
 from .quality import op10_quality_rules
 from .repeats import op8_suffix_dedup
+from .toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_line_dedup, op7_decontamination, op8_suffix_dedup, op9_jaccard_join, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op4_line_dedup, op6_pii, op7_decontamination, op8_suffix_dedup, op9_jaccard_join, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": LINE_DEDUP_SQL}
