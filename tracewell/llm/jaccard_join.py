@@ -1,6 +1,6 @@
 """N-gram Jaccard join: exact links between documents whose sets of word shingles are alike.
 
-Sets that can link differ in few members, so of enough disjoint parts of their members at least one part is equal and not empty. Documents that share a part
+Sets that can link differ in few members, so of enough disjoint parts of their members some are equal and not empty. Documents that share one of their rarest parts
 are candidates; each group of candidates becomes a signature tree, whose nodes hold the OR of their sets' bitmaps and their range of sizes, and a traversal
 of node pairs prunes those whose largest possible overlap is too small. What is left is verified on the whole sets.
 """
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, U64, SpanHash, components, find_words, mix, save, text_slices
@@ -51,25 +51,28 @@ def _classes(n: int, num: int, den: int) -> list[tuple[int, int]]:
     return [(k, (2**k - 1) * 2 * (den - num) // (den + num)) for k in ([j, j + 1] if n * den >= num * 2**j else [j])]
 
 
-def part_keys(members: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of which two linked sets share at least one.
+def part_keys(members: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, int, int]]:
+    """Lists of keys, each with its number and how many of its rarest keys hold one that any linked set has as well, if its other keys are in no other set.
 
-    Linked sets differ in at most d members, so if more than d parts of one are not empty, one of these is equal in both. A set with fewer such parts adds
-    its smallest members instead: of these linked sets share one as well, whichever way the partner's parts fell."""
-    n, keys = len(members), []
+    A set and any linked one differ in at most `own` members. Parted alike, of the m parts of the set that are not empty at least m - own are then equal in
+    both, and of any own + 1 of its keys one is a key of the partner; both keep such a key if both keep their own + 1 rarest. A set with m <= own lists
+    its smallest members too: of these, two sets that both do so share one."""
+    n, out = len(members), []
     if not n:
-        return members
+        return out
+    own, weak = (n + n * den // num) * (den - num) // (den + num), False
     for j, d in _classes(n, num, den):
-        parts = d * 13 // 10 + 2
+        parts = d * 3 // 2 + 2
         part = (mix(members ^ U64(0x9E3779B97F4A7C15 * (j + 1) & (2**64 - 1))) >> U64(16)) % U64(parts)
         order = np.argsort(part, kind="stable")
         part = part[order]
         edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         sums = np.add.reduceat(mix(members[order] + U64(j)), edge)
-        keys.append(mix(sums + part[edge] * _STEPS[40] + U64(j) * _STEPS[41]))
-        if len(edge) <= d:
-            keys.append(mix(members[: n - (n * num + den - 1) // den + 1] + _STEPS[42]))
-    return np.concatenate(keys)
+        out.append((mix(sums + part[edge] * _STEPS[40] + _STEPS[j % 40]), j % 2, own + 1 - len(edge)))
+        weak |= len(edge) <= own
+    if weak:
+        out.append((mix(members[: n - (n * num + den - 1) // den + 1] + _STEPS[42]), 2, 1 << 30))
+    return out
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,43 +84,51 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_shingles", "k1", "k2"])
 
 
-def _first_of_runs(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where each key's first row is, and the distinct pairs of that row's document and each other document with the key."""
-    order = np.argsort(keys, kind="stable")
-    new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
-    first = order[new]
-    hub = docs[first][np.cumsum(new) - 1]
-    other = docs[order]
-    pairs = np.unique(np.stack([hub, other], 1)[hub != other], axis=0)
-    return np.sort(first), pairs[:, 0], pairs[:, 1]
+_ROW = {"keys": np.uint64, "docs": np.int64, "list": np.int8, "spare": np.int32}
 
 
 def _messages(parts: int, num: int, den: int):
+    """Keys as one message for each part of their range. Of equal sets in a slice the smallest doc_id speaks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, starts in text_slices(batches):
-            sets = [part_keys(s, num, den) for s in shingle_sets(data, starts)]
-            docs = np.repeat(np.asarray(rows.column("doc_id")), [len(s) for s in sets])
-            keys = np.concatenate([np.zeros(0, np.uint64), *sets])
-            if not len(keys):
+            sets: dict[bytes, tuple[int, np.ndarray]] = {}
+            for doc, s in zip(rows.column("doc_id").to_pylist(), shingle_sets(data, starts), strict=True):
+                if len(s) and doc <= sets.get(name := s.tobytes(), (doc,))[0]:
+                    sets[name] = doc, s
+            lists = [(doc, *x) for doc, s in sets.values() for x in part_keys(s, num, den)]
+            if not lists:
                 continue
-            first, a, b = _first_of_runs(keys, docs)
-            keys, docs = keys[first], docs[first]
-            part = (keys >> U64(40)) % U64(parts)
+            sizes = [len(x[1]) for x in lists]
+            row = {"keys": np.concatenate([x[1] for x in lists])} | {k: np.repeat(np.array([x[i] for x in lists], _ROW[k]), sizes) for k, i in (("docs", 0), ("list", 2), ("spare", 3))}
+            part = (row["keys"] >> U64(40)) % U64(parts)
             order = np.argsort(part, kind="stable")
             cut = np.searchsorted(part[order], np.arange(parts + 1))
-            out = [(p, keys[o].tobytes(), docs[o].tobytes()) for p in range(parts) if len(o := order[cut[p] : cut[p + 1]])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary()), pa.array([a.tobytes()] + [b""] * (len(out) - 1), pa.binary()), pa.array([b.tobytes()] + [b""] * (len(out) - 1), pa.binary())],
-                ["part", "keys", "docs", "a", "b"],
-            )
+            used = [p for p in range(parts) if cut[p] < cut[p + 1]]
+            yield pa.RecordBatch.from_pydict({"part": pa.array(used, pa.int32())} | {k: pa.array([v[order[cut[p] : cut[p + 1]]].tobytes() for p in used], pa.binary()) for k, v in row.items()})
 
     return run
 
 
 def _meet(group: pd.DataFrame) -> pd.DataFrame:
-    keys, docs = (np.frombuffer(b"".join(group[c]), t) for c, t in (("keys", np.uint64), ("docs", np.int64)))
-    _, a, b = _first_of_runs(keys, docs)
-    return pd.DataFrame({"a": np.concatenate([a, np.frombuffer(b"".join(group["a"]), np.int64)]), "b": np.concatenate([b, np.frombuffer(b"".join(group["b"]), np.int64)])})
+    """The keys of more than one document, and how many have them."""
+    row = {k: np.frombuffer(b"".join(group[k]), t) for k, t in _ROW.items()}
+    order = np.argsort(row["keys"], kind="stable")
+    new = np.concatenate([[True], row["keys"][order][1:] != row["keys"][order][:-1]])
+    size = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+    on = order[size > 1]
+    return pd.DataFrame({"key": row["keys"][on].view(np.int64), "doc": row["docs"][on], "list": row["list"][on].astype(np.int32), "spare": row["spare"][on], "df": size[size > 1].astype(np.int32)})
+
+
+def _candidates(docs: DataFrame, parts: int, num: int, den: int) -> DataFrame:
+    """Links between documents that share one of the rarest keys of both, in the form of stars."""
+    messages = docs.mapInArrow(_messages(parts, num, den), "part int, keys binary, docs binary, list binary, spare binary")
+    shared = messages.groupBy("part").applyInPandas(_meet, "key long, doc long, list int, spare int, df int")
+    own = Window.partitionBy("doc", "list")
+    ranked = shared.withColumn("rank", F.row_number().over(own.orderBy("df", "key"))).withColumn("all", F.count("*").over(own))
+    kept = save(ranked.where(F.col("rank") <= F.col("spare") + F.col("all")).select("key", "doc"), "rare-keys")
+    hubs = kept.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("far")).where("hub <> far").select("key", "hub")
+    return kept.join(hubs, "key").where("doc <> hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct()
 
 
 class _Tree:
@@ -238,9 +249,7 @@ def jaccard_components(docs: DataFrame, threshold: tuple[int, int] = (4, 5), blo
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     parts = max(16, -(-total * 6 // 10 // KEYS_A_TASK))
 
-    messages = docs.where("doc_id is not null").mapInArrow(_messages(parts, num, den), "part int, keys binary, docs binary, a binary, b binary")
-    edges = messages.groupBy("part").applyInPandas(_meet, "a long, b long")
-    near = components(edges)
+    near = components(_candidates(docs.where("doc_id is not null"), parts, num, den))
 
     reps = some.join(same, ["n_shingles", "k1", "k2"]).where("doc_id = rep").groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
     asked = save(reps.join(near.withColumnRenamed("node", "doc_id"), "doc_id"), "candidates")
