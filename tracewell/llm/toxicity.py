@@ -12,6 +12,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +21,10 @@ from .common import SLICE_BYTES
 
 #: Symbols of a subsequence, what a skipped symbol leaves of the weight, the most symbols skipped, landmarks, and labelled texts of each label to learn from
 #: (those of least hash, whole), of MAX_CHARS code points together.
-LENGTH, DECAY, GAPS, LANDMARKS, SAMPLE, MAX_CHARS = 4, 0.5, 2, 256, 2_500, 12_000_000
-#: Distinct clean words in the first training, and rounds in which witnesses and hard clean fragments are named anew.
-CLEAN_WORDS, ROUNDS = 30_000, 5
+LENGTH, DECAY, GAPS, LANDMARKS, SAMPLE, MAX_CHARS = 4, 0.5, 2, 256, 2_500, 8_000_000
+#: Distinct clean words in the first training, rounds in which witnesses and hard clean fragments are named anew, and a
+#: toxic text's fragments of highest odds, of which one is its witness.
+CLEAN_WORDS, ROUNDS, BAG = 30_000, 5, 20
 CODES = 32**LENGTH
 PATTERNS = [(a, b, c, DECAY ** (c - 3)) for c in range(3, 6) for b in range(2, c) for a in range(1, b) if c - 3 <= GAPS]
 
@@ -184,7 +186,8 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     root = vector[:, value > 1e-4] / np.sqrt(value[value > 1e-4])
     features = lambda some: (_features(some, landmarks)[0] / scale[None, :]) @ root
 
-    bags = [sorted(w for w in own_words if odds[w] > 0) for own_words, t in zip(pieces, toxic, strict=True) if t]
+    likely = lambda some: sorted((w for w in some if odds[w] > 0), key=lambda w: (-odds[w], w))[:BAG]
+    bags = [likely(own_words) for own_words, t in zip(pieces, toxic, strict=True) if t]
     bags = [b for b in bags if b]
     clean = sorted(seen[0], key=lambda w: zlib.crc32(w.encode()))[:CLEAN_WORDS]
     hard: dict[str, int] = {}
@@ -233,8 +236,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, where: str =
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id")
     size = rows.agg(F.coalesce(F.avg(F.length("text")), F.lit(0.0))).first()[0]
     each = max(1, min(sample, int(MAX_CHARS / 2 / max(1.0, size))))
-    best = [r for t in (0, 1) for r in rows.where(F.col("toxic") == t).where(F.length("text") <= MAX_CHARS // 40).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(each).collect()]
-    return fit([r.text for r in best], [int(r.toxic) for r in best])
+    best = [rows.where(F.col("toxic") == t).where(F.length("text") <= MAX_CHARS // 40).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(each) for t in (0, 1)]
+
+    def learn(sample: pd.DataFrame) -> pd.DataFrame:
+        m = fit(sample["text"].tolist(), sample["toxic"].astype(int).tolist())
+        return pd.DataFrame([(m.table.tobytes(), m.bias, list(m.calibration))], columns=["table", "bias", "calibration"])
+
+    # the sample is bounded, so one task learns from it, and the driver sees the weights alone
+    found = best[0].union(best[1]).groupBy(F.lit(0)).applyInPandas(learn, "table binary, bias double, calibration array<double>").first()
+    return Model(np.frombuffer(found.table, np.float32), found.bias, tuple(found.calibration)) if found else fit([], [])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
