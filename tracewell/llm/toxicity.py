@@ -243,7 +243,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, where: str =
         return pd.DataFrame([(m.table.tobytes(), m.bias, list(m.calibration))], columns=["table", "bias", "calibration"])
 
     # the sample is bounded, so one task learns from it, and the driver sees the weights alone
-    found = best[0].union(best[1]).groupBy(F.lit(0)).applyInPandas(learn, "table binary, bias double, calibration array<double>").first()
+    found = best[0].union(best[1]).select("text", "toxic", F.lit(0).alias("all")).groupBy("all").applyInPandas(learn, "table binary, bias double, calibration array<double>").first()
     return Model(np.frombuffer(found.table, np.float32), found.bias, tuple(found.calibration)) if found else fit([], [])
 
 
