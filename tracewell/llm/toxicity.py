@@ -233,17 +233,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, where: str =
     """Learn from up to `sample` labelled texts of each label that meet `where`: those of least hash, whole, as far as they hold MAX_CHARS code points.
     Null labels and texts take no part."""
     known = labels.where("toxic in (0, 1)").where(where).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id")
-    size = rows.agg(F.coalesce(F.avg(F.length("text")), F.lit(0.0))).first()[0]
+    docs = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select("doc_id", F.length("text").alias("n")).join(known, "doc_id")  # texts take no part in the choice
+    size = rows.agg(F.coalesce(F.avg("n"), F.lit(0.0))).first()[0]
     each = max(1, min(sample, int(MAX_CHARS / 2 / max(1.0, size))))
-    best = [rows.where(F.col("toxic") == t).where(F.length("text") <= MAX_CHARS // 40).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(each) for t in (0, 1)]
+    ids = [rows.where(F.col("toxic") == t).where(F.col("n") <= MAX_CHARS // 40).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each).select("doc_id", "toxic") for t in (0, 1)]
+    chosen = docs.join(F.broadcast(ids[0].union(ids[1])), "doc_id")  # 2 * sample rows at most
 
     def learn(sample: pd.DataFrame) -> pd.DataFrame:
+        sample = sample.sort_values(["toxic", "text"])
         m = fit(sample["text"].tolist(), sample["toxic"].astype(int).tolist())
         return pd.DataFrame([(m.table.tobytes(), m.bias, list(m.calibration))], columns=["table", "bias", "calibration"])
 
     # the sample is bounded, so one task learns from it, and the driver sees the weights alone
-    found = best[0].union(best[1]).select("text", "toxic", F.lit(0).alias("all")).groupBy("all").applyInPandas(learn, "table binary, bias double, calibration array<double>").first()
+    found = chosen.select("text", "toxic", F.lit(0).alias("all")).groupBy("all").applyInPandas(learn, "table binary, bias double, calibration array<double>").first()
     return Model(np.frombuffer(found.table, np.float32), found.bias, tuple(found.calibration)) if found else fit([], [])
 
 
