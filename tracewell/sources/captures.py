@@ -35,8 +35,8 @@ def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out.append((path, len(out), seconds + part / ticks, wire, data[at + 16 : at + 16 + held]))
                 at += 16 + held
                 if len(out) % 20_000 == 0:
-                    yield pd.DataFrame(out[-20_000:], columns=_names(FRAME_SCHEMA))
-            yield pd.DataFrame(out[len(out) // 20_000 * 20_000 :], columns=_names(FRAME_SCHEMA))
+                    yield pd.DataFrame(out[-20_000:], columns=_names(FRAME_SCHEMA), dtype=object)
+            yield pd.DataFrame(out[len(out) // 20_000 * 20_000 :], columns=_names(FRAME_SCHEMA), dtype=object)
 
 
 def _names(schema: str) -> list[str]:
@@ -112,7 +112,7 @@ def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             p = decode_frame(bytes(frame or b""), int(wire))
             if p:
                 out.append(p | {"packet_id": pid, "ts": ts})
-        rows = pd.DataFrame(out, columns=_COLUMNS)
+        rows = pd.DataFrame(out, columns=_COLUMNS, dtype=object)
         yield rows.astype(dict.fromkeys(("sport", "dport", "dns_qtype", "arp_op"), "Int32"))
 
 

@@ -44,7 +44,7 @@ class Sorted(StatefulProcessor):
         self.held = handle.getListState("held", "row binary")
         self.fold = handle.getValueState("fold", "state binary")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         import pickle
 
         for batch in rows:
@@ -56,11 +56,11 @@ class Sorted(StatefulProcessor):
                 self.handle.registerTimer(ts)
         yield pd.DataFrame(columns=self.out)
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         import pickle
         from types import SimpleNamespace
 
-        now = expired.getExpiryTimeInMs() / 1000
+        now = expiredTimerInfo.getExpiryTimeInMs() / 1000
         rows = [pickle.loads(bytes(r[0])) for r in self.held.get()]
         due = sorted((r for r in rows if r[0] < now), key=lambda r: r[:2])
         fold = pickle.loads(bytes(self.fold.get()[0])) if self.fold.exists() else self.make()
