@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, save
 
-#: Bytes of payload in an archive; the widest gap that a read covers for the sake of one range; bytes of a range.
+#: Bytes of an archive; the widest gap that a read covers for the sake of one range; bytes of a range.
 ARCHIVE_BYTES, GAP, RANGE_BYTES = 64_000_000, 65_536, 4_000_000
 #: A multiple of any date would do; pages have none.
 _DATE = "1970-01-01T00:00:00Z"
@@ -28,7 +31,7 @@ _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
 def _plan(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """A row for each record: its headers and its length, and what the index tells of it. Payloads take part by digest and size alone."""
+    """A row for each record: its headers, and what the index tells of it. Payloads take part by digest and size alone."""
     rows = pages.select("row", "page_id", "url", F.octet_length("html").cast("long").alias("payload_bytes"), base32_sha1(F.col("html")).alias("payload_digest"))
     rows = save(rows.dropDuplicates(["row"]), "digests")
     first = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("first"))
@@ -55,7 +58,7 @@ def _plan(pages: DataFrame, min_bytes: int) -> DataFrame:
         F.concat(F.lit("Content-Length: "), body.cast("string")),
     ]
     rows = rows.withColumn("head", F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n" + _HTTP)))
-    return save(rows.withColumn("length", F.octet_length("head") + F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0) + 4), "records")
+    return save(rows, "records")
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
@@ -64,28 +67,53 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame
 
     Of records with equal payloads of at least min_bytes, that of the largest page_id holds it and others revisit it; a null html is empty. Rows of unlike urls that
     share the largest page_id all hold it; rows equal in all three columns are one record. A null page_id is written as such and revisits nothing.
-    Control characters of a url are percent-encoded; a null one is a urn. Archives are written by Spark's own text writer, a record a line, so a task
-    that is tried again leaves no half of a file behind."""
-    spark = pages.sparkSession
+    Control characters of a url are percent-encoded; a null one is a urn. Each record is a gzip member of its own, as WARC readers expect, so offset and length
+    are those of the member. A task writes files of new names and tells the index of them: of a task that is tried again, the index has the files of
+    the attempt that ended well alone, and no file is ever written twice."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")))).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     pages = pages.withColumn("row", F.xxhash64("page_id", "url", "html"))
-    plan = _plan(pages, min_bytes)
-    total = plan.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-    archives = max(1, -(-total // ARCHIVE_BYTES), spark.sparkContext.defaultParallelism)
-
-    # an archive is a partition by `row`, in order of row: for the records with their payloads as for the index without
-    dealt = lambda df: df.repartition(archives, "row").withColumn("archive", F.spark_partition_id())
-    rows = dealt(pages.select("row", "html")).join(plan.select("row", "head", "record_type").repartition(archives, "row"), "row")
+    rows = pages.select("row", "html").join(_plan(pages, min_bytes), "row")
     rows = rows.withColumn("again", F.row_number().over(Window.partitionBy("row").orderBy("row"))).where("again = 1")
-    value = F.concat("head", F.when(F.col("record_type") == "response", F.col("html")).otherwise(""))
-    rows.sortWithinPartitions("archive", "row").select("archive", value.alias("value")).write.partitionBy("archive").option("lineSep", "\r\n\r\n").text(f"{path}/archives")
-
-    files = spark.read.format("binaryFile").load(f"{path}/archives").select(F.col("archive").cast("int").alias("archive"), F.col("path").alias("file")) if total else None
-    before = Window.partitionBy("archive").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    index = dealt(plan).withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)))
-    index = index.join(files, "archive") if files is not None else index.withColumn("file", F.lit(""))
-    index.select("page_id", "url", "file", "offset", "length", "payload_digest", "payload_bytes", "record_type", "refers_to").write.parquet(f"{path}/index")
-    return spark.read.parquet(f"{path}/index")
+    rows = rows.select(*_KEPT, F.col("head").cast("binary").alias("head"), F.when(F.col("record_type") == "response", F.col("html")).otherwise("").cast("binary").alias("body"))
+    index = rows.mapInArrow(_writer(f"{path}/archives"), _INDEX)
+    index.write.parquet(f"{path}/index")
+    return pages.sparkSession.read.schema(_INDEX).parquet(f"{path}/index")
+
+
+_KEPT = ["page_id", "url", "payload_digest", "payload_bytes", "record_type", "refers_to"]
+_INDEX = "page_id long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long, file string, offset long, length long"
+
+
+def _writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes heads and bodies, a record after another, to files of about ARCHIVE_BYTES in folder; gives the other columns and each record's place."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        out, file, offset = None, "", 0
+        try:
+            for batch in batches:
+                places = []
+                for head, body in zip(batch.column("head"), batch.column("body"), strict=True):
+                    if out is None or offset >= ARCHIVE_BYTES:
+                        if out:
+                            out.close()
+                        file, offset = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0
+                        fs, at = FileSystem.from_uri(file)
+                        fs.create_dir(at.rpartition("/")[0])
+                        out = fs.open_output_stream(at, compression=None)
+                    member = gzip.compress(head.as_py() + body.as_py() + b"\r\n\r\n", 6, mtime=0)
+                    out.write(member)
+                    places.append((file, offset, len(member)))
+                    offset += len(member)
+                files, offsets, lengths = zip(*places, strict=True) if places else ((), (), ())
+                columns = [*(batch.column(c) for c in _KEPT), pa.array(files, pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, [*_KEPT, "file", "offset", "length"])
+        finally:
+            if out:
+                out.close()
+
+    return write
 
 
 def parse_record(record: bytes) -> dict:
@@ -113,7 +141,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 data = f.read_at(end - start, start)
             out = []
             for r in records:
-                x = parse_record(data[r["offset"] - start : r["offset"] - start + r["length"]])
+                x = parse_record(gzip.decompress(data[r["offset"] - start : r["offset"] - start + r["length"]]))
                 held = x["WARC-Type"] == "response"
                 out.append((number(x["WARC-Record-ID"]), x["WARC-Target-URI"], x["payload"].decode() if held else None, int(x["X-Payload-Length"]), x["WARC-Payload-Digest"][5:], x["WARC-Type"], number(x.get("WARC-Refers-To"))))
             table = pd.DataFrame(out, columns=["page_id", "url", "html", "payload_bytes", "payload_digest", "record_type", "refers_to"])
