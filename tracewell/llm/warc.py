@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import new_path, save
 
-#: Bytes of an archive; the widest gap that a read covers for the sake of one range; bytes of a range.
-ARCHIVE_BYTES, GAP, RANGE_BYTES = 64_000_000, 65_536, 4_000_000
+#: Bytes of an archive; the widest gap that a read covers for the sake of one range; bytes of a range, and of the ranges of a task.
+ARCHIVE_BYTES, GAP, RANGE_BYTES, TASK_BYTES = 64_000_000, 65_536, 1_000_000, 64_000_000
 #: A multiple of any date would do; pages have none.
 _DATE = "1970-01-01T00:00:00Z"
 _HEX32, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -155,7 +155,10 @@ def read_records(index: DataFrame) -> DataFrame:
     end = F.max(F.col("offset") + F.col("length")).over(place.rowsBetween(Window.unboundedPreceding, -1))
     rows = index.select("file", "offset", "length").withColumn("apart", (F.col("offset") - F.coalesce(end, F.lit(0)) > GAP).cast("int"))
     rows = rows.withColumn("near", F.sum("apart").over(place.rowsBetween(Window.unboundedPreceding, 0)))
-    ranges = rows.groupBy("file", "near", F.floor(F.col("offset") / RANGE_BYTES)).agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("records"))
+    ranges = rows.groupBy("file", "near", F.floor(F.col("offset") / RANGE_BYTES).alias("block")).agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("records"))
+    # places are small beside what they stand for, so tasks are dealt by the bytes to read
+    total = rows.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    ranges = ranges.repartition(max(-(-total // TASK_BYTES), index.sparkSession.sparkContext.defaultParallelism), "file", "near", "block")
     return ranges.select("file", "records").mapInPandas(_read, "page_id long, url string, html string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
