@@ -129,8 +129,8 @@ def _features(words: list[str], landmarks: list[str]) -> np.ndarray:
     for (c, j), v in psi.items():
         own[row[c], j] = v
     out = np.zeros((len(words), len(landmarks)), np.float32)
-    for lo in range(0, len(words), 20_000):
-        part = words[lo : lo + 20_000]
+    for lo in range(0, len(words), 2_000):  # a kilobyte of products for each subsequence of these
+        part = words[lo : lo + 2_000]
         s = join(part)
         lengths = np.array([len(w) for w in part])
         of = np.concatenate([[0], np.repeat(np.arange(len(part)), lengths + 7)])[: len(s) - 6]
@@ -139,7 +139,7 @@ def _features(words: list[str], landmarks: list[str]) -> np.ndarray:
             if len(hit):
                 first = np.concatenate([[True], of[hit][1:] != of[hit][:-1]])
                 out[lo + of[hit][first]] += np.add.reduceat(own[row[code[hit]]], np.flatnonzero(first)) * np.float32(weight)
-        out[lo : lo + 20_000] /= norms(lengths)[:, None]
+        out[lo : lo + 2_000] /= norms(lengths)[:, None]
     return out, own, np.array(codes)
 
 
