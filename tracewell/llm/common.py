@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -48,6 +49,14 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task, as Spark keeps its Python workers for other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library alone
+    if trim:
+        trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Parts of the batches with at most limit bytes of text each: the rows, their UTF-8 bytes end to end, and where each starts (one more for the end).
     Null texts are empty."""
@@ -61,6 +70,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             total += n
         if lo < batch.num_rows:
             yield _arrays(batch.slice(lo), column)
+    give_back()
 
 
 def _lengths(texts: pa.Array) -> np.ndarray:

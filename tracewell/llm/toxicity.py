@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES
+from .common import give_back
 
 #: Symbols of a subsequence, what a skipped symbol leaves of the weight, the most symbols skipped, landmarks, and labelled texts of each label to learn from
 #: (those of least hash, whole), of MAX_CHARS code points together.
@@ -143,15 +143,19 @@ def _features(words: list[str], landmarks: list[str]) -> np.ndarray:
     return out, own, np.array(codes)
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.3) -> np.ndarray:
-    """A linear machine with squared hinge loss by Newton's steps; the last value is the bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    penalty = np.diag([*[ridge] * (x.shape[1] - 1), 1e-6])
+def _svm(sides: list[tuple[np.ndarray, float, float]], ridge: float = 0.3) -> np.ndarray:
+    """A linear machine with squared hinge loss by Newton's steps; the last value is the bias. sides: rows with the label and the weight that they share."""
+    size = sides[0][0].shape[1] + 1
+    w = np.zeros(size)
     for _ in range(12):
-        on = y * (x @ w) < 1
-        a = x[on] * weight[on, None]
-        w = np.linalg.solve(a.T @ x[on] + penalty, a.T @ y[on])
+        left, right = np.diag([*[ridge] * (size - 1), 1e-6]), np.zeros(size)
+        for rows, y, weight in sides:
+            for lo in range(0, len(rows), 4_000):  # these rows alone are held in full precision
+                x = np.hstack([rows[lo : lo + 4_000], np.ones((len(rows[lo : lo + 4_000]), 1))])
+                x = x[y * (x @ w) < 1]
+                left += weight * (x.T @ x)
+                right += weight * y * x.sum(0)
+        w = np.linalg.solve(left, right)
     return w
 
 
@@ -168,10 +172,13 @@ def _words(text: str) -> set[str]:
 def fit(texts: list[str], toxic: list[int]) -> Model:
     """Learn from whole texts with a label each. A toxic text is a bag of sentences of which at least one is toxic; which fragment of which sentence convicts it
     is found by turns: the machine names each bag's fragment of largest score and each clean text's worst one, and is trained anew."""
-    pieces, seen = [_words(t) for t in texts], [{}, {}]
-    for own, t in zip(pieces, toxic, strict=True):
+    pieces, seen = [], [{}, {}]
+    for text, t in zip(texts, toxic, strict=True):
+        own = _words(text)
         for w in own:
             seen[t][w] = seen[t].get(w, 0) + 1
+        if t:
+            pieces.append(own)
     n = [max(1, toxic.count(0)), max(1, toxic.count(1))]
     odds = {w: np.log((k + 0.05) / n[1]) - np.log((seen[0].get(w, 0) + 0.5) / n[0]) for w, k in seen[1].items()}
     if not odds or not seen[0]:
@@ -184,11 +191,11 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     gram = (gram / scale[None, :]).astype(np.float64)
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     root = vector[:, value > 1e-4] / np.sqrt(value[value > 1e-4])
-    features = lambda some: (_features(some, landmarks)[0] / scale[None, :]) @ root
+    turned = (root / scale[:, None]).astype(np.float32)
+    features = lambda some: _features(some, landmarks)[0] @ turned
 
     likely = lambda some: sorted((w for w in some if odds[w] > 0), key=lambda w: (-odds[w], w))[:BAG]
-    bags = [likely(own_words) for own_words, t in zip(pieces, toxic, strict=True) if t]
-    bags = [b for b in bags if b]
+    bags = [b for b in map(likely, pieces) if b]
     clean = sorted(seen[0], key=lambda w: zlib.crc32(w.encode()))[:CLEAN_WORDS]
     hard: dict[str, int] = {}
     witness = [max(b, key=lambda w: (odds[w], w)) for b in bags]
@@ -199,9 +206,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         named = [w for w in witness if seen[0].get(w, 0) * n[1] <= 0.1 * n[0] * seen[1][w]]
         if not named:
             break
-        x = np.vstack([x_bags[[place[w] for w in named]], x_clean, features(list(hard))] if hard else [x_bags[[place[w] for w in named]], x_clean])
-        y = np.concatenate([np.ones(len(named)), -np.ones(len(clean) + len(hard))])
-        w = _svm(x, y, np.concatenate([np.full(len(named), 3.0), np.ones(len(clean)), np.full(len(hard), 3.0)]))
+        w = _svm([(x_bags[[place[w] for w in named]], 1.0, 3.0), (x_clean, -1.0, 1.0), (features(list(hard)), -1.0, 3.0)])
         table = np.zeros(CODES, np.float32)
         table[codes] = (own.astype(np.float64) / scale[None, :]) @ (root @ w[:-1])
         model = Model(table, float(w[-1]), (1.0, 0.0, 0.0))
@@ -243,6 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, where: str =
     def learn(sample: pd.DataFrame) -> pd.DataFrame:
         sample = sample.sort_values(["toxic", "text"])
         m = fit(sample["text"].tolist(), sample["toxic"].astype(int).tolist())
+        give_back()
         return pd.DataFrame([(m.table.tobytes(), m.bias, list(m.calibration))], columns=["table", "bias", "calibration"])
 
     # the sample is bounded, so one task learns from it, and the driver sees the weights alone
@@ -257,7 +263,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Model(*broadcast.value)
         for t in texts:
-            yield pa.array([own.score(x or "") for x in t.to_pylist()], pa.float64())
+            yield pa.array([own.score(x.as_py() or "") for x in t], pa.float64())
+        give_back()
 
     return docs.withColumn("score", F.arrow_udf(run, "double")("text"))
 
