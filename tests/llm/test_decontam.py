@@ -56,3 +56,37 @@ def test_search_finds_all_above_the_floor():
         for t in terms:
             score[index.ids[t]] += index.weights[t]
         assert sorted(index.search(terms)) == np.flatnonzero(score >= index.floor).tolist()
+
+
+def holds(text, q, a):
+    """Own check for parts of few words: they stand in the text as they are, and right after one another."""
+    at = lambda x: " " + " ".join(x.lower().replace(".", " ").split()) + " "
+    return at(f"{q} {a}") in at(text)
+
+
+def test_parts_of_one_and_two_words(spark):
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(500)] + ["er", "be", "in", "the"] * 20
+    say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    own = [(f"{say(30)}.", "Er."), (f"{say(12)}.", "Be in."), ("Beber auf.", f"{say(25)}."), ("Beber.", f"{say(9)}."), ("Beber ab.", "Er."), ("Wozu.", "Der da."), ("Solo.", ""), ("Duo solo.", "")]
+    items = [(i, f"{q} {a}".strip()) for i, (q, a) in enumerate(own)]
+    docs = [(100 * i + k, f"{say(n)} {text} {say(150)}") for i, (_, text) in enumerate(items) for k, n in enumerate((0, 5, 61, 63, 64, 127, 200))]
+    docs += [(2000 + i, f"{say(90)} {q} {say(40)} x y z {say(40)} {a}") for i, (q, a) in enumerate(own[:6])]  # its parts, but not together
+    docs += [(3000 + i, say(400)) for i in range(20)] + [(4000, "solo"), (4001, "Duo"), (4002, "beber ab er")]
+    got = pairs(leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")))
+    want = {(d, i) for d, text in docs for i, (q, a) in enumerate(own) if holds(text, q, a)}
+    assert got == want and {i for _, i in want} == set(range(8)) and len(want) >= 56
+
+
+def test_short_answer_of_an_edited_question():
+    q = [f"w{i}" for i in range(40)]
+    copy = q[:36] + ["x"] + q[37:]
+    assert decontam.shares(q, ["er"], False, ["er", *copy, "er", "z"]) == (35 / 38, 1)
+    assert decontam.shares(q, ["er"], False, ["er", *copy, "u", "v", "x", "y", "er"]) == (35 / 38, 0)
+    assert decontam.shares(["er"], q, False, ["z", "er", *copy]) == (1, 35 / 38)
+
+
+def test_query_with_short_parts(spark, sf01):
+    docs, items = ([tuple(r) for r in spark.read.parquet(f"{sf01}/{t}.parquet").select(k, "text").collect()] for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+    short = {(d, i) for i, item in items for q, a in [parts(item)] if q != item and min(len(words(q)), len(words(a))) < 3 for d, text in docs if holds(" ".join(words(text or "")), " ".join(words(q)), " ".join(words(a)))}
+    assert pairs(op7_decontamination(spark, sf01)) == brute(docs, items) | short and len(short) == 6

@@ -16,7 +16,7 @@ from .common import save
 #: Words of a passage and between the starts of two; BM25's parameters; postings in a block; code points of items that one index holds.
 PASSAGE, STRIDE, K1, B, POSTINGS, SHARD_CHARS = 128, 64, 1.2, 0.75, 16, 4_000_000
 #: A passage is retrieved for an item if its score is this share of the item's own (less by STRIDE / words for items over STRIDE words, which may lie in several
-#: passages), and an item leaks if these shares of its question's and answer's word 3-grams appear.
+#: passages), and an item leaks if these shares of its question's and answer's word 3-grams appear (of a part with fewer words: see shares).
 RETRIEVE, QUESTION, ANSWER, GRAM = 0.7, 0.8, 0.8, 3
 WORD = re.compile(r"\w+")
 
@@ -38,8 +38,9 @@ class Index:
     top: np.ndarray  # by term: the largest weight
     need: np.ndarray  # what an item's essential terms must score; the other terms can't reach the floor without that
     essential: tuple[np.ndarray, np.ndarray, np.ndarray]  # by term where its essential postings start; their items; their weights
-    question: list[set]
-    answer: list[set]
+    question: list[list[str]]  # words
+    answer: list[list[str]]
+    single: list[bool]  # a single sentence, which is both
 
     @classmethod
     def build(cls, rows: list[tuple[int, str]], n: int, mean: float, frequency: dict[str, int]) -> Index:
@@ -47,7 +48,7 @@ class Index:
         terms: dict[str, int] = {}
         postings: list[list[tuple[int, float]]] = []
         chosen: list[tuple[int, int, float]] = []
-        floor, need, question, answer = [], [], [], []
+        floor, need, question, answer, single = [], [], [], [], []
         for k, (_, text) in enumerate(rows):
             w = words(text)
             weight = {}
@@ -69,13 +70,14 @@ class Index:
                     reached += weight[x] / own
             need.append(floor[k] - (1 - reached) - 1e-9)
             q, a = parts(text)
-            question.append(grams(words(q)))
-            answer.append(grams(words(a)))
+            question.append(words(q))
+            answer.append(words(a))
+            single.append(q == text)
         weights = [np.array([v for _, v in p]) for p in postings]
         tops = [np.maximum.reduceat(x, np.arange(0, len(x), POSTINGS)) for x in weights]
         chosen.sort()
         t, i, v = (np.array(x) for x in zip(*chosen, strict=True))
-        return cls(terms, [i for i, _ in rows], np.array(floor), [np.array([k for k, _ in p]) for p in postings], weights, tops, np.array([x.max() for x in weights]), np.array(need), (np.searchsorted(t, np.arange(len(terms) + 2)), i, v), question, answer)
+        return cls(terms, [i for i, _ in rows], np.array(floor), [np.array([k for k, _ in p]) for p in postings], weights, tops, np.array([x.max() for x in weights]), np.array(need), (np.searchsorted(t, np.arange(len(terms) + 2)), i, v), question, answer, single)
 
     def passages(self, t: np.ndarray, count: int) -> np.ndarray:
         """Numbers of the passages in which some item's essential terms reach what is needed. t: the text's terms, len(terms) for others."""
@@ -151,6 +153,27 @@ def grams(w: list[str]) -> set[tuple[str, ...]]:
     return {tuple(w[i : i + GRAM]) for i in range(max(1, len(w) - GRAM + 1))} if w else set()
 
 
+def shares(q: list[str], a: list[str], single: bool, near: list[str]) -> tuple[float, float]:
+    """Shares of a question's and an answer's n-grams that a text's words have; n is GRAM, or the words of a part that has fewer.
+
+    So few words stand in many texts, so beside another part they count only where that one's matches put them: for a long one give or take a fifth of its
+    words and GRAM at most, since copies are edited; for two such parts one right after the other."""
+    sizes = min(GRAM, len(q)), min(GRAM, len(a))
+    at: dict[tuple[str, ...], list[int]] = {}
+    for n in set(sizes):
+        for i in range(len(near) - n + 1):
+            at.setdefault(tuple(near[i : i + n]), []).append(i)
+    own = grams(q), grams(a)
+    found = [sum(g in at for g in x) / len(x) for x in own]
+    if min(sizes) < GRAM and not single and min(found) > 0:
+        # where the answer starts, by the matches of each part
+        starts = [{x - i + ahead for i in range(len(w) - n + 1) for x in at.get(tuple(w[i : i + n]), ())} for w, n, ahead in ((q, sizes[0], len(q)), (a, sizes[1], 0))]
+        apart = min(GRAM, max(len(q), len(a)) // 5)
+        if not any(x + d in starts[1] for x in starts[0] for d in range(-apart, apart + 1)):
+            found = [0.0 if n < GRAM else x for n, x in zip(sizes, found, strict=True)]
+    return found[0], found[1]
+
+
 def _query(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, none = index.terms.get, len(index.terms)
@@ -166,11 +189,10 @@ def _query(index: Index):
                     for item in index.search(distinct[distinct < none].tolist()):
                         if best.get(item, 0) < 1:
                             q, a = index.question[item], index.answer[item]
-                            size = len(q) + len(a) + 2 * GRAM
-                            near = grams(w[max(0, lo - size) : hi + size])
-                            shares = len(q & near) / len(q), len(a & near) / len(a)
-                            if shares[0] >= QUESTION and shares[1] >= ANSWER:
-                                best[item] = max(best.get(item, 0), sum(shares) / 2)
+                            size = len(q) + len(a) + GRAM
+                            own = shares(q, a, index.single[item], w[max(0, lo - size) : hi + size])
+                            if own[0] >= QUESTION and own[1] >= ANSWER:
+                                best[item] = max(best.get(item, 0), sum(own) / 2)
                 out += [(doc, index.items[k], v) for k, v in best.items()]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "overlap"])
 
