@@ -90,3 +90,30 @@ def test_query_with_short_parts(spark, sf01):
     docs, items = ([tuple(r) for r in spark.read.parquet(f"{sf01}/{t}.parquet").select(k, "text").collect()] for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
     short = {(d, i) for i, item in items for q, a in [parts(item)] if q != item and min(len(words(q)), len(words(a))) < 3 for d, text in docs if holds(" ".join(words(text or "")), " ".join(words(q)), " ".join(words(a)))}
     assert pairs(op7_decontamination(spark, sf01)) == brute(docs, items) | short and len(short) == 6
+
+
+def test_gate_loses_no_passage_that_a_search_of_all_finds():
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(300)] + [f"c{i}" for i in range(12)] * 60
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    # items that start with words of many items and end with their own, so that only the second half is essential
+    items = [(i, " ".join([f"c{rng.randrange(12)}" for _ in range(25)] + [f"own{i}x{k}" for k in range(rng.choice((4, 6, 30)))]) + ".") for i in range(30)]
+    frequency = {}
+    for _, text in items:
+        for x in set(words(text)):
+            frequency[x] = frequency.get(x, 0) + 1
+    index = Index.build(items, len(items), float(np.mean([len(words(x)) for _, x in items])), frequency)
+    found = 0
+    for at in range(130):
+        copy = words(items[at % 30][1])
+        copy = [x for k, x in enumerate(copy) if k < 25 or k % 5 or rng.random() < 0.3]  # own words are lost
+        w = [f"z{i}" for i in range(at)] + copy + [f"z{i}" for i in range(200)] + (say(60) if at % 2 else [])
+        t = np.array([index.terms.get(x, len(index.terms)) for x in w], np.int64)
+        count = -(-len(w) // decontam.STRIDE)
+        gate = set(index.passages(t, count).tolist())
+        for p in range(count):
+            distinct = np.unique(t[p * decontam.STRIDE : p * decontam.STRIDE + decontam.PASSAGE])
+            hits = index.search(distinct[distinct < len(index.terms)].tolist())
+            assert not hits or p in gate, (at, p, hits)
+            found += bool(hits)
+    assert found > 100

@@ -88,12 +88,14 @@ class Index:
             return hit
         cell, where = np.unique(items[hit] * (count + 1) + np.repeat(np.arange(len(t)) // STRIDE, n), return_inverse=True)
         score = np.bincount(where, weights[hit])
-        item = cell // (count + 1)
+        need, stretch = self.need[cell // (count + 1)], cell % (count + 1)
+        next_ = cell[1:] == cell[:-1] + 1  # the next stretch of the same item
         both = score.copy()
-        both[:-1] += np.where(cell[1:] == cell[:-1] + 1, score[1:], 0)  # the next stretch of the same item
-        ok = both >= self.need[item]
-        lone = cell[ok] % (count + 1)
-        return np.unique(np.clip(lone, 0, count - 1))
+        both[:-1] += np.where(next_, score[1:], 0)
+        # a stretch without hits before one with hits: its passage has the item's other words, if any
+        before = score >= need
+        before[1:] &= ~next_
+        return np.unique(np.concatenate([stretch[both >= need], np.maximum(stretch[before] - 1, 0)]))
 
     def search(self, terms: list[int]) -> list[int]:
         """All items whose score for the distinct terms reaches their own floor, by block-max WAND: cursors stand in order of item, the pivot is the first item
