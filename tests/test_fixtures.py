@@ -1,3 +1,5 @@
+import json
+import random
 import struct
 import tempfile
 
@@ -8,7 +10,9 @@ from tracewell.functions.expressions import event_time, shannon_entropy
 from tracewell.operators.detectors import Registry, detect_arp_spoof, flood_events, scan_events
 from tracewell.operators.flows import aggregate_flows
 from tracewell.operators.folds import dedup_alerts, sessionize
+from tracewell.plans import queries as Q
 from tracewell.plans.packets import PACKET_SCHEMA, packets
+from tracewell.plans.queries import QUERIES
 from tracewell.sources.captures import read_pcap
 from tracewell.streaming.jobs import run_available, stream_port_scan
 
@@ -108,3 +112,53 @@ def test_stream_scan_is_the_batch_scan(spark):
     found = []
     run_available(stream_port_scan(stream), f"{folder}/progress", lambda b, n: found.extend((r.packet_id, r.src) for r in b.collect()), "append")
     assert sorted(found) == sorted((r.packet_id, r.src) for r in scan_events(rows).collect()) != []
+
+
+def scans_by_hand(rows, window=10.0, threshold=15, enough=20, age=300.0, alpha=0.2):
+    """Plain model of both paths over packets in order: packet_id and evidence of each alert."""
+    recent, crawls, out = {}, {}, []
+    for r in rows:
+        if r["proto"] != "TCP" or "S" not in (r["flags"] or "") or "A" in r["flags"] or not r["src"] or not r["dst"] or r["dport"] is None:
+            continue
+        src, ts, target = r["src"], r["ts"], (r["dst"], r["dport"])
+        recent[src] = [x for x in [*recent.get(src, []), (ts, target)] if x[0] >= ts - window]
+        targets = {t for _, t in recent[src]}
+        if len(targets) >= threshold:
+            recent[src] = []
+            hosts, ports = len({h for h, _ in targets}), len({p for _, p in targets})
+            out.append((r["packet_id"], "vertical" if hosts == 1 and ports > 1 else "horizontal" if hosts > 1 and ports == 1 else "distributed/hybrid", len(targets), None, None))
+            continue
+        if src not in crawls:
+            crawls[src] = [ts, ts, 1.0, {target}]
+            continue
+        first, last, rate, seen = crawls[src]
+        rate = alpha / max(0.001, ts - last) + (1 - alpha) * rate
+        crawls[src] = [first, ts, rate, seen | {target}]
+        slow = ts - first > window and len(crawls[src][3]) >= enough
+        if slow:
+            out.append((r["packet_id"], "low_and_slow", len(crawls[src][3]), round(ts - first, 1), round(rate, 4)))
+        if slow or ts - first > age:
+            del crawls[src]
+    return sorted(out)
+
+
+def evidence(alerts):
+    out = []
+    for r in alerts.collect():
+        e = json.loads(r.evidence_json)
+        out.append((r.packet_id, e["scan_type"], e["unique_targets"], e.get("elapsed"), e.get("ewma_rate")))
+    return sorted(out)
+
+
+def test_slow_scan_query_against_a_plain_model(spark, sf01, monkeypatch):
+    real = [r.asDict() for r in packets(spark, sf01).orderBy("ts", "packet_id").collect()]
+    assert evidence(QUERIES["det1_slow_scan"](spark, sf01)) == scans_by_hand(real)
+    rng = random.Random(4)
+    made, ts = [], 0.0
+    for k in range(3000):  # bursts and crawls of three sources
+        ts += rng.choice((0.05, 0.1, 0.2)) if k // 60 % 2 else rng.choice((0.3, 1.0, 2.0))
+        made.append(syn(ts, rng.choice("abc"), f"h{rng.randrange(9)}", rng.randrange(12)))
+    df = table(spark, made)
+    monkeypatch.setattr(Q, "packets", lambda *_: df)
+    want = scans_by_hand([r.asDict() for r in df.orderBy("ts", "packet_id").collect()])
+    assert evidence(QUERIES["det1_slow_scan"](spark, sf01)) == want and {"low_and_slow", "distributed/hybrid"} <= {x[1] for x in want}

@@ -270,7 +270,7 @@ def _(spark, d):
 
 @query("det1_slow_scan")
 def _(spark, d):
-    return D.detect_port_scan(packets(spark, d), threshold=300, ewma=True)
+    return D.detect_port_scan(packets(spark, d), threshold=15, ewma=True)
 
 
 @query("det2_syn_flood", "SELECT packet_id, dst, half_open_count, window_syn_count, unique_attackers FROM fa")
