@@ -1,6 +1,7 @@
 import base64
 import hashlib
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import oracle, rows
@@ -34,3 +35,18 @@ def test_round_trip_selection_and_odd_rows(spark):
 
 def data7():
     return "seven"
+
+
+def test_each_repeated_row_has_its_record(spark, tmp_path):
+    data = [(i % 40, f"http://a/{i % 40}", f"page {i % 13}") for i in range(90)] + [(7, "http://a/7", data7())] * 50 + [(41, None, None)] * 3 + [(42, "http://b", "")]
+    spark.createDataFrame(data, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    pages = spark.read.parquet(f"{tmp_path}/pages.parquet")
+    got = rows(op5_warc(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    out = con.execute(WARC_SQL)
+    names = [d[0] for d in out.description]
+    assert got == rows(dict(zip(names, r)) for r in out.fetchall()) and len(got) == len(data)
+    index = write_archives(pages, new_path(spark, "warc"), every_row=True)
+    assert index.select("file", "offset").distinct().count() == len(data)
+    assert write_archives(pages, new_path(spark, "warc")).count() == len({(p, u, h or "") for p, u, h in data})
