@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from tracewell.llm import jaccard_join as jj
 from tracewell.llm.jaccard_join import jaccard_components, op9_jaccard_join, part_keys, tree_links
 
 
@@ -66,3 +67,21 @@ def test_keys_and_tree_lose_nothing():
 
 def test_query(spark, sf):
     assert op9_jaccard_join(spark, sf).count() == 200
+
+
+def test_linked_copies_are_not_dealt_as_block_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    page = [f"w{i}" for i in range(100)]
+    copies = [page] + [page[:k] + [f"x{rng.random()}"] + page[k + 1 :] for k in [rng.randrange(100) for _ in range(159)]]
+    chain = [[f"w{k}" for k in range(i, 100 + i)] for i in range(5, 60, 5)] + [[f"w{k}" for k in range(i, 80 + i)] for i in range(3, 60, 7)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(copies + chain)]
+    docs, sent, pairs = spark.createDataFrame(rows, "doc_id long, text string"), [], jj._block_pairs
+
+    def counted(*args):
+        out = pairs(*args)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(jj, "_block_pairs", counted)
+    assert {tuple(r) for r in jaccard_components(docs, block=16).collect()} == brute(rows)
+    assert sum(sent) < 8 * len(rows), sent

@@ -229,6 +229,24 @@ def _link_groups(num: int, den: int):
     return run
 
 
+def _link_fans(num: int, den: int):
+    """Links of a group's hub (side 2) with its other sets."""
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        a, b = [], []
+        for _, group in batch.groupby("grp", sort=False):
+            sets, docs, hub = shingle_sets(*_joined(group["text"])), group["doc_id"].to_numpy(), group["side"].to_numpy() == 2
+            for h in np.flatnonzero(hub).tolist():
+                for i in np.flatnonzero(~hub).tolist():
+                    both = int(np.isin(sets[i], sets[h], assume_unique=True).sum())
+                    if both * den >= num * (len(sets[i]) + len(sets[h]) - both):
+                        a.append(docs[i])
+                        b.append(docs[h])
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return run
+
+
 def _joined(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     parts = [x.encode() for x in texts]
     return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
@@ -249,37 +267,60 @@ def jaccard_components(docs: DataFrame, threshold: tuple[int, int] = (4, 5), blo
     total = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     parts = max(16, -(-total * 6 // 10 // KEYS_A_TASK))
 
-    near = components(_candidates(docs.where("doc_id is not null"), parts, num, den))
+    stars = save(_candidates(docs.where("doc_id is not null"), parts, num, den), "stars")
+    near = components(stars)
 
     reps = some.join(same, ["n_shingles", "k1", "k2"]).where("doc_id = rep").groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
     asked = save(reps.join(near.withColumnRenamed("node", "doc_id"), "doc_id"), "candidates")
     groups = asked.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("members")).where("size > 1")
     bins = max(16, -(-(groups.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]) // 1_000_000))
     small = asked.join(groups.where(F.col("size") <= block), "root").select("doc_id", F.col("root").alias("grp"), F.pmod(F.xxhash64("root"), F.lit(bins)).alias("bin"), F.lit(0).alias("side"))
-    placed = small.unionByName(_block_pairs(asked.join(groups.where(F.col("size") > block).select("root", "size"), "root"), num, den, block))
-    whole = docs.join(placed, "doc_id")
+    large, hub_links = asked.join(groups.where(F.col("size") > block).select("root", "size"), "root"), None
+    if groups.where(F.col("size") > block).limit(1).count():
+        hub_links = _hub_links(docs, large, stars, num, den, block)
+        large = large.join(components(hub_links).select(F.col("node").alias("doc_id"), F.col("root").alias("piece")), "doc_id", "left").withColumn("piece", F.coalesce("piece", "doc_id"))
+        large = save(large, "contracted")
+        small = small.unionByName(_block_pairs(large, num, den, block))
+    whole = docs.join(small, "doc_id")
     links = save(whole.groupBy("bin").applyInPandas(_link_groups(num, den), "a long, b long"), "verified")
-    linked = components(links)
+    linked = components(links.union(hub_links) if hub_links is not None else links)
 
     out = rows.join(same, ["n_shingles", "k1", "k2"], "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "rep", "doc_id")).alias("component_id"))
 
 
+def _hub_links(docs: DataFrame, large: DataFrame, stars: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """Links of the large groups' documents with one hub each, the least: a text is sent once, and a hub's once for each block / 2 documents that have it."""
+    known = large.select("doc_id", "n")
+    one = stars.join(known.withColumnRenamed("doc_id", "a"), "a").join(known.select(F.col("doc_id").alias("b"), F.col("n").alias("m")), "b")
+    one = one.where((F.col("n") * den >= F.col("m") * num) & (F.col("m") * den >= F.col("n") * num)).groupBy("a").agg(F.min("b").alias("b"))
+    fans = one.groupBy("b").agg(F.ceil(F.count("*") / max(1, block // 2)).cast("int").alias("slots"))
+    one = one.join(fans, "b").select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("slots"))).alias("grp"))
+    one = save(one, "fans")
+    bins = max(16, -(-known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 1_000_000))
+    sent = one.select(F.col("a").alias("doc_id"), "grp", F.lit(1).alias("side")).union(one.select("b", "grp", F.lit(2)).distinct())
+    whole = docs.join(sent.withColumn("bin", F.pmod("grp", F.lit(bins))), "doc_id")
+    return save(whole.groupBy("bin").applyInPandas(_link_fans(num, den), "a long, b long"), "hub-links")
+
+
 def _block_pairs(large: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """Groups beyond one block: sets of about one size share a block, and each two blocks whose sizes are within reach meet as a group of their own."""
+    """Groups beyond one block: sets of about one size share a block, and each two blocks whose sizes are within reach meet as a group of their own.
+
+    A piece, sets that are linked already, of over a quarter of a block has blocks of its own, and no two of these meet; other sets share blocks."""
     tier = F.floor(F.log2("n") * 4).cast("int")
-    large = large.withColumn("tier", tier)
-    counts = large.groupBy("root", "tier").agg(F.count("*").alias("sets"), F.min("n").alias("least"), F.max("n").alias("most"))
+    big = large.groupBy("piece").agg(F.count("*").alias("all")).where(F.col("all") > block // 4).select("piece", F.col("piece").alias("own"))
+    large = large.join(big, "piece", "left").withColumn("own", F.coalesce("own", F.lit(-(2**63)))).withColumn("tier", tier)
+    counts = large.groupBy("root", "own", "tier").agg(F.count("*").alias("sets"), F.min("n").alias("least"), F.max("n").alias("most"))
     salted = counts.withColumn("slots", F.ceil(F.col("sets") / (block // 2)).cast("int"))
-    large = large.join(salted.select("root", "tier", "slots"), ["root", "tier"]).withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.col("slots")))
-    blocks = salted.select("root", "tier", "least", "most", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
-    x, y = (blocks.select("root", *[F.col(c).alias(f"{c}{k}") for c in ("tier", "least", "most", "slot")]) for k in (1, 2))
-    pairs = x.join(y, "root").where((F.struct("tier1", "slot1") <= F.struct("tier2", "slot2")) & (F.col("most1") * den >= F.col("least2") * num) & (F.col("most2") * den >= F.col("least1") * num))
-    pairs = pairs.withColumn("grp", F.xxhash64("root", "tier1", "slot1", "tier2", "slot2")).withColumn("self", (F.col("tier1") == F.col("tier2")) & (F.col("slot1") == F.col("slot2")))
-    ends = pairs.select("root", "grp", F.col("tier1").alias("tier"), F.col("slot1").cast("long").alias("slot"), F.when(F.col("self"), 0).otherwise(1).alias("side")).union(
-        pairs.where("not self").select("root", "grp", F.col("tier2"), F.col("slot2").cast("long"), F.lit(2))
+    large = large.join(salted.select("root", "own", "tier", "slots"), ["root", "own", "tier"]).withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.col("slots")))
+    blocks = salted.select("root", "own", "tier", "least", "most", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"))
+    x, y = (blocks.select("root", *[F.col(c).alias(f"{c}{k}") for c in ("own", "tier", "least", "most", "slot")]) for k in (1, 2))
+    pairs = x.join(y, "root").where((F.struct("own1", "tier1", "slot1") <= F.struct("own2", "tier2", "slot2")) & ((F.col("own1") != F.col("own2")) | (F.col("own1") == -(2**63))) & (F.col("most1") * den >= F.col("least2") * num) & (F.col("most2") * den >= F.col("least1") * num))
+    pairs = pairs.withColumn("grp", F.xxhash64("root", "own1", "tier1", "slot1", "own2", "tier2", "slot2")).withColumn("self", (F.col("own1") == F.col("own2")) & (F.col("tier1") == F.col("tier2")) & (F.col("slot1") == F.col("slot2")))
+    ends = pairs.select("root", "grp", F.col("own1").alias("own"), F.col("tier1").alias("tier"), F.col("slot1").cast("long").alias("slot"), F.when(F.col("self"), 0).otherwise(1).alias("side")).union(
+        pairs.where("not self").select("root", "grp", F.col("own2"), F.col("tier2"), F.col("slot2").cast("long"), F.lit(2))
     )
-    return large.join(ends, ["root", "tier", "slot"]).select("doc_id", "grp", F.col("grp").alias("bin"), "side")
+    return large.join(ends, ["root", "own", "tier", "slot"]).select("doc_id", "grp", F.col("grp").alias("bin"), "side")
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
