@@ -10,6 +10,7 @@ from tracewell.functions.expressions import event_time, shannon_entropy
 from tracewell.operators.detectors import Registry, detect_arp_spoof, flood_events, scan_events
 from tracewell.operators.flows import aggregate_flows
 from tracewell.operators.folds import dedup_alerts, sessionize
+from tracewell.operators.reports import ewma_rate
 from tracewell.plans import queries as Q
 from tracewell.plans.packets import PACKET_SCHEMA, packets
 from tracewell.plans.queries import QUERIES
@@ -162,3 +163,11 @@ def test_slow_scan_query_against_a_plain_model(spark, sf01, monkeypatch):
     monkeypatch.setattr(Q, "packets", lambda *_: df)
     want = scans_by_hand([r.asDict() for r in df.orderBy("ts", "packet_id").collect()])
     assert evidence(QUERIES["det1_slow_scan"](spark, sf01)) == want and {"low_and_slow", "distributed/hybrid"} <= {x[1] for x in want}
+
+
+def test_moving_rate_streams_past(spark):
+    rows = [syn(t, s, "b", 1) for t, s in ((0.0, "a"), (0.5, "a"), (0.5, "a"), (2.5, "a"), (3.0, "c"))]
+    df = ewma_rate(table(spark, rows))
+    assert [(r.src, round(r.rate, 9)) for r in df.collect()] == [("a", round(0.2 / 2 + 0.8 * (0.2 / 0.001 + 0.8 * (0.2 / 0.5 + 0.8)), 9))]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "MapInPandas" in plan

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import ack_packets, pure_syn, syn_flow_key, syn_with_ports
+from .folds import sorted_fold
 
 SEVERITIES, TYPES = ("low", "medium", "high", "critical"), ("port_scan", "syn_flood", "dns_tunnel", "arp_spoof")
 
@@ -50,11 +51,27 @@ def interarrival(packets: DataFrame, key: str = "src") -> DataFrame:
     return packets.where(F.col(key).isNotNull()).select("packet_id", key, (F.col("ts") - F.lag("ts").over(Window.partitionBy(key).orderBy("ts", "packet_id"))).alias("dt"))
 
 
+class RateState:
+    """The moving rate of one source, and when it last opened a connection."""
+
+    def __init__(self, alpha: float):
+        self.alpha, self.rate, self.src, self.last, self.moved = alpha, 1.0, None, None, False
+
+    def step(self, row) -> list[tuple]:
+        if self.last is not None:
+            self.rate = self.alpha / max(0.001, row.ts - self.last) + (1 - self.alpha) * self.rate
+            self.moved = True
+        self.src, self.last = row.src, row.ts
+        return []
+
+    def end(self) -> list[tuple]:
+        return [(self.src, self.rate)] if self.moved else []
+
+
 def ewma_rate(packets: DataFrame, alpha: float = 0.2) -> DataFrame:
     """The moving rate of a source's opened connections after its last one; 1 at the first."""
-    dt = interarrival(packets.where(pure_syn())).where("dt is not null").join(packets.select("packet_id", "ts"), "packet_id")
-    g = dt.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("ts", "packet_id", "dt"))).alias("d"))
-    return g.select("src", F.aggregate("d", F.lit(1.0), lambda r, x: alpha / F.greatest(F.lit(0.001), x["dt"]) + (1 - alpha) * r).alias("rate"))
+    syn = packets.where(pure_syn()).select("packet_id", "ts", "src")
+    return sorted_fold(syn, ["src"], ["ts", "packet_id"], lambda: RateState(alpha), "src string, rate double")
 
 
 def query_alerts(alerts: DataFrame, alert_type: str | None = None, severity: str | None = None, since: float | None = None, limit: int = 100) -> DataFrame:
