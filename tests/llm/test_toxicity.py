@@ -1,5 +1,6 @@
 import zlib
 
+from tracewell.llm import toxicity as T
 from tracewell.llm.toxicity import Model, fit, fragments, op2_toxicity, score, symbols, train
 
 
@@ -30,3 +31,12 @@ def test_odd_rows(spark):
     rows = score(docs, model).collect()
     assert len(rows) == 6 and all(0 <= r.score <= 1 for r in rows)
     assert score(docs.limit(0), train(docs.limit(0), labels.limit(0))).count() == 0
+
+
+def test_texts_over_longest_never_train(spark):
+    docs = [(i, ("you vile fool " if i % 2 else "a fine calm day ") * (1 + i % 4)) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(44)], "doc_id long, toxic int")
+    long = [(40 + i, "fine vile words " * 20) for i in range(4)]
+    few, all_ = (spark.createDataFrame(x, "doc_id long, text string") for x in (docs, docs + long))
+    a, b, c = T.train(few, labels, where="true"), T.train(all_, labels, where="true", longest=100), T.train(all_, labels, where="true")
+    assert a.bias == b.bias and a.table.tobytes() == b.table.tobytes() != c.table.tobytes()

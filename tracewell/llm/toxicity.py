@@ -234,15 +234,15 @@ def _platt(margins: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     return tuple(w.tolist())
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, where: str = "crc32(cast(doc_id as string)) % 3 <> 1") -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, where: str = "crc32(cast(doc_id as string)) % 3 <> 1", longest: int = MAX_CHARS // 40) -> Model:
     """Learn from up to `sample` labelled texts of each label that meet `where`: those of least hash, whole, as far as they hold MAX_CHARS code points.
-    Null labels and texts take no part."""
+    Texts over `longest` code points, null labels and null texts take no part; long texts are scored whole all the same."""
     known = labels.where("toxic in (0, 1)").where(where).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
     docs = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = docs.select("doc_id", F.length("text").alias("n")).join(known, "doc_id")  # texts take no part in the choice
     size = rows.agg(F.coalesce(F.avg("n"), F.lit(0.0))).first()[0]
     each = max(1, min(sample, int(MAX_CHARS / 2 / max(1.0, size))))
-    ids = [rows.where(F.col("toxic") == t).where(F.col("n") <= MAX_CHARS // 40).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each).select("doc_id", "toxic") for t in (0, 1)]
+    ids = [rows.where(F.col("toxic") == t).where(F.col("n") <= longest).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each).select("doc_id", "toxic") for t in (0, 1)]
     chosen = docs.join(F.broadcast(ids[0].union(ids[1])), "doc_id")  # 2 * sample rows at most
 
     def learn(sample: pd.DataFrame) -> pd.DataFrame:
