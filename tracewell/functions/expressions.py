@@ -13,10 +13,10 @@ NO_HOST = ("ff:ff:ff:ff:ff:ff", "00:00:00:00:00:00")
 
 def shannon_entropy(text: Column) -> Column:
     """Bits a character; 0 for an empty or null text."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
-    bits = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc - F.size(F.filter(chars, lambda x: x == c)) / n * F.log2(F.size(F.filter(chars, lambda x: x == c)) / n))
-    return F.when(F.coalesce(F.length(text), F.lit(0)) > 0, bits).otherwise(0.0)
+    n = F.length(text)
+    chars = F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
+    shares = F.transform(chars, lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n)
+    return F.coalesce(F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p)), F.lit(0.0))
 
 
 def domain_parts(name: Column) -> Column:

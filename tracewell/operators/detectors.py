@@ -10,30 +10,26 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import NO_HOST, ack_packets, alert_id, dns_queries, domain_parts, evidence_json, mac_normalize, not_empty, pure_syn, shannon_entropy, syn_flow_key, syn_with_ports
 from ..plans.packets import ALERT_SCHEMA
-from .folds import FloodState, ScanState, sorted_fold
+from .folds import FloodState, ScanState, segments, sliding_distinct, sorted_fold
 
 
 def _alerts(df: DataFrame, kind: str, severity: Column, description: Column, evidence: Column, detail: str = "") -> DataFrame:
     return df.select(alert_id(F.lit(kind), F.col("packet_id"), detail).alias("id"), "ts", F.lit(kind).alias("alert_type"), severity.alias("severity"), "src", "dst", description.alias("description"), evidence.alias("evidence_json"), "packet_id")
 
 
-def _segments(df: DataFrame, key: str, window: float) -> DataFrame:
-    """Splits a key wherever it is silent for longer than the window: nothing outlives that, so a busy key is no single task's work."""
-    w = Window.partitionBy(key).orderBy("ts", "packet_id")
-    return df.withColumn("gap", (F.col("ts") - F.lag("ts").over(w) > window).cast("int")).withColumn("segment", F.coalesce(F.sum("gap").over(w), F.lit(0))).drop("gap")
-
-
-def scan_events(packets: DataFrame, window: float = 10.0, threshold: int = 15, ewma: bool = False, slow_threshold: int = 20, slow_window: float = 300.0, alpha: float = 0.2) -> DataFrame:
+def scan_events(
+    packets: DataFrame, window: float = 10.0, threshold: int = 15, ewma: bool = False, slow_threshold: int = 20, slow_window: float = 300.0, alpha: float = 0.2
+) -> DataFrame:
     """Sources that open connections to `threshold` distinct targets within `window` seconds, a burst at a time; with ewma also slow scans."""
     syn = packets.where(pure_syn()).select("packet_id", "ts", "src", "dst", "dport")
-    least = min(threshold, slow_threshold) if ewma else threshold
-    busy = syn.groupBy("src").count().where(F.col("count") >= least).select("src")
-    syn = syn.join(busy, "src", "left_semi")
-    schema = "packet_id long, ts double, src string, dst string, scan_type string, unique_targets long, unique_ports long, unique_hosts long, position long, elapsed double, ewma_rate double"
-    volume = syn.select("packet_id", F.count("*").over(Window.partitionBy("src").orderBy("ts", "packet_id").rowsBetween(Window.unboundedPreceding, 0)).alias("cms_estimated_volume"))
-    rows, keys = (syn, ["src"]) if ewma else (_segments(syn, "src", window), ["src", "segment"])  # the slow path outlives a silence
+    schema = (
+        "packet_id long, ts double, src string, dst string, scan_type string, unique_targets long, unique_ports long, unique_hosts long, "
+        "cms_estimated_volume long, elapsed double, ewma_rate double"
+    )
+    # the slow path outlives any silence, so a source's rows stay one fold then
+    rows = segments(syn, "src", None if ewma else window, min(threshold, slow_threshold) if ewma else threshold)
     slow = (slow_threshold, slow_window, alpha) if ewma else None
-    return sorted_fold(rows, keys, ["ts", "packet_id"], lambda: ScanState(window, threshold, slow), schema).drop("position").join(volume, "packet_id")
+    return sorted_fold(rows, ["src", "segment"], ["ts", "packet_id"], lambda: ScanState(window, threshold, slow), schema)
 
 
 def detect_port_scan(packets: DataFrame, **options) -> DataFrame:
@@ -51,15 +47,12 @@ def detect_port_scan(packets: DataFrame, **options) -> DataFrame:
 
 def flood_events(packets: DataFrame, window: float = 5.0, threshold: int = 40, ratio: float = 0.8) -> DataFrame:
     """Targets with `threshold` connections opened within `window` seconds, of which `ratio` or more have no acknowledgement of the pair in that time."""
-    pair = F.to_json(syn_flow_key())
-    cols = ["packet_id", "ts", "src", "target", "pair", "is_ack"]
-    syn = packets.where(syn_with_ports()).withColumn("target", F.col("dst")).withColumn("pair", pair).withColumn("is_ack", F.lit(False)).select(cols)
-    busy = syn.groupBy("target").count().where(F.col("count") >= threshold).select("target")
-    syn = syn.join(busy, "target", "left_semi")
-    acks = packets.where(ack_packets()).withColumn("target", F.explode(F.array_distinct(F.array("src", "dst")))).withColumn("pair", pair).withColumn("is_ack", F.lit(True)).select(cols)
-    acks = acks.join(busy, "target", "left_semi")
-    rows = _segments(syn.unionByName(acks), "target", window)
+    pair, cols = F.to_json(syn_flow_key()), ["packet_id", "ts", "src", "target", "pair", "is_ack"]
+    target = F.explode(F.when(ack_packets(), F.array_distinct(F.array("src", "dst"))).otherwise(F.array("dst")))
+    rows = packets.where(syn_with_ports() | ack_packets()).withColumn("target", target)
+    rows = rows.withColumn("pair", pair).withColumn("is_ack", F.col("flags").contains("A")).select(cols)
     schema = "packet_id long, ts double, src string, dst string, half_open_count long, window_syn_count long, incomplete_ratio double, unique_attackers long"
+    rows = segments(rows, "target", window, threshold, counted=~F.col("is_ack"))
     return sorted_fold(rows, ["target", "segment"], ["ts", "packet_id"], lambda: FloodState(window, threshold, ratio), schema)
 
 
@@ -72,18 +65,13 @@ def detect_syn_flood(packets: DataFrame, **options) -> DataFrame:
 
 def dns_scores(packets: DataFrame, entropy: float = 3.5, length: int = 50, burst: int = 15, window: float = 15.0) -> DataFrame:
     """Each name query with its parts, entropy, burst (distinct subdomains of the parent that the source asked for in the window) and score."""
-    q = packets.where(dns_queries()).withColumn("qname", F.lower("dns_qname")).withColumn("parts", domain_parts(F.col("qname"))).select("*", "parts.subdomain", "parts.parent").drop("parts")
+    q = packets.where(dns_queries()).withColumn("qname", F.lower("dns_qname")).withColumn("parts", domain_parts(F.col("qname")))
+    q = q.select("packet_id", "ts", "src", "dst", "qname", "dns_qtype", "parts.subdomain", "parts.parent")
     q = q.withColumn("entropy", shannon_entropy(F.col("subdomain")))
-    # only keys with enough distinct subdomains in all need the window
-    many = q.where("subdomain <> ''").groupBy("src", "parent").agg(F.count_distinct("subdomain").alias("n")).where(F.col("n") >= burst).select("src", "parent", F.lit(True).alias("many"))
-    q = q.join(many, ["src", "parent"], "left")
-    seen = F.expr(f"collect_list(struct(packet_id, subdomain, ts)) over (partition by src, parent order by ts range between {float(window)}D preceding and current row)")
-    busy = q.where("many").withColumn("seen", seen)
-    now = lambda x: (x["subdomain"] != "") & ((x["ts"] < F.col("ts")) | (x["packet_id"] <= F.col("packet_id")))
-    busy = busy.withColumn("burst", F.size(F.array_distinct(F.transform(F.filter("seen", now), lambda x: x["subdomain"]))).cast("long")).drop("seen")
-    q = busy.unionByName(q.where("many is null").withColumn("burst", F.lit(0).cast("long"))).drop("many")
+    q = sliding_distinct(q, ["src", "parent"], F.nullif("subdomain", F.lit("")), window, "burst")
     odd = (F.col("entropy") >= entropy) & (F.length("subdomain") >= 10)
-    tests = {"long name": (F.length("qname") >= length, 1), "high entropy": (odd, 2), "record type": (F.coalesce(F.col("dns_qtype").isin(10, 16), F.lit(False)), 1), "subdomain burst": (F.col("burst") >= burst, 2)}
+    typed = F.coalesce(F.col("dns_qtype").isin(10, 16), F.lit(False))
+    tests = {"long name": (F.length("qname") >= length, 1), "high entropy": (odd, 2), "record type": (typed, 1), "subdomain burst": (F.col("burst") >= burst, 2)}
     score = reduce(lambda a, b: a + b, [F.when(t, n).otherwise(0) for t, n in tests.values()])
     return q.withColumn("score", score.cast("long")).withColumn("reasons", F.array_compact(F.array(*[F.when(t, k) for k, (t, _) in tests.items()])))
 
@@ -131,7 +119,7 @@ def detect_arp_spoof(packets: DataFrame, gateway_ip: str | None = None, max_ips:
     claims = arp_holdings(packets)
     gateway = F.col("ip") == F.lit(gateway_ip) if gateway_ip else F.lit(False)
     a = claims.where("conflict").withColumn("src", F.col("ip"))
-    text = F.concat(F.format_string("Address %s claimed by %s, held by %s before", "ip", "mac", "original_mac"), F.when(gateway, " [TARGET IS DEFAULT GATEWAY]").otherwise(""))
+    text = F.concat(F.format_string("Address %s claimed by %s, held by %s before", "ip", "mac", "original_mac"), F.when(gateway, ", the GATEWAY").otherwise(""))
     first = _alerts(a, "arp_spoof", F.when(gateway, "critical").otherwise("high"), text, evidence_json(ip=F.col("ip"), original_mac=F.col("original_mac"), spoofed_mac=F.col("mac"), is_gateway=gateway, arp_op=F.col("arp_op")), "conflict")
     b = claims.where(~F.col("conflict") & (F.col("held") > max_ips))
     b = b.join(claimed_ips(packets, b), "packet_id").withColumn("src", F.col("ip")).withColumn("dst", F.lit(None).cast("string"))

@@ -6,7 +6,7 @@ from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,6 +33,58 @@ def sorted_fold(df: DataFrame, keys: list[str], order: list[str], start: Callabl
     return dealt.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
+def segments(df: DataFrame, key: str, silence: float | None, least: int = 1, counted: Column | None = None) -> DataFrame:
+    """df with `segment`, which rises wherever a key is silent for longer than `silence` seconds, and `before`, the key's rows ahead of its segment; segments of
+    fewer than `least` counted rows are left out. Where nothing outlives the silence, a busy key is then many folds.
+
+    Rows meet in time buckets as wide as the silence, where no cut can be inside; the cuts are found on one row for each bucket, which partial aggregation gives,
+    so no task sorts a whole key. Without a silence each key is one segment."""
+    own = F.floor(F.col("ts") / silence).cast("long") if silence else F.lit(0).cast("long")
+    df = df.withColumn("bucket", own)
+    n = F.count_if(counted) if counted is not None else F.count("*")
+    buckets = df.groupBy(key, "bucket").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), n.alias("n"))
+    rising = Window.partitionBy(key).orderBy("bucket")
+    cut = F.col("first") - F.lag("last").over(rising) > (silence or 0.0)
+    buckets = buckets.withColumn("cut", F.coalesce(cut.cast("long"), F.lit(0)))
+    sums = [F.sum(c).over(rising.rowsBetween(Window.unboundedPreceding, 0)) for c in ("cut", "n")]
+    buckets = buckets.select(key, "bucket", "n", sums[0].alias("segment"), (sums[1] - F.col("n")).alias("ahead"))
+    whole = Window.partitionBy(key, "segment")
+    buckets = buckets.select(key, "bucket", "segment", F.min("ahead").over(whole).alias("before"), F.sum("n").over(whole).alias("all"))
+    return df.join(buckets.where(F.col("all") >= least).drop("all"), [key, "bucket"]).drop("bucket")
+
+
+def sliding_distinct(df: DataFrame, keys: list[str], item: Column, window: float, name: str) -> DataFrame:
+    """df with a column: how many distinct items (null is none) the key has in the `window` seconds up to each row, by (ts, packet_id), its own included.
+
+    An item is there from its first row until `window` seconds after the last one that no other follows in that time, so the number is a running sum of what
+    begins and ends. In a bucket of at most that width only an item's first and last row can begin or end, so items are combined before the shuffle; the running
+    sum is one within each bucket, on top of what the key's earlier buckets come to, so no task holds a whole key."""
+    bucket = lambda ts: F.floor(ts / window).cast("long")
+    rows = df.withColumn("_item", item)
+    place = F.struct("ts", "packet_id")
+    seen = rows.where("_item is not null").groupBy(*keys, "_item", bucket(F.col("ts")).alias("_b")).agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    own = Window.partitionBy(*keys, "_item").orderBy("_b")
+    new = F.coalesce(F.col("first.ts") - F.lag("last").over(own)["ts"] > window, F.lit(True))
+    over = F.coalesce(F.lead("first").over(own)["ts"] - F.col("last.ts") > window, F.lit(True))
+    seen = seen.withColumn("new", new).withColumn("over", over)
+    nothing = F.lit(None)
+    both = F.array(
+        F.when(F.col("new"), F.struct(F.col("first.ts").alias("ts"), F.lit(0).alias("late"), F.col("first.packet_id").alias("packet_id"), F.lit(1).alias("step"))).otherwise(nothing),
+        F.when(F.col("over"), F.struct((F.col("last.ts") + window).alias("ts"), F.lit(1).alias("late"), F.col("last.packet_id").alias("packet_id"), F.lit(-1).alias("step"))).otherwise(nothing),
+    )
+    steps = seen.select(*keys, F.explode(F.array_compact(both)).alias("e")).select(*keys, "e.*", F.lit(None).alias("_row"))
+    marks = rows.select(*keys, "ts", F.lit(0).alias("late"), "packet_id", F.lit(0).alias("step"), F.struct(*[c for c in df.columns]).alias("_row"))
+    sums = steps.groupBy(*keys, bucket(F.col("ts")).alias("_b")).agg(F.sum("step").alias("_sum"))
+    ahead = Window.partitionBy(*keys).orderBy("_b").rangeBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy(*keys, "_b").orderBy("ts", "late", "packet_id", F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
+    # a bucket without any step takes what the last one with steps leaves, so every bucket of the rows stands in the sums, with 0
+    sums = sums.unionByName(rows.groupBy(*keys, bucket(F.col("ts")).alias("_b")).agg(F.lit(0).cast("long").alias("_sum"))).groupBy(*keys, "_b").agg(F.sum("_sum").alias("_sum"))
+    sums = sums.select(*keys, "_b", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_ahead"))
+    line_of = marks.unionByName(steps).withColumn("_b", bucket(F.col("ts"))).withColumn("_n", F.sum("step").over(line)).where("_row is not null")
+    out = line_of.join(sums, [*keys, "_b"])
+    return out.select("_row.*", (F.col("_n") + F.col("_ahead")).alias(name))
+
+
 class ScanState:
     """Distinct targets of one source in a sliding window that an alert empties; on request the slow path too, which a fast alert's packet does not feed."""
 
@@ -42,6 +94,7 @@ class ScanState:
 
     def step(self, row) -> list[tuple]:
         self.volume += 1
+        volume = getattr(row, "before", 0) + self.volume  # a stream has no rows ahead of its state
         target = (row.dst, row.dport)
         self.queue.append((row.ts, target))
         self.counts[target] = self.counts.get(target, 0) + 1
@@ -56,7 +109,7 @@ class ScanState:
             self.queue.clear()
             self.counts.clear()
             kind = "vertical" if len(hosts) == 1 and len(ports) > 1 else "horizontal" if len(hosts) > 1 and len(ports) == 1 else "distributed/hybrid"
-            return [(row.packet_id, row.ts, row.src, min(hosts) if len(hosts) == 1 else None, kind, n, len(ports), len(hosts), self.volume, None, None)]
+            return [(row.packet_id, row.ts, row.src, min(hosts) if len(hosts) == 1 else None, kind, n, len(ports), len(hosts), volume, None, None)]
         return self.crawl(row, target) if self.slow else []
 
     def crawl(self, row, target) -> list[tuple]:
@@ -69,7 +122,7 @@ class ScanState:
         self.seen.add(target)
         elapsed, out = row.ts - self.first, []
         if elapsed > self.window and len(self.seen) >= enough:
-            out = [(row.packet_id, row.ts, row.src, None, "low_and_slow", len(self.seen), None, None, self.volume, round(elapsed, 1), round(self.rate, 4))]
+            out = [(row.packet_id, row.ts, row.src, None, "low_and_slow", len(self.seen), None, None, getattr(row, "before", 0) + self.volume, round(elapsed, 1), round(self.rate, 4))]
         if out or elapsed > age:
             self.first = None
         return out
@@ -147,7 +200,7 @@ class SessionState:
             self.flags = {"src": row.src, "sport": row.sport, "proto": row.proto, "state": "NONE", "fin": set()}
         follow(self.flags, row)
         self.last = row.ts
-        return [(row.packet_id, self.session)]
+        return [(row.packet_id, row.fkey, row.segment, self.session)]
 
     def end(self) -> list[tuple]:
         return []
@@ -179,11 +232,13 @@ def sessionize(packets: DataFrame, established: float = 300.0, other: float = 60
     """Adds session_no to each packet: a flow ends when it is silent for longer than its state allows, and its next packet starts a new one."""
     from ..functions.expressions import canonical_flow_key, flow_key_text
 
-    rows = packets.withColumn("fkey", flow_key_text(canonical_flow_key()))
-    gap = F.col("ts") - F.lag("ts").over(Window.partitionBy("fkey").orderBy("ts", "packet_id"))
-    cut = F.sum(F.coalesce((gap > max(established, other)).cast("int"), F.lit(0))).over(Window.partitionBy("fkey").orderBy("ts", "packet_id"))
-    pieces = rows.withColumn("piece", cut)  # no state outlives this pause, so a busy key's pieces are folds of their own
-    fold = sorted_fold(pieces.select("fkey", "piece", "packet_id", "ts", "src", "sport", "proto", "flags"), ["fkey", "piece"], ["ts", "packet_id"], lambda: SessionState(established, other), "packet_id long, within long")
-    joined = pieces.join(fold, "packet_id")
-    number = F.dense_rank().over(Window.partitionBy("fkey").orderBy("piece", "within")) - 1
-    return joined.withColumn("session_no", number).drop("fkey", "piece", "within")
+    rows = packets.withColumn("fkey", F.coalesce(flow_key_text(canonical_flow_key()), F.lit("")))
+    # no state outlives the longer pause, so the pieces between such pauses are folds of their own
+    pieces = segments(rows.select("fkey", "packet_id", "ts", "src", "sport", "proto", "flags"), "fkey", max(established, other))
+    schema = "packet_id long, fkey string, segment long, within long"
+    fold = sorted_fold(pieces, ["fkey", "segment"], ["ts", "packet_id"], lambda: SessionState(established, other), schema)
+    ahead = Window.partitionBy("fkey").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = fold.groupBy("fkey", "segment").agg((F.max("within") + 1).alias("sessions"))
+    first = sizes.select("fkey", "segment", F.coalesce(F.sum("sessions").over(ahead), F.lit(0)).alias("first"))
+    numbers = fold.join(first, ["fkey", "segment"]).select("packet_id", (F.col("first") + F.col("within")).alias("session_no"))
+    return packets.join(numbers, "packet_id")

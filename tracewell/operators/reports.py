@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import ack_packets, pure_syn, syn_flow_key, syn_with_ports
-from .folds import sorted_fold
+from .folds import sliding_distinct, sorted_fold
 
 SEVERITIES, TYPES = ("low", "medium", "high", "critical"), ("port_scan", "syn_flood", "dns_tunnel", "arp_spoof")
 
@@ -14,9 +14,7 @@ SEVERITIES, TYPES = ("low", "medium", "high", "critical"), ("port_scan", "syn_fl
 def scan_window(packets: DataFrame, window: float = 10.0) -> DataFrame:
     """Distinct targets of the source in the last `window` seconds at each opened connection, without any reset."""
     syn = packets.where(pure_syn()).select("packet_id", "ts", "src", "dst", "dport")
-    last = F.expr(f"collect_list(struct(packet_id, ts, dst, dport)) over (partition by src order by ts range between {float(window)}D preceding and current row)")
-    seen = F.filter(last, lambda x: (x["ts"] < F.col("ts")) | (x["packet_id"] <= F.col("packet_id")))
-    return syn.select("packet_id", "src", F.size(F.array_distinct(F.transform(seen, lambda x: F.struct(x["dst"].alias("h"), x["dport"].alias("p"))))).cast("long").alias("targets"))
+    return sliding_distinct(syn, ["src"], F.struct("dst", "dport"), window, "targets").select("packet_id", "src", "targets")
 
 
 def flood_window(packets: DataFrame, window: float = 5.0) -> DataFrame:

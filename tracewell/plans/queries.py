@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +13,7 @@ from ..operators import flows as L
 from ..operators import folds as S
 from ..operators import reports as R
 from ..sources.captures import capture_filter
-from ..sources.tables import upsert_latest
+from ..sources.tables import shared_folder, stored, upsert_latest
 from .packets import PACKETS_SQL, packets
 
 QUERIES: dict = {}
@@ -60,7 +59,7 @@ dd AS (SELECT *, CASE WHEN len(labels) > 2 THEN array_to_string(labels[1:len(lab
 ch AS (SELECT subdomain, c, count(*) AS n FROM (SELECT subdomain, unnest(string_split(subdomain, '')) AS c FROM (SELECT DISTINCT subdomain FROM dd)) GROUP BY 1, 2),
 en AS (SELECT subdomain, -sum(n * 1.0 / length(subdomain) * log2(n * 1.0 / length(subdomain))) AS entropy FROM ch WHERE c <> '' GROUP BY subdomain),
 bu AS (SELECT a.packet_id, count(DISTINCT b.subdomain) FILTER (WHERE b.subdomain <> '') AS burst FROM dd a JOIN dd b ON a.src = b.src AND a.parent = b.parent AND b.packet_id <= a.packet_id AND b.ts >= a.ts - 15 GROUP BY a.packet_id),
-dns AS (SELECT dd.*, coalesce(entropy, 0) AS entropy, CASE WHEN burst >= 15 THEN burst ELSE 0 END AS burst,
+dns AS (SELECT dd.*, coalesce(entropy, 0) AS entropy, coalesce(burst, 0) AS burst,
         CAST((CASE WHEN length(qname) >= 50 THEN 1 ELSE 0 END) + (CASE WHEN coalesce(entropy, 0) >= 3.5 AND length(subdomain) >= 10 THEN 2 ELSE 0 END) + (CASE WHEN dns_qtype IN (10, 16) THEN 1 ELSE 0 END) + (CASE WHEN burst >= 15 THEN 2 ELSE 0 END) AS BIGINT) AS score
       FROM dd LEFT JOIN en USING (subdomain) JOIN bu USING (packet_id)),
 da AS (SELECT packet_id, ts, 'dns_tunnel' AS alert_type, CASE WHEN score >= 5 THEN 'high' ELSE 'medium' END AS severity, src, dst FROM dns WHERE score >= 3),
@@ -100,8 +99,9 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.aggregate_flows(packets(spark, sf_dir))
 
 
-def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.Registry().run(packets(spark, sf_dir))
+def alerts(spark: SparkSession, sf_dir: str, p: DataFrame | None = None) -> DataFrame:
+    """The alerts of all detectors over a stored packets table, stored themselves: both are read more than once."""
+    return stored(D.Registry().run(p or stored(packets(spark, sf_dir), "packets")), "alerts")
 
 
 @query("src3_packets", "SELECT packet_id, ts, src, dst, proto, sport, dport, flags, size FROM p")
@@ -190,7 +190,8 @@ LEFT JOIN (SELECT CAST(floor(ts / 60) * 60 AS DOUBLE) AS minute_ts, CAST(count(*
 
 @query("agg7_minute_stats", _MINUTE)
 def _(spark, d):
-    return L.minute_stats(packets(spark, d), alerts(spark, d))
+    p = stored(packets(spark, d), "packets")
+    return L.minute_stats(p, alerts(spark, d, p))
 
 
 QUERIES["jn3_minute_packets_alerts"], ORACLE_SQL["jn3_minute_packets_alerts"] = QUERIES["agg7_minute_stats"], ORACLE_SQL["agg7_minute_stats"]
@@ -211,9 +212,9 @@ def _(spark, d):
     return R.flood_window(packets(spark, d))
 
 
-@query("win3_dns_burst", "SELECT packet_id, CAST(burst AS BIGINT) AS burst FROM dns WHERE burst >= 15")
+@query("win3_dns_burst", "SELECT packet_id, CAST(burst AS BIGINT) AS burst FROM dns")
 def _(spark, d):
-    return D.dns_scores(packets(spark, d)).where("burst >= 15").select("packet_id", "burst")
+    return D.dns_scores(packets(spark, d)).select("packet_id", "burst")
 
 
 @query("win4_arp_conflict", "SELECT packet_id, ip, mac, original_mac FROM al WHERE original_mac <> mac")
@@ -350,24 +351,28 @@ def _(spark, d):
 
 @query("agg6_dashboard_summary", f"SELECT (SELECT CAST(count(*) AS BIGINT) FROM alerts) AS total_alerts, (SELECT CAST(coalesce(sum(bytes_sent), 0) AS BIGINT) FROM ({_TALKERS} LIMIT 5)) AS top_bytes, (SELECT CAST(count(*) AS BIGINT) FROM ({_TALKERS} LIMIT 5)) AS top_talkers, (SELECT CAST(count(DISTINCT proto) AS BIGINT) FROM p) AS protocols")
 def _(spark, d):
-    return R.dashboard_summary(alerts(spark, d), flows(spark, d)).select("total_alerts", "top_bytes", "top_talkers", "protocols")
+    p = stored(packets(spark, d), "packets")
+    return R.dashboard_summary(alerts(spark, d, p), stored(L.aggregate_flows(p), "flows")).select("total_alerts", "top_bytes", "top_talkers", "protocols")
 
 
 @query("jn4_alerts_with_truth", "SELECT alert_type, label, CAST(count(*) AS BIGINT) AS n FROM alerts JOIN p USING (packet_id) GROUP BY 1, 2")
 def _(spark, d):
-    return alerts(spark, d).join(packets(spark, d).select("packet_id", "label"), "packet_id").groupBy("alert_type", "label").agg(F.count("*").alias("n"))
+    p = stored(packets(spark, d), "packets")
+    return alerts(spark, d, p).join(p.select("packet_id", "label"), "packet_id").groupBy("alert_type", "label").agg(F.count("*").alias("n"))
 
 
 @query("jn5_missed_packets", "SELECT packet_id, label FROM p WHERE label <> 'benign' AND packet_id NOT IN (SELECT packet_id FROM alerts)")
 def _(spark, d):
-    return packets(spark, d).where("label <> 'benign'").join(alerts(spark, d).select("packet_id").distinct(), "packet_id", "left_anti").select("packet_id", "label")
+    p = stored(packets(spark, d), "packets")
+    return p.where("label <> 'benign'").join(alerts(spark, d, p).select("packet_id").distinct(), "packet_id", "left_anti").select("packet_id", "label")
 
 
 @query("agg9_detection_metrics", """SELECT t AS alert_type, tp, fp, fn, round(CASE WHEN tp + fp > 0 THEN tp * 1.0E0 / (tp + fp) WHEN fn = 0 THEN 1 ELSE 0 END, 4) AS precision, CASE WHEN tp > 0 THEN 1.0E0 ELSE 0.0E0 END AS recall FROM (
 SELECT t, CAST((SELECT count(*) FROM alerts JOIN p USING (packet_id) WHERE alert_type = t AND label = t) AS BIGINT) AS tp, CAST((SELECT count(*) FROM alerts JOIN p USING (packet_id) WHERE alert_type = t AND label <> t) AS BIGINT) AS fp,
 CAST((SELECT count(*) FROM p WHERE label = t AND packet_id NOT IN (SELECT packet_id FROM alerts)) AS BIGINT) AS fn FROM (SELECT unnest(['port_scan', 'syn_flood', 'dns_tunnel', 'arp_spoof']) AS t))""")
 def _(spark, d):
-    return R.detection_metrics(packets(spark, d), alerts(spark, d)).select("alert_type", "tp", "fp", "fn", "precision", "recall")
+    p = stored(packets(spark, d), "packets")
+    return R.detection_metrics(p, alerts(spark, d, p)).select("alert_type", "tp", "fp", "fn", "precision", "recall")
 
 
 @query("agg10_cms_build", "SELECT CAST(row AS INT) AS row, col, cnt FROM cs")
@@ -415,8 +420,7 @@ def _(spark, d):
     from ..streaming.jobs import run_available, stream_minute_stats, upsert_sink
     from .packets import packets_of
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    base = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     events = spark.read.parquet(f"{d}/events.parquet")
     events.write.parquet(f"{base}/events")
     stream = packets_of(spark.readStream.schema(events.schema).parquet(f"{base}/events")).withColumn("event_time", X.event_time(F.col("ts"))).withWatermark("event_time", "1 minute")
