@@ -11,6 +11,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import save
 
 CAPACITY = 4096
-#: Pieces that one task packs, the share of free room from which a bin is given up, and rounds at most.
-PIECES_A_TASK, SLACK, ROUNDS = 20_000, 1 / 256, 6
+#: Pieces that one task packs, and the share of free room up to which a bin counts as full.
+PIECES_A_TASK, SLACK = 20_000, 1 / 256
 END = 1
 
 
@@ -42,6 +43,7 @@ class WordTokenizer:
     #: The alternatives of the file's pre-tokenizer, for texts that PLAIN matches.
     WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
     PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įĲ-ž]*")
+    #: Chunks between white space, which is never in a word, whose ids are kept; beyond that all are forgotten and learnt anew.
     KEPT = 400_000
 
     def __init__(self, path: str):
@@ -51,22 +53,32 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        vocabulary = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
         self.ids: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if "<|" in text or not self.PLAIN.fullmatch(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = self.WORDS.findall(text.lower())
+        chunks = text.lower().split()
         try:
-            return b"".join(map(self.ids.__getitem__, words))
+            return b"".join(map(self.ids.__getitem__, chunks))
         except KeyError:
             if len(self.ids) > self.KEPT:
-                self.ids.clear()
-            new = list({w for w in words if w not in self.ids})
-            for w, e in zip(new, self.whole.encode_batch(new, add_special_tokens=False), strict=True):
-                self.ids[w] = np.array(e.ids, "<u4").tobytes()
-            return b"".join(map(self.ids.__getitem__, words))
+                self.ids = {}
+            self._learn([c for c in set(chunks) if c not in self.ids])
+            return b"".join(map(self.ids.__getitem__, chunks))
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Encodes chunks together: a word's last token alone ends with the file's mark, so the words that a chunk has tell where its ids end."""
+        ids = np.array(self.whole.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
+        words = np.cumsum([0, *map(len, map(self.WORDS.findall, chunks))])
+        cut = (np.append(0, np.flatnonzero(self.ends[ids]) + 1)[words] * 4).tolist()
+        own = ids.tobytes()
+        for c, a, b in zip(chunks, cut[:-1], cut[1:], strict=True):
+            self.ids[c] = own[a:b]
 
 
 def _pieces(path: str, capacity: int, with_ids: bool):
@@ -135,7 +147,7 @@ def _pack(turn: int, capacity: int):
         group = group.sort_values(["length", "doc_id", "piece", "rid"], ascending=[False, True, True, True], ignore_index=True)
         place, offset, free = best_fit(group["length"].to_numpy(), capacity)
         values, counts = np.unique(group["length"].to_numpy(), return_counts=True)
-        group["sequence_id"] = ((turn << 56) + (group["part"].to_numpy(np.int64) << 24) + place) * 2
+        group["sequence_id"] = ((turn << 48) + (group["part"].to_numpy(np.int64) << 20) + place) * 2
         group["offset"], group["free"] = offset, free[place]
         group["certified"] = len(free) == lower_bound(values, counts, capacity)
         return group.drop(columns="part")
@@ -148,7 +160,10 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     it was placed) and ids (little-endian unsigned 32-bit, if with_ids).
 
     A null text is empty; an empty one is its end id alone. Rows that repeat, also by doc_id, are packed each; a null doc_id stays null. Only documents over
-    capacity tokens are cut. Ties in length go by doc_id and piece. Other columns are not read."""
+    capacity tokens are cut. Ties in length go by doc_id and piece. Other columns are not read.
+
+    Bins with at most SLACK of their room free are closed; the others' pieces are dealt anew, to fewer partitions, round after round until the bins are as few as
+    the bound over all pieces allows, one partition holds all that are open, or a round has no fewer bins than the one before, whose places then stay."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     all_of = "rid long, doc_id long, piece int, start long, length long, ids_crc32 long"
     pieces = save(docs.mapInArrow(_pieces(tokenizer or default_tokenizer(), capacity, with_ids), f"{all_of}, ids binary"), "pieces")
@@ -160,7 +175,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     slack = int(capacity * SLACK)
     closed = int(histogram[histogram[:, 0] == capacity, 1].sum())
     held, given_up, gaps = int(histogram[:, 1].sum()) - closed, None, 0
-    for turn in range(ROUNDS):
+    for turn in count():
         parts = -(-held // PIECES_A_TASK)
         if not parts:
             break
@@ -189,4 +204,5 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def op1_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """pack over all documents; nulls, ties and repeated rows as there."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("certified")
