@@ -230,4 +230,5 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
+    """leaks over all documents and benchmark items; nulls, empties and repeated rows as there."""
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
