@@ -281,7 +281,7 @@ def jaccard_components(docs: DataFrame, threshold: tuple[int, int] = (4, 5), blo
         large = large.join(components(hub_links).select(F.col("node").alias("doc_id"), F.col("root").alias("piece")), "doc_id", "left").withColumn("piece", F.coalesce("piece", "doc_id"))
         large = save(large, "contracted")
         small = small.unionByName(_block_pairs(large, num, den, block))
-    whole = docs.join(small, "doc_id")
+    whole = docs.join(small.hint("merge"), "doc_id")  # of any size: the candidates grow with the documents
     links = save(whole.groupBy("bin").applyInPandas(_link_groups(num, den), "a long, b long"), "verified")
     linked = components(links.union(hub_links) if hub_links is not None else links)
 
@@ -299,7 +299,7 @@ def _hub_links(docs: DataFrame, large: DataFrame, stars: DataFrame, num: int, de
     one = save(one, "fans")
     bins = max(16, -(-known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 1_000_000))
     sent = one.select(F.col("a").alias("doc_id"), "grp", F.lit(1).alias("side")).union(one.select("b", "grp", F.lit(2)).distinct())
-    whole = docs.join(sent.withColumn("bin", F.pmod("grp", F.lit(bins))), "doc_id")
+    whole = docs.join(sent.withColumn("bin", F.pmod("grp", F.lit(bins))).hint("merge"), "doc_id")
     return save(whole.groupBy("bin").applyInPandas(_link_fans(num, den), "a long, b long"), "hub-links")
 
 
@@ -324,4 +324,5 @@ def _block_pairs(large: DataFrame, num: int, den: int, block: int) -> DataFrame:
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """jaccard_components over all documents; nulls, empties and repeated rows as there."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
