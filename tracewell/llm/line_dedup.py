@@ -30,11 +30,12 @@ def lines(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """For each document that loses lines: uid, n_dropped and dropped, an array of (word, bits): bit b of word w stands for line 64 * w + b, and words
+    """For each document that loses lines: doc_id, uid, n_dropped and dropped, an array of (word, bits): bit b of word w stands for line 64 * w + b, and words
     without a bit are left out, as are documents that keep all lines.
 
     A key of at least min_chars code points in at least min_docs documents loses its lines but for those in the largest doc_id that holds it. docs needs
-    doc_id, text and uid, a name for the row; rows that repeat a doc_id count as one document. Null texts are one empty line; of a null doc_id no line goes.
+    doc_id, text and uid, which tells rows of one doc_id apart; rows that repeat a doc_id count as one document, and rows equal in both have one bitmap. Null
+    texts are one empty line; of a null doc_id no line goes.
 
     A window keeps a hash in one task, which a very common line would fill. A sample of the lines names the hashes that may be so common (it decides
     nothing else); their documents are counted by partial aggregation, and their lines meet the few counts by broadcast."""
@@ -55,22 +56,26 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
 
     gone = streamed.select("uid", "pos", "doc_id", "docs", "last").union(common.select("uid", "pos", "doc_id", "docs", "last"))
     gone = gone.where((F.col("docs") >= min_docs) & (F.col("doc_id") != F.col("last")))
-    words = gone.repartition("uid").groupBy("uid", F.expr("pos div 64").cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, pos % 64))").alias("bits"))
-    return words.groupBy("uid").agg(F.sum(F.bit_count("bits")).alias("n_dropped"), F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
+    words = gone.repartition("doc_id", "uid").groupBy("doc_id", "uid", F.expr("pos div 64").cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, pos % 64))").alias("bits"))
+    return words.groupBy("doc_id", "uid").agg(F.sum(F.bit_count("bits")).alias("n_dropped"), F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
 
 
-def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """docs with text less the lines that keep_bitmaps() drops, and with n_lines (before) and n_dropped. Null texts become empty; other columns stay."""
-    names = docs.columns
+def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, counts: bool = True) -> DataFrame:
+    """docs with text less the lines that keep_bitmaps() drops, and, with counts, n_lines (before) and n_dropped, which replace columns of these names. Null
+    texts become empty; other columns stay, and rows that repeat stay as often as they were there."""
+    names = [c for c in docs.columns if not counts or c.lower() not in ("n_lines", "n_dropped")]
     docs = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("uid"))
     maps = keep_bitmaps(docs.select("doc_id", "text", "uid"), min_chars, min_docs)
-    both = docs.join(maps, "uid", "left").withColumn("parts", F.split(F.coalesce("text", F.lit("")), "\n", -1)).withColumn("bits", F.map_from_entries("dropped"))
+    # texts of one doc_id alone could share a uid, so no number of rows makes that likely
+    both = docs.join(maps, ["doc_id", "uid"], "left").withColumn("parts", F.split(F.coalesce("text", F.lit("")), "\n", -1)).withColumn("bits", F.map_from_entries("dropped"))
     stays = F.array_join(F.filter("parts", lambda x, i: F.getbit(F.coalesce(F.try_element_at("bits", F.floor(i / 64).cast("int")), F.lit(0).cast("long")), i % 64) == 0), "\n")
     kept = F.when(F.col("dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(stays)
-    return both.select(*[kept.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names], F.size("parts").cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"))
+    out = [kept.alias(c) if c.lower() == "text" else F.col(f"row.`{c}`").alias(c) for c in names]
+    return both.select(*out, *([F.size("parts").cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped")] if counts else []))
 
 
 def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """drop_lines over all documents; nulls, empties, ties and repeated rows as there."""
     out = drop_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
