@@ -62,8 +62,8 @@ def _plan(pages: DataFrame, min_bytes: int) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, every_row: bool = False) -> DataFrame:
-    """Write a record for each distinct row of pages (page_id, url, html), or with every_row for each row, to path/archives and the index to path/index, which is returned: page_id, url, file,
-    offset, length, payload_digest, payload_bytes, record_type, refers_to. The index is complete before any archive is read.
+    """Write a record for each distinct row of pages (page_id, url, html), or with every_row for each row, to path/archives and the index to path/index, which
+    is returned: page_id, url, file, offset, length, payload_digest, payload_bytes, record_type, refers_to. The index is complete before any archive is read.
 
     Of records with equal payloads of at least min_bytes, that of the largest page_id holds it and others revisit it; a null html is empty. Rows of unlike urls that
     share the largest page_id all hold it, and so do rows equal in all three columns, with every_row. A null page_id is written as such and revisits nothing.
@@ -71,7 +71,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, every_row: b
     are those of the member. A task writes files of new names and tells the index of them: of a task that is tried again, the index has the files of
     the attempt that ended well alone, and no file is ever written twice."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")))).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    pages = pages.withColumn("row", F.xxhash64("page_id", "url", "html"))
+    # 128 bits, so that no two of any number of rows share a name by chance
+    pages = pages.withColumn("row", F.struct(F.xxhash64("page_id", "url", "html").alias("a"), F.xxhash64(F.lit("second"), "html", "url", "page_id").alias("b")))
     written = pages if every_row else pages.dropDuplicates(["row"])
     rows = written.select("row", "html").join(_plan(pages, min_bytes), "row")
     rows = rows.select(*_KEPT, F.col("head").cast("binary").alias("head"), F.when(F.col("record_type") == "response", F.col("html")).otherwise("").cast("binary").alias("body"))
@@ -163,6 +164,7 @@ def read_records(index: DataFrame) -> DataFrame:
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
+    """write_archives with a record for each row of pages, and read_records of all; nulls, empties and repeated rows as there."""
     index = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), new_path(spark, "warc"), every_row=True)
     return read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
