@@ -3,7 +3,10 @@ trained on the outcome decides which candidates are spans beside the base ones."
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import save
 
+#: The kinds with base patterns, and those that the method alone finds.
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret")
 #: A candidate becomes a span if the classifier gives it this probability and this many labelers speak for it.
 ACCEPT, VOICES = 0.9, 2
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -27,6 +32,7 @@ _LOOSE = {
     1: re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
     2: re.compile(r"(?<![0-9])[0-9]{4}(?:[./_ -][0-9]{4}){3}(?![0-9])"),
     3: re.compile(r"(?<![0-9+])(?:\([0-9]{2,4}\)|0[0-9]{1,4})[ ./-]?[0-9]{2,4}(?:[ ./-][0-9]{2,4}){1,3}(?![0-9])"),
+    4: re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}"),
 }
 #: Gazetteers: fixed values.
 _TLDS = frozenset("com org net edu gov info biz io co uk de fr es it nl eu us ca au jp ch at be pl se".split())
@@ -38,6 +44,11 @@ _CONTEXT = (
     re.compile(r"\b(?:card|visa|mastercard|amex|credit|payment|carte|tarjeta|karte)\b", re.I),
     re.compile(r"\b(?:phone|tel|telephone|call|mobile|cell|fax|sms|telefon|tél|teléfono)\b", re.I),
 )
+#: Of secrets: names that a value follows, words around, names of values that are public, and shapes that credentials have.
+_KEYS = re.compile(r"\b(?:[a-z]{0,16}[_-]?(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer))\b[\"']?\s{0,3}(?:=|:|=>)?\s{0,3}[\"']?$", re.I)
+_CREDENTIAL = re.compile(r"\b(?:token|secret|password|passwd|credential|credentials|login|key|bearer|auth|authorization|api)\b", re.I)
+_PUBLIC = re.compile(r"\b(?:commit|sha-?(?:1|256|512)?|md5|checksum|digest|etag|uuid|hash|build|rev|revision|fingerprint|version|isbn|order|sku)\b[\"']?\W{0,4}$", re.I)
+_SHAPE = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|[sp]k_[A-Za-z0-9_]{16,}|xox[abp]-[A-Za-z0-9-]{10,})")
 _AGAINST = re.compile(r"\b(?:isbn|version|order|sku|part|token|hash|id|no|nr|serial|build)\b\W*$", re.I)
 
 
@@ -73,20 +84,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int, int, bool]]:
-    """The base spans, and looser ones that overlap none of them."""
+    """The base spans, and looser ones that overlap none of them; of secrets, runs that mix letters and digits."""
     base = base_spans(text)
     out = [(*s, True) for s in base]
     low = text.lower() if " at " in text or "(at)" in text or "[at]" in text else ""
+    starts, ends, end = [], [], 0
+    for _, a, b in sorted(base, key=lambda s: s[1]):  # of their union
+        if starts and a <= end:
+            ends[-1] = end = max(end, b)
+        else:
+            starts.append(a)
+            ends.append(end := b)
     for kind, shape in _LOOSE.items():
         if kind == 0 and " dot " not in low and "(at)" not in low and "[at]" not in low:
             continue
-        out += [(kind, m.start(), m.end(), False) for m in shape.finditer(text) if not any(a < m.end() and m.start() < b for _, a, b in base)]
+        for m in shape.finditer(text):
+            k = bisect_left(starts, m.end()) - 1  # the last that begins before the match ends
+            if (k < 0 or ends[k] <= m.start()) and (kind != 4 or re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])):
+                out.append((kind, m.start(), m.end(), False))
     return out
 
 
+def bits(text: str) -> float:
+    """Shannon's entropy of the characters."""
+    return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
+
+
 def votes(text: str, kind: int, start: int, end: int, base: bool) -> tuple[int, ...]:
-    """Of each labeler: 1 for personal data, 0 against, 2 for no vote. Pattern, gazetteer, words around, check of the digits, and what stands directly before."""
+    """Of each labeler: 1 for personal data, 0 against, 2 for no vote. Pattern, gazetteer, words around, check of the characters, and what stands directly before."""
     span, before = text[start:end], text[max(0, start - 40) : start]
+    around = before + " " + text[end : end + 20]
+    if kind == 4:
+        known = 1 if _KEYS.search(before) else 2
+        rate = bits(span)
+        return 1 if _SHAPE.fullmatch(span) else 2, known, 1 if _CREDENTIAL.search(around) else 2, 1 if rate >= 3 else 0, 0 if _PUBLIC.search(before) else 2
     digits = "".join(c for c in span if c.isdigit() and c.isascii())
     if kind == 0:
         known = 1 if re.split(r"[\s.()\[\]]+", span.lower())[-1] in _TLDS else 0
@@ -96,7 +127,6 @@ def votes(text: str, kind: int, start: int, end: int, base: bool) -> tuple[int,
         known = 1 if span.startswith(_CALLING) else 2
     else:
         known = 0 if span.startswith(("0.", "127.", "255.")) else 2
-    around = before + " " + text[end : end + 20]
     context = 1 if _CONTEXT[kind].search(around) else 2
     if kind == 2:
         check = int(luhn(digits))
@@ -104,7 +134,7 @@ def votes(text: str, kind: int, start: int, end: int, base: bool) -> tuple[int,
         check = 0 if not 9 <= len(digits) <= 15 or len(set(digits)) < 3 else 2
     else:
         check = 2
-    return int(base), known, context, check, 0 if _AGAINST.search(before) else 2
+    return 1 if base else 2, known, context, check, 0 if _AGAINST.search(before) else 2
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +189,7 @@ def train(counts: list[tuple[int, int]]) -> dict[int, float]:
     parts = [unpack(int(x)) for x in names]
     kinds, v, shape = np.array([x[0] for x in parts]), np.array([x[1] for x in parts]), np.array([x[2] for x in parts], float)
     target = reliabilities(kinds, v, n)
-    x = np.hstack([np.eye(4)[kinds], (v[:, :, None] == np.arange(3)).reshape(len(v), -1).astype(float), shape])
+    x = np.hstack([np.eye(len(ALL_KINDS))[kinds], (v[:, :, None] == np.arange(3)).reshape(len(v), -1).astype(float), shape])
     w = np.zeros(x.shape[1])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -168,18 +198,24 @@ def train(counts: list[tuple[int, int]]) -> dict[int, float]:
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
-    """doc_id and spans of each row: kind (email, ip, card or phone), start, end (code points, end exclusive), base and probability, by start and kind.
+    """doc_id and spans of each row: kind (email, ip, card, phone or secret), start, end (code points, end exclusive), base and probability, by start and kind.
 
     Base spans always stay; others need the classifier. It learns from the number of spans of each pattern of votes, over all rows: a table of some thousands at
-    most, whatever the input. Null and empty texts have no spans; a null doc_id stays null; rows that repeat are searched each. Other columns are not read."""
-    found = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_find, "doc_id long, spans array<struct<kind: int, start: int, end: int, base: boolean, pattern: int>>"), "spans")
+    most, whatever the input. Null and empty texts have no spans; a null doc_id stays null; rows that repeat are searched each, and each counts for the classifier.
+    Other columns are not read."""
+    shape = "doc_id long, spans array<struct<kind: int, start: int, end: int, base: boolean, pattern: int>>"
+    found = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_find, shape), "spans")
     counts = found.select(F.explode("spans.pattern").alias("p")).groupBy("p").count().collect()
     model = train([tuple(r) for r in counts])
-    good = sorted(p for p, q in model.items() if q >= ACCEPT and unpack(p)[1].count(1) >= VOICES)
-    stay = F.filter("spans", lambda s: s["base"] | s["pattern"].isin(good))
-    chance = F.create_map(*[F.lit(x) for p, q in sorted(model.items()) for x in (p, round(q, 6))]) if model else F.lit(None).cast("map<int,double>")
-    name = lambda s: F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1)
-    return found.select("doc_id", F.transform(stay, lambda s: F.struct(name(s).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), F.try_element_at(chance, s["pattern"]).alias("probability"))).alias("spans"))
+    good = {p: q >= ACCEPT and unpack(p)[1].count(1) >= VOICES for p, q in model.items()}
+    # one row that holds the model, met by a key that all rows have
+    table = docs.sparkSession.createDataFrame([(0, {p: (round(q, 6), good[p]) for p, q in model.items()})], "one int, model map<int, struct<chance: double, good: boolean>>")
+    of = lambda s: F.try_element_at("model", s["pattern"])
+    name = lambda s: F.element_at(F.array(*map(F.lit, ALL_KINDS)), s["kind"] + 1)
+    told = found.withColumn("one", F.lit(0)).join(F.broadcast(table), "one")
+    stay = F.filter("spans", lambda s: s["base"] | of(s)["good"])
+    span = lambda s: F.struct(name(s).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), of(s)["chance"].alias("probability"))
+    return told.select("doc_id", F.transform(stay, span).alias("spans"))
 
 
 def redact(text: str | None, spans: list) -> str:
@@ -193,6 +229,7 @@ def redact(text: str | None, spans: list) -> str:
 
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:
+    """find_spans over all documents, the base ones also by kind; nulls, empties and repeated rows as there."""
     found = find_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.filter("spans", lambda s: s["base"])
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
