@@ -79,19 +79,19 @@ def _parse(parts: int, length: int):
             after = h(trigger, trigger + (length - min(REACH, length // 3)))
             stretch = mix(h(first, last + length) + (trigger - first).astype(np.uint64) * U64(0x9E3779B97F4A7C15))
             doc = np.searchsorted(starts, first, "right") - 1
-            entry = {"after": after, "stretch": stretch, "doc": np.asarray(rows.column("uid"))[doc], "at": (first - starts[doc]).astype(np.int64), "n": (last - first + 1).astype(np.int32)}
+            entry = {"after": after, "stretch": stretch, "did": np.asarray(rows.column("did"))[doc], "doc": np.asarray(rows.column("uid"))[doc], "at": (first - starts[doc]).astype(np.int64), "n": (last - first + 1).astype(np.int32)}
             order = np.lexsort((stretch, after))
             new = np.concatenate([[True], (after[order][1:] != after[order][:-1]) | (stretch[order][1:] != stretch[order][:-1])])
             size = np.diff(np.append(np.flatnonzero(new), len(order)))
             kept, rest = order[new], order[~new]
-            entry = {k: v[kept] for k, v in entry.items()} | {"twice": (size > 1).astype(np.int8)} | {f"r_{k}": entry[k][rest] for k in ("doc", "at", "n")}
+            entry = {k: v[kept] for k, v in entry.items()} | {"twice": (size > 1).astype(np.int8)} | {f"r_{k}": entry[k][rest] for k in ("did", "doc", "at", "n")}
             yield _send(parts, entry["after"], {k: v for k, v in entry.items() if k[:2] != "r_"}, {k: v for k, v in entry.items() if k[:2] == "r_"})
 
     return run
 
 
-_ENTRY = {"after": np.uint64, "stretch": np.uint64, "doc": np.int64, "at": np.int64, "n": np.int32, "twice": np.int8}
-_PARSE_SCHEMA = "part int, " + ", ".join(f"{k} binary" for k in (*_ENTRY, "r_doc", "r_at", "r_n"))
+_ENTRY = {"after": np.uint64, "stretch": np.uint64, "did": np.int64, "doc": np.int64, "at": np.int64, "n": np.int32, "twice": np.int8}
+_PARSE_SCHEMA = "part int, " + ", ".join(f"{k} binary" for k in (*_ENTRY, "r_did", "r_doc", "r_at", "r_n"))
 
 
 def _unpack(group: pd.DataFrame, kinds: dict[str, type]) -> dict[str, np.ndarray]:
@@ -101,7 +101,7 @@ def _unpack(group: pd.DataFrame, kinds: dict[str, type]) -> dict[str, np.ndarray
 def _sort_parse(group: pd.DataFrame) -> pd.DataFrame:
     """whole: the phrase's strings all repeat; else they may."""
     e = _unpack(group, _ENTRY)
-    r = _unpack(group, {"r_doc": np.int64, "r_at": np.int64, "r_n": np.int32})
+    r = _unpack(group, {"r_did": np.int64, "r_doc": np.int64, "r_at": np.int64, "r_n": np.int32})
     order = np.lexsort((e["stretch"], e["after"]))
     e = {k: v[order] for k, v in e.items()}
     new_after = np.concatenate([[True], e["after"][1:] != e["after"][:-1]])[: len(order)]
@@ -116,7 +116,7 @@ def _sort_parse(group: pd.DataFrame) -> pd.DataFrame:
     else:
         shared = again = whole
     pick = lambda k: np.concatenate([e[k][shared], e[k][again], r[f"r_{k}"]])
-    return pd.DataFrame({"uid": pick("doc"), "at": pick("at"), "n": pick("n"), "whole": np.concatenate([whole[shared], np.zeros(int(again.sum()), bool), np.ones(len(r["r_doc"]), bool)])})
+    return pd.DataFrame({"did": pick("did"), "uid": pick("doc"), "at": pick("at"), "n": pick("n"), "whole": np.concatenate([whole[shared], np.zeros(int(again.sum()), bool), np.ones(len(r["r_doc"]), bool)])})
 
 
 def _suffixes(parts: int, length: int):
@@ -134,26 +134,26 @@ def _suffixes(parts: int, length: int):
             order = np.lexsort((b, a))
             new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
             size = np.diff(np.append(np.flatnonzero(new), len(order)))
-            uid, place = np.asarray(rows.column("uid"))[doc], i - starts[doc]
+            did, uid, place = np.asarray(rows.column("did"))[doc], np.asarray(rows.column("uid"))[doc], i - starts[doc]
             kept, rest = order[new], order[~new]
-            yield _send(parts, a[kept], {"a": a[kept], "b": b[kept], "doc": uid[kept], "at": place[kept], "twice": (size > 1).astype(np.int8)}, {"r_doc": uid[rest], "r_at": place[rest]})
+            yield _send(parts, a[kept], {"a": a[kept], "b": b[kept], "did": did[kept], "doc": uid[kept], "at": place[kept], "twice": (size > 1).astype(np.int8)}, {"r_did": did[rest], "r_doc": uid[rest], "r_at": place[rest]})
 
     return run
 
 
 def _sort_suffixes(group: pd.DataFrame) -> pd.DataFrame:
-    e = _unpack(group, {"a": np.uint64, "b": np.uint64, "doc": np.int64, "at": np.int64, "twice": np.int8})
-    r = _unpack(group, {"r_doc": np.int64, "r_at": np.int64})
+    e = _unpack(group, {"a": np.uint64, "b": np.uint64, "did": np.int64, "doc": np.int64, "at": np.int64, "twice": np.int8})
+    r = _unpack(group, {"r_did": np.int64, "r_doc": np.int64, "r_at": np.int64})
     order = np.lexsort((e["b"], e["a"]))
     a, b = e["a"][order], e["b"][order]
     runs = np.cumsum(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(order)]) - 1
     repeat = (np.bincount(runs)[runs] > 1) | (np.bincount(runs, e["twice"][order])[runs] > 0) if len(runs) else np.zeros(0, bool)
-    doc, at = np.concatenate([e["doc"][order][repeat], r["r_doc"]]), np.concatenate([e["at"][order][repeat], r["r_at"]])
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)])[: len(doc)]
+    did, doc, at = (np.concatenate([e[k][order][repeat], r[f"r_{k}"]]) for k in ("did", "doc", "at"))
+    order = np.lexsort((at, doc, did))
+    did, doc, at = did[order], doc[order], at[order]
+    new = np.concatenate([[True], (did[1:] != did[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)])[: len(doc)]
     begin = np.flatnonzero(new)
-    return pd.DataFrame({"uid": doc[begin], "at": at[begin], "n": np.diff(np.append(begin, len(doc))).astype(np.int32)})
+    return pd.DataFrame({"did": did[begin], "uid": doc[begin], "at": at[begin], "n": np.diff(np.append(begin, len(doc))).astype(np.int32)})
 
 
 def _cut(length: int):
@@ -191,22 +191,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A byte goes if a string of `length` bytes that covers it starts anywhere else too, in any row or the same one; strings are judged on the
     input. A null text is empty, and texts shorter than `length` stay whole. Rows that repeat a doc_id are texts of their own, so equal rows repeat each
     other. Other columns are not read."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("uid", F.xxhash64("doc_id", "text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # a row goes by both, so texts of one doc_id alone could share a name
+    docs = docs.withColumn("did", F.coalesce("doc_id", F.lit(0).cast("long"))).withColumn("uid", F.xxhash64("doc_id", "text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(16, -(-total // 60 // ENTRIES_A_TASK))
-    spans = save(docs.mapInArrow(_parse(parts, length), _PARSE_SCHEMA).groupBy("part").applyInPandas(_sort_parse, "uid long, at long, n int, whole boolean"), "phrases")
-    once = lambda rows: rows.groupBy("uid").agg(F.collect_list(F.struct("at", "n")).alias("s")).select("uid", F.col("s.at").alias("ats"), F.col("s.n").alias("ns"))
+    spans = save(docs.mapInArrow(_parse(parts, length), _PARSE_SCHEMA).groupBy("part").applyInPandas(_sort_parse, "did long, uid long, at long, n int, whole boolean"), "phrases")
+    once = lambda rows: rows.groupBy("did", "uid").agg(F.collect_list(F.struct("at", "n")).alias("s")).select("did", "uid", F.col("s.at").alias("ats"), F.col("s.n").alias("ns"))
     ends = spans.where("not whole")
     left = ends.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(16, -(-left // ENTRIES_A_TASK))
-    texts = docs.select("uid", "text").join(once(ends.distinct()), "uid")
-    single = texts.mapInArrow(_suffixes(parts, length), "part int, a binary, b binary, doc binary, at binary, twice binary, r_doc binary, r_at binary")
-    single = single.groupBy("part").applyInPandas(_sort_suffixes, "uid long, at long, n int")
-    gone = save(spans.where("whole").select("uid", "at", "n").union(single), "repeats")
+    texts = docs.select("did", "uid", "text").join(once(ends.distinct()), ["did", "uid"])
+    single = texts.mapInArrow(_suffixes(parts, length), "part int, a binary, b binary, did binary, doc binary, at binary, twice binary, r_did binary, r_doc binary, r_at binary")
+    single = single.groupBy("part").applyInPandas(_sort_suffixes, "did long, uid long, at long, n int")
+    gone = save(spans.where("whole").select("did", "uid", "at", "n").union(single), "repeats")
     empty = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>")).alias(c)
-    whole = docs.join(once(gone), "uid", "left").select("doc_id", "text", empty("ats", "bigint"), empty("ns", "int"))
+    whole = docs.join(once(gone), ["did", "uid"], "left").select("doc_id", "text", empty("ats", "bigint"), empty("ns", "int"))
     return whole.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """remove_repeats over all documents; nulls, empties and repeated rows as there."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
