@@ -1,7 +1,8 @@
 """Toxicity by a support vector machine over a subsequence string kernel with Nyström landmarks.
 
 The kernel of two strings counts the subsequences of four symbols that they share, each occurrence worth less for every symbol it skips, so an insult keeps most
-of its weight with letters put in or left out. Landmarks are a few fragments of the labelled texts; a string's kernel values to them are its features. The
+of its weight with letters put in or left out. A sentence is judged by its worst fragment, a word (also one spelled out letter by letter) or two neighbouring
+words, and a text by its two worst sentences. Landmarks are a few fragments of the labelled texts; a string's kernel values to them are its features. The
 machine is linear in these, and each kernel value is linear in the string's subsequence counts, so the whole machine is one weight for each of the possible
 subsequences: scoring a text is looking these up.
 """
@@ -22,9 +23,9 @@ from .common import give_back
 #: Symbols of a subsequence, what a skipped symbol leaves of the weight, the most symbols skipped, landmarks, and labelled texts of each label to learn from
 #: (those of least hash, whole), of MAX_CHARS code points together.
 LENGTH, DECAY, GAPS, LANDMARKS, SAMPLE, MAX_CHARS = 4, 0.5, 2, 256, 2_500, 8_000_000
-#: Distinct clean words in the first training, rounds in which witnesses and hard clean fragments are named anew, and a
-#: toxic text's fragments of highest odds, of which one is its witness.
-CLEAN_WORDS, ROUNDS, BAG = 30_000, 5, 20
+#: Distinct clean fragments in the first training (of least hash), rounds in which witnesses and hard clean fragments are named anew, a toxic text's fragments of
+#: highest odds, of which one is its witness, and the symbols of a word that is learnt from, at least and at most.
+CLEAN_WORDS, ROUNDS, BAG, SHORT, WIDE = 30_000, 5, 20, 3, 40
 CODES = 32**LENGTH
 PATTERNS = [(a, b, c, DECAY ** (c - 3)) for c in range(3, 6) for b in range(2, c) for a in range(1, b) if c - 3 <= GAPS]
 
@@ -46,19 +47,46 @@ EDGES = ((_code >> 10 & 31) > 0) & ((_code >> 5 & 31) > 0)
 
 def symbols(text: str) -> np.ndarray:
     """The text's symbols, with a zero before and six after."""
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    return _symbols_of(_points(text))
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+
+
+def _symbols_of(points: np.ndarray) -> np.ndarray:
     out = np.zeros(len(points) + 7, np.int32)
     out[1 : len(points) + 1] = np.where(points < len(SYMBOLS), SYMBOLS[np.minimum(points, len(SYMBOLS) - 1)], 27 + points % 4)
     return out
 
 
+_WHITE, _MARKS = np.zeros(128, bool), np.zeros(128, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = _MARKS[[33, 46, 63]] = True
+
+
+def sentences(points: np.ndarray) -> np.ndarray:
+    """Which sentence each symbol of a text is in: one ends with a line, or with a mark before white space."""
+    plain = np.minimum(points, 127)
+    end = points == 10
+    end[:-1] |= _MARKS[plain[:-1]] & _WHITE[plain[1:]]
+    number = np.zeros(len(points) + 7, np.int64)
+    np.cumsum(end, out=number[1 : len(points) + 1])
+    return number
+
+
 def fragments(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The symbols with what parts lone ones left out, as of a word spelled out with spaces or dots; and starts and ends of the strings that are scored."""
+    """The symbols with what parts lone ones left out, as of a word spelled out with spaces or dots; and the starts and ends of the words."""
+    return _split(s, np.zeros(len(s), np.int64))[:3]
+
+
+def _split(s: np.ndarray, sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """fragments(), and the sentence of each word."""
     inside = s > 0
     begin = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
     end = np.flatnonzero(inside & ~np.concatenate([inside[1:], [False]])) + 1
+    of = sentence[begin]
     if len(begin) < 2:
-        return s, begin, end
+        return s, begin, end, of
     lone = end - begin == 1
     joins = np.concatenate([[False], lone[1:] & lone[:-1] & (begin[1:] - end[:-1] <= 2)])
     if joins.any():
@@ -67,8 +95,13 @@ def fragments(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         stays[gone] = False
         shift = np.cumsum(~stays)
         begin, end = begin - shift[begin], end - shift[end - 1]
-        return s[stays], begin[~joins], end[np.concatenate([~joins[1:], [True]])]
-    return s, begin, end
+        return s[stays], begin[~joins], end[np.concatenate([~joins[1:], [True]])], of[~joins]
+    return s, begin, end, of
+
+
+def _neighbours(begin: np.ndarray, end: np.ndarray, sentence: np.ndarray) -> np.ndarray:
+    """Numbers of the words that stand before another one of their sentence, at most two symbols apart."""
+    return np.flatnonzero((sentence[1:] == sentence[:-1]) & (begin[1:] - end[:-1] <= 2))
 
 
 def positions(s: np.ndarray) -> Iterator[tuple[np.ndarray, int, float]]:
@@ -96,16 +129,23 @@ class Model:
     def __init__(self, table: np.ndarray, bias: float, calibration: tuple[float, float, float]):
         self.table, self.bias, self.calibration = table, bias, calibration
 
-    def rate(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The text's symbols, and its fragments' starts, ends and scores."""
-        s, begin, end = fragments(symbols(text))
+    def rate(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The text's symbols, and its fragments' starts, ends, scores and sentences."""
+        points = _points(text)
+        s, begin, end, of = _split(_symbols_of(points), sentences(points))
+        two = _neighbours(begin, end, of)
+        begin, end, of = np.concatenate([begin, begin[two]]), np.concatenate([end, end[two + 1]]), np.concatenate([of, of[two]])
         sums = np.concatenate([[0.0], np.cumsum(local_scores(s, self.table), dtype=np.float64)])
-        return s, begin, end, (sums[end] - sums[begin - 1]) / norms(end - begin) + self.bias  # with the zero before
+        return s, begin, end, (sums[end] - sums[begin - 1]) / norms(end - begin) + self.bias, of  # with the zero before
 
     def margins(self, text: str) -> tuple[float, float]:
-        """The largest score of a fragment, and the second largest."""
-        f = self.rate(text)[3]
-        return (float((top := np.partition(f, -2)[-2:])[1]), float(top[0])) if len(f) > 1 else (float(f[0]) if len(f) else -2.0, -2.0)
+        """The scores of the worst sentence, which is its worst fragment's, and of the second worst."""
+        *_, f, of = self.rate(text)
+        if not len(f):
+            return -2.0, -2.0
+        worst = int(np.argmax(f))
+        rest = f[of != of[worst]]
+        return float(f[worst]), float(rest.max()) if len(rest) else -2.0
 
     def score(self, text: str) -> float:
         a, b = self.margins(text)
@@ -134,8 +174,10 @@ def _features(words: list[str], landmarks: list[str]) -> np.ndarray:
         s = join(part)
         lengths = np.array([len(w) for w in part])
         of = np.concatenate([[0], np.repeat(np.arange(len(part)), lengths + 7)])[: len(s) - 6]
+        # a word's subsequences start in it or at the zero directly before, as those that are scored
+        inside = np.concatenate([[False], np.arange(len(of) - 1) - np.repeat(np.cumsum(lengths + 7) - lengths - 7, lengths + 7) <= np.repeat(lengths, lengths + 7)])
         for code, _, weight in positions(s):
-            hit = np.flatnonzero(row[code] >= 0)
+            hit = np.flatnonzero((row[code] >= 0) & inside)
             if len(hit):
                 first = np.concatenate([[True], of[hit][1:] != of[hit][:-1]])
                 out[lo + of[hit][first]] += np.add.reduceat(own[row[code[hit]]], np.flatnonzero(first)) * np.float32(weight)
@@ -162,29 +204,47 @@ def _svm(sides: list[tuple[np.ndarray, float, float]], ridge: float = 0.3) -> np
 _LETTERS = " abcdefghijklmnopqrstuvwxyzàáâã0"  # of each symbol
 
 
-def _words(text: str) -> set[str]:
-    """The distinct fragments, spelled in symbols; a longer one is none that is learnt from."""
-    s, begin, end = fragments(symbols(text))
+def _words(text: str) -> tuple[set[str], set[str]]:
+    """The distinct words, and the distinct pairs of neighbours, spelled in symbols; words under SHORT or over WIDE symbols are not learnt from."""
+    points = _points(text)
+    s, begin, end, of = _split(_symbols_of(points), sentences(points))
     line = "".join(map(_LETTERS.__getitem__, s.tolist()))
-    return {line[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True) if 2 < b - a <= 40}
+    words = [line[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+    fits = lambda w: SHORT <= len(w) <= WIDE
+    two = {f"{words[k]} {words[k + 1]}" for k in _neighbours(begin, end, of).tolist() if fits(words[k]) and fits(words[k + 1])}
+    return {w for w in words if fits(w)}, two
 
 
 def fit(texts: list[str], toxic: list[int]) -> Model:
     """Learn from whole texts with a label each. A toxic text is a bag of sentences of which at least one is toxic; which fragment of which sentence convicts it
-    is found by turns: the machine names each bag's fragment of largest score and each clean text's worst one, and is trained anew."""
+    is found by turns: the machine names each bag's fragment of largest score and each clean text's two worst ones, and is trained anew.
+
+    Fragments to learn from are words of SHORT to WIDE symbols, and pairs of such neighbours that two toxic texts or more have. A bag is the BAG fragments of highest
+    odds to stand in toxic texts; the clean side begins with the CLEAN_WORDS clean words of least hash. Texts are scored on all their fragments all the same."""
     pieces, seen = [], [{}, {}]
+    twice: dict[str, int] = {}
     for text, t in zip(texts, toxic, strict=True):
-        own = _words(text)
-        for w in own:
-            seen[t][w] = seen[t].get(w, 0) + 1
         if t:
-            pieces.append(own)
+            words, two = _words(text)
+            pieces.append((words, two))
+            for w in words:
+                seen[1][w] = seen[1].get(w, 0) + 1
+            for w in two:
+                twice[w] = twice.get(w, 0) + 1
+    seen[1] |= {w: k for w, k in twice.items() if k > 1}
+    for text, t in zip(texts, toxic, strict=True):
+        if not t:
+            words, two = _words(text)
+            for w in words | {w for w in two if w in seen[1]}:
+                seen[0][w] = seen[0].get(w, 0) + 1
+    pieces = [words | {w for w in two if w in seen[1]} for words, two in pieces]
+    del twice
     n = [max(1, toxic.count(0)), max(1, toxic.count(1))]
     odds = {w: np.log((k + 0.05) / n[1]) - np.log((seen[0].get(w, 0) + 0.5) / n[0]) for w, k in seen[1].items()}
     if not odds or not seen[0]:
         return Model(np.zeros(CODES, np.float32), 0.0, (0.0, 0.0, -3.0))
     ranked = sorted(odds, key=lambda w: (-odds[w], w))
-    common = sorted(seen[0], key=lambda w: (-seen[0][w], w))
+    common = sorted((w for w in seen[0] if " " not in w), key=lambda w: (-seen[0][w], w))
     landmarks = list(dict.fromkeys([*ranked[: LANDMARKS * 3 // 4], *common[: LANDMARKS // 4]]))
     scale = norms(np.array([len(w) for w in landmarks]))
     gram, own, codes = _features(landmarks, landmarks)
@@ -214,9 +274,9 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
         witness = [max(b, key=lambda v: (f[place[v]] + 0.1 * odds[v], v)) for b in bags]
         for text, t in zip(texts, toxic, strict=True):
             if not t and turn < ROUNDS - 1:
-                s, begin, end, f_text = model.rate(text)
+                s, begin, end, f_text, _ = model.rate(text)
                 for k in np.argsort(-f_text)[:2].tolist():
-                    if f_text[k] > -0.8 and end[k] - begin[k] <= 40:
+                    if f_text[k] > -0.8 and end[k] - begin[k] <= 2 * WIDE + 2:
                         hard["".join(map(_LETTERS.__getitem__, s[begin[k] : end[k]].tolist()))] = 1
     if model is None:
         return Model(np.zeros(CODES, np.float32), 0.0, (0.0, 0.0, -3.0))
@@ -236,7 +296,9 @@ def _platt(margins: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, where: str = "crc32(cast(doc_id as string)) % 3 <> 1", longest: int = MAX_CHARS // 40) -> Model:
     """Learn from up to `sample` labelled texts of each label that meet `where`: those of least hash, whole, as far as they hold MAX_CHARS code points.
-    Texts over `longest` code points, null labels and null texts take no part; long texts are scored whole all the same."""
+    Texts over `longest` code points, null labels and null texts take no part; long texts are scored whole all the same. What is learnt from these texts is
+    told at fit(). Ties in hash go by doc_id. Rows that repeat count each, and a doc_id with both labels counts for either. Without a text of each label the
+    model scores every text 0.05."""
     known = labels.where("toxic in (0, 1)").where(where).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
     docs = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = docs.select("doc_id", F.length("text").alias("n")).join(known, "doc_id")  # texts take no part in the choice
@@ -256,8 +318,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, where: str =
     return Model(np.frombuffer(found.table, np.float32), found.bias, tuple(found.calibration)) if found else fit([], [])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score, from 0 to 1, of each whole text; a null text counts as empty. Other columns stay."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """docs with the column `name`, which replaces one of that name: the score, from 0 to 1, of each whole text; a null text counts as empty. Other columns stay,
+    and so do rows that repeat and rows without a doc_id."""
     broadcast = docs.sparkSession.sparkContext.broadcast((model.table, model.bias, model.calibration))  # CODES numbers
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -266,10 +329,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.array([own.score(x.as_py() or "") for x in t], pa.float64())
         give_back()
 
-    return docs.withColumn("score", F.arrow_udf(run, "double")("text"))
+    return docs.withColumn(name, F.arrow_udf(run, "double")("text"))
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
+    """score of all documents by a model of the labels that are not held out; nulls, empties and repeated rows as there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = score(docs.select("doc_id", "text"), train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return out.select("doc_id", F.expr("crc32(cast(doc_id as string)) % 3 = 1").alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
