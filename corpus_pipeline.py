@@ -1,7 +1,9 @@
 """From documents to packed training sequences: each stage reads what the one before it kept.
 
 A stage is (name, function); the function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next stage's docs.
-All but the last return the columns of documents. Null texts are empty from the line stage on; rows with a null doc_id are kept by every stage.
+All but the last return the columns of documents, other columns that these have included, of whatever name. Null texts are empty from the line stage on. A
+text alone decides whether the first stage keeps a row; the later stages keep every row whose doc_id is null. Rows that repeat are judged each, and where a doc_id
+repeats near_duplicates and decontamination decide for all its rows.
 """
 
 from __future__ import annotations
@@ -21,13 +23,15 @@ TOXIC = 0.7
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score TOXIC or more go."""
-    model = train(docs, read(spark, sf_dir, "labels"))
-    return score(docs, model).where(F.col("score") < TOXIC).select(*docs.columns)
+    model, name = train(docs, read(spark, sf_dir, "labels")), "toxicity"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return score(docs, model, name).where(F.col(name) < TOXIC).drop(name)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents repeat stay in one of them; n_chars follows the text."""
-    kept = drop_lines(docs)
+    kept = drop_lines(docs, counts=False)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else kept.select(*docs.columns)
 
 
