@@ -115,5 +115,9 @@ def register_sql(spark) -> None:
     """Functions for SQL texts of the session."""
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION minute_bucket(ts DOUBLE) RETURNS DOUBLE RETURN CAST(floor(ts / 60) * 60 AS DOUBLE)")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION parent_domain(name STRING) RETURNS STRING RETURN substring_index(trim(BOTH '.' FROM name), '.', -2)")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION subdomain(name STRING) RETURNS STRING RETURN CASE WHEN size(split(trim(BOTH '.' FROM name), '[.]')) > 2 THEN left(trim(BOTH '.' FROM name), length(trim(BOTH '.' FROM name)) - length(substring_index(trim(BOTH '.' FROM name), '.', -2)) - 1) ELSE '' END")
+    side = lambda pick: f"{pick}(named_struct('ip', coalesce(src, ''), 'port', coalesce(sport, 0)), named_struct('ip', coalesce(dst, ''), 'port', coalesce(dport, 0)))"
+    text = lambda pick: f"concat('(\\'', {side(pick)}.ip, '\\', ', {side(pick)}.port, ')')"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION flow_key(src STRING, sport INT, dst STRING, dport INT, proto STRING) RETURNS STRING RETURN concat('(', {text('least')}, ', ', {text('greatest')}, ', \\'', proto, '\\')')")
     spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION shannon_entropy(s STRING) RETURNS DOUBLE RETURN coalesce(aggregate(array_distinct(filter(split(s, ''), c -> c <> '')), 0.0D,
         (acc, c) -> acc - (length(s) - length(replace(s, c, ''))) / length(s) * log2((length(s) - length(replace(s, c, ''))) / length(s))), 0.0D)""")

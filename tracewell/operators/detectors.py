@@ -33,8 +33,11 @@ def scan_events(
 
 
 def detect_port_scan(packets: DataFrame, **options) -> DataFrame:
-    e = scan_events(packets, **options)
-    window = str(options.get("window", 10.0))
+    return scan_alerts(scan_events(packets, **options), options.get("window", 10.0))
+
+
+def scan_alerts(e: DataFrame, seconds: float = 10.0) -> DataFrame:
+    window = str(seconds)
     text = (
         F.when(F.col("scan_type") == "vertical", F.format_string("Vertical port scan by %s: %d ports of %s within " + window + " s", "src", "unique_ports", "dst"))
         .when(F.col("scan_type") == "horizontal", F.format_string("Horizontal port sweep by %s: one port on %d hosts within " + window + " s", "src", "unique_hosts"))
@@ -45,30 +48,51 @@ def detect_port_scan(packets: DataFrame, **options) -> DataFrame:
     return _alerts(e, "port_scan", F.lit("medium"), text, evidence)
 
 
-def flood_events(packets: DataFrame, window: float = 5.0, threshold: int = 40, ratio: float = 0.8) -> DataFrame:
-    """Targets with `threshold` connections opened within `window` seconds, of which `ratio` or more have no acknowledgement of the pair in that time."""
-    pair, cols = F.to_json(syn_flow_key()), ["packet_id", "ts", "src", "target", "pair", "is_ack"]
+def flood_packets(packets: DataFrame) -> DataFrame:
+    """Opened connections by their target, and acknowledgements by either side, with the pair of endpoints."""
     target = F.explode(F.when(ack_packets(), F.array_distinct(F.array("src", "dst"))).otherwise(F.array("dst")))
     rows = packets.where(syn_with_ports() | ack_packets()).withColumn("target", target)
-    rows = rows.withColumn("pair", pair).withColumn("is_ack", F.col("flags").contains("A")).select(cols)
-    schema = "packet_id long, ts double, src string, dst string, half_open_count long, window_syn_count long, incomplete_ratio double, unique_attackers long"
+    return rows.withColumn("pair", F.to_json(syn_flow_key())).withColumn("is_ack", F.col("flags").contains("A"))
+
+
+FLOOD_SCHEMA = "packet_id long, ts double, src string, dst string, half_open_count long, window_syn_count long, incomplete_ratio double, unique_attackers long"
+
+
+def flood_events(packets: DataFrame, window: float = 5.0, threshold: int = 40, ratio: float = 0.8) -> DataFrame:
+    """Targets with `threshold` connections opened within `window` seconds, of which `ratio` or more have no acknowledgement of the pair in that time."""
+    rows = flood_packets(packets).select("packet_id", "ts", "src", "target", "pair", "is_ack")
     rows = segments(rows, "target", window, threshold, counted=~F.col("is_ack"))
-    return sorted_fold(rows, ["target", "segment"], ["ts", "packet_id"], lambda: FloodState(window, threshold, ratio), schema)
+    return sorted_fold(rows, ["target", "segment"], ["ts", "packet_id"], lambda: FloodState(window, threshold, ratio), FLOOD_SCHEMA)
 
 
 def detect_syn_flood(packets: DataFrame, **options) -> DataFrame:
-    e = flood_events(packets, **options).withColumn("syn_count", F.col("half_open_count"))
+    return flood_alerts(flood_events(packets, **options))
+
+
+def flood_alerts(e: DataFrame) -> DataFrame:
+    e = e.withColumn("syn_count", F.col("half_open_count"))
     text = F.format_string("SYN flood on %s: %d half-open connections from %d source(s)", "dst", "half_open_count", "unique_attackers")
     evidence = evidence_json(**{c: F.col(c) for c in ("syn_count", "half_open_count", "window_syn_count", "incomplete_ratio", "unique_attackers")}, target_ip=F.col("dst"))
     return _alerts(e, "syn_flood", F.lit("critical"), text, evidence)
 
 
-def dns_scores(packets: DataFrame, entropy: float = 3.5, length: int = 50, burst: int = 15, window: float = 15.0) -> DataFrame:
-    """Each name query with its parts, entropy, burst (distinct subdomains of the parent that the source asked for in the window) and score."""
+def name_queries(packets: DataFrame) -> DataFrame:
+    """Each name query with its parts and the entropy of the subdomain."""
     q = packets.where(dns_queries()).withColumn("qname", F.lower("dns_qname")).withColumn("parts", domain_parts(F.col("qname")))
-    q = q.select("packet_id", "ts", "src", "dst", "qname", "dns_qtype", "parts.subdomain", "parts.parent")
-    q = q.withColumn("entropy", shannon_entropy(F.col("subdomain")))
-    q = sliding_distinct(q, ["src", "parent"], F.nullif("subdomain", F.lit("")), window, "burst")
+    q = q.withColumn("subdomain", F.col("parts.subdomain")).withColumn("parent", F.col("parts.parent")).drop("parts")
+    return q.withColumn("entropy", shannon_entropy(F.col("subdomain")))
+
+
+NAME_COLUMNS = ["packet_id", "ts", "src", "dst", "qname", "dns_qtype", "subdomain", "parent", "entropy"]
+
+
+def dns_scores(packets: DataFrame, entropy: float = 3.5, length: int = 50, burst: int = 15, window: float = 15.0) -> DataFrame:
+    """Each name query with its parts, entropy, burst (distinct subdomains of the parent that the source asked for in the window), score and reasons."""
+    q = sliding_distinct(name_queries(packets).select(*NAME_COLUMNS), ["src", "parent"], F.nullif("subdomain", F.lit("")), window, "burst")
+    return scored_names(q, entropy, length, burst)
+
+
+def scored_names(q: DataFrame, entropy: float = 3.5, length: int = 50, burst: int = 15) -> DataFrame:
     odd = (F.col("entropy") >= entropy) & (F.length("subdomain") >= 10)
     typed = F.coalesce(F.col("dns_qtype").isin(10, 16), F.lit(False))
     tests = {"long name": (F.length("qname") >= length, 1), "high entropy": (odd, 2), "record type": (typed, 1), "subdomain burst": (F.col("burst") >= burst, 2)}
@@ -77,7 +101,11 @@ def dns_scores(packets: DataFrame, entropy: float = 3.5, length: int = 50, burst
 
 
 def detect_dns_tunnel(packets: DataFrame, score: int = 3, **options) -> DataFrame:
-    e = dns_scores(packets, **options).where(F.col("score") >= score)
+    return name_alerts(dns_scores(packets, **options), score)
+
+
+def name_alerts(e: DataFrame, score: int = 3) -> DataFrame:
+    e = e.where(F.col("score") >= score)
     evidence = evidence_json(qname=F.col("qname"), subdomain=F.col("subdomain"), parent_domain=F.col("parent"), entropy=F.round("entropy", 2), query_length=F.length("qname"), dns_qtype=F.col("dns_qtype"), score=F.col("score"), reasons=F.col("reasons"))
     text = F.concat(F.lit("Name tunnel from "), "src", F.lit(" by "), "qname", F.lit(": "), F.array_join("reasons", ", "))
     return _alerts(e, "dns_tunnel", F.when(F.col("score") >= score + 2, "high").otherwise("medium"), text, evidence)

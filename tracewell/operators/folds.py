@@ -162,6 +162,55 @@ class FloodState:
         return []
 
 
+class BurstState:
+    """Distinct subdomains that a source asks of one parent in a sliding window, for each query; an empty subdomain is none."""
+
+    def __init__(self, window: float, columns: list[str]):
+        self.window, self.columns, self.queue, self.counts = window, columns, deque(), {}
+
+    def step(self, row) -> list[tuple]:
+        while self.queue and self.queue[0][0] < row.ts - self.window:
+            old = self.queue.popleft()[1]
+            self.counts[old] -= 1
+            if not self.counts[old]:
+                del self.counts[old]
+        if row.subdomain:
+            self.queue.append((row.ts, row.subdomain))
+            self.counts[row.subdomain] = self.counts.get(row.subdomain, 0) + 1
+        return [(*(getattr(row, c) for c in self.columns), len(self.counts))]
+
+    def end(self) -> list[tuple]:
+        return []
+
+
+class ClaimState:
+    """One address: each claim with the holder before it."""
+
+    def __init__(self):
+        self.mac = None
+
+    def step(self, row) -> list[tuple]:
+        before, self.mac = self.mac, row.mac
+        return [(row.packet_id, row.ts, row.dst, row.arp_op, row.ip, row.mac, before, before is not None and before != row.mac)]
+
+    def end(self) -> list[tuple]:
+        return []
+
+
+class HoldState:
+    """One holder: the addresses that it holds at each of its claims."""
+
+    def __init__(self):
+        self.ips = set()
+
+    def step(self, row) -> list[tuple]:
+        (self.ips.add if row.claim else self.ips.discard)(row.ip)
+        return [(row.packet_id, row.ts, row.ip, row.mac, row.conflict, len(self.ips), ",".join(sorted(self.ips)))] if row.claim else []
+
+    def end(self) -> list[tuple]:
+        return []
+
+
 class CooldownState:
     def __init__(self, seconds: float):
         self.seconds, self.last, self.held = seconds, None, 0
@@ -206,6 +255,39 @@ class SessionState:
         return []
 
 
+class FlowState:
+    """One flow key's packets as flows: a row for each when the pause is too long for the state so far."""
+
+    def __init__(self, established: float, other: float):
+        self.established, self.other, self.number, self.own = established, other, 0, None
+
+    def step(self, row) -> list[tuple]:
+        out = []
+        if self.own is not None:
+            pause = row.ts - self.own["last"]
+            if pause > self.established or pause > self.other and self.own["state"] != "ESTABLISHED":
+                out = self.end()
+        if self.own is None:
+            self.own = {"src": row.src, "sport": row.sport, "dst": row.dst, "dport": row.dport, "proto": row.proto, "key": row.flow_key}
+            self.own |= {"state": "NONE", "fin": set(), "start": row.ts, "sides": {True: [0, 0], False: [0, 0]}}
+        own = self.own
+        follow(own, row)
+        side = own["sides"][row.src == own["src"] and (pd.isna(row.sport) or pd.isna(own["sport"]) or row.sport == own["sport"])]
+        side[0] += 1
+        side[1] += 0 if pd.isna(row.size) else int(row.size)
+        own["last"] = row.ts
+        return out
+
+    def end(self) -> list[tuple]:
+        own, self.own = self.own, None
+        if own is None:
+            return []
+        port = lambda x: None if pd.isna(x) else int(x)
+        (pf, bf), (pr, br) = own["sides"][True], own["sides"][False]
+        self.number += 1
+        return [(own["key"], self.number - 1, own["proto"], own["src"], port(own["sport"]), own["dst"], port(own["dport"]), own["start"], own["last"], pf, bf, pr, br, pf + pr, bf + br, own["state"])]
+
+
 def state_of(flags: dict) -> str:
     return flags["state"]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,9 +13,10 @@ from ..operators import detectors as D
 from ..operators import flows as L
 from ..operators import folds as S
 from ..operators import reports as R
-from ..sources.captures import capture_filter
+from ..sources.captures import capture_filter, read_packet_stream, read_packets
+from ..sources import tables as T
 from ..sources.tables import shared_folder, stored, upsert_latest
-from .packets import PACKETS_SQL, packets
+from .packets import PACKET_SCHEMA, PACKETS_SQL, packets
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -90,6 +92,24 @@ dr AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY packet_id) AS
 dc AS (SELECT packet_id, src, dst, rn, ts AS last, 0 AS held, true AS emit, 0 AS said FROM dr WHERE rn = 1
        UNION ALL SELECT dr.packet_id, dr.src, dr.dst, dr.rn, CASE WHEN dr.ts - last >= 60 THEN dr.ts ELSE last END, CASE WHEN dr.ts - last >= 60 THEN 0 ELSE held + 1 END, dr.ts - last >= 60, CASE WHEN dr.ts - last >= 60 THEN held ELSE 0 END
        FROM dc JOIN dr ON dr.src = dc.src AND dr.dst = dc.dst AND dr.rn = dc.rn + 1),
+sp AS (SELECT packet_id, ts, src, rn, [struct_pack(ts := ts, t := concat(dst, ':', dport))] AS q, false AS fast, ts AS first, ts AS last, CAST(1 AS DOUBLE) AS rate, [concat(dst, ':', dport)] AS seen, false AS slow, CAST(0 AS DOUBLE) AS elapsed FROM sy WHERE rn = 1
+       UNION ALL SELECT packet_id, ts, src, rn, q, fast, CASE WHEN fast THEN was WHEN was IS NULL THEN ts ELSE was END, CASE WHEN fast THEN last ELSE ts END, CASE WHEN fast THEN rate WHEN was IS NULL THEN 1 ELSE rate + 0.2E0 * (1.0E0 / greatest(0.001E0, ts - last) - rate) END,
+         CASE WHEN fast THEN seen WHEN was IS NULL THEN [t] ELSE list_distinct(list_append(seen, t)) END, NOT fast AND was IS NOT NULL AND ts - was > 10 AND len(list_distinct(list_append(seen, t))) >= 20, CASE WHEN fast OR was IS NULL THEN 0 ELSE ts - was END FROM (
+         SELECT *, len(list_distinct(list_transform(q, lambda x: x.t))) >= 15 AS fast FROM (
+           SELECT sy.packet_id, sy.ts, sy.src, sy.rn, concat(sy.dst, ':', sy.dport) AS t, list_filter(list_append(CASE WHEN sp.fast THEN [] ELSE sp.q END, struct_pack(ts := sy.ts, t := concat(sy.dst, ':', sy.dport))), lambda x: x.ts >= sy.ts - 10) AS q,
+             CASE WHEN sp.slow OR sp.elapsed > 300 THEN NULL ELSE sp.first END AS was, sp.last, sp.rate, sp.seen FROM sp JOIN sy ON sy.src = sp.src AND sy.rn = sp.rn + 1))),
+fr AS (SELECT packet_id, ts, flow_key, f, s, sp, size, row_number() OVER (PARTITION BY flow_key ORDER BY packet_id) AS rn FROM n),
+se AS (SELECT packet_id, ts, flow_key, rn, size, 0 AS session_no, s AS i, sp AS ip, true AS fwd, f LIKE '%F%' AND f NOT LIKE '%R%' AS fin1, false AS fin2,
+         CASE WHEN f LIKE '%R%' THEN 'RESET' WHEN f LIKE '%F%' THEN 'FIN_WAIT' WHEN f LIKE '%S%' AND f NOT LIKE '%A%' THEN 'SYN_SENT' WHEN f LIKE '%A%' AND f NOT LIKE '%S%' OR f LIKE '%A%' THEN 'ESTABLISHED' ELSE 'NONE' END AS state FROM fr WHERE rn = 1
+       UNION ALL SELECT packet_id, ts, flow_key, rn, size, session_no, i, ip, fwd, fin1, fin2,
+         CASE WHEN f LIKE '%R%' THEN 'RESET' WHEN f LIKE '%F%' THEN CASE WHEN fin1 AND fin2 THEN 'CLOSED' ELSE 'FIN_WAIT' END WHEN was NOT IN ('NONE', 'SYN_SENT', 'SYN_RECEIVED') THEN was
+           WHEN f LIKE '%S%' AND f NOT LIKE '%A%' THEN CASE WHEN was = 'NONE' THEN 'SYN_SENT' ELSE was END WHEN f LIKE '%S%' AND f LIKE '%A%' AND NOT fwd AND was = 'SYN_SENT' THEN 'SYN_RECEIVED' WHEN f LIKE '%A%' AND (fwd OR was = 'NONE') THEN 'ESTABLISHED' ELSE was END FROM (
+         SELECT *, (NOT cut AND f1) OR (f LIKE '%F%' AND f NOT LIKE '%R%' AND fwd) AS fin1, (NOT cut AND f2) OR (f LIKE '%F%' AND f NOT LIKE '%R%' AND NOT fwd) AS fin2 FROM (
+           SELECT *, s = i AND sp = ip AS fwd FROM (
+             SELECT fr.packet_id, fr.ts, fr.flow_key, fr.rn, fr.size, fr.f, fr.s, fr.sp, cut, se.session_no + CAST(cut AS INT) AS session_no, CASE WHEN cut THEN fr.s ELSE se.i END AS i, CASE WHEN cut THEN fr.sp ELSE se.ip END AS ip, se.fin1 AS f1, se.fin2 AS f2, CASE WHEN cut THEN 'NONE' ELSE se.state END AS was
+             FROM se JOIN fr ON fr.flow_key = se.flow_key AND fr.rn = se.rn + 1, LATERAL (SELECT fr.ts - se.ts > 300 OR fr.ts - se.ts > 60 AND se.state <> 'ESTABLISHED' AS cut) c)))),
+ss AS (SELECT flow_key, CAST(session_no AS BIGINT) AS session_no, any_value(i) AS initiator_ip, min(ts) AS start_ts, max(ts) AS last_seen_ts, CAST(count(*) FILTER (WHERE fwd) AS BIGINT) AS packets_forward, CAST(coalesce(sum(size) FILTER (WHERE fwd), 0) AS BIGINT) AS bytes_forward,
+        CAST(count(*) FILTER (WHERE NOT fwd) AS BIGINT) AS packets_reverse, CAST(coalesce(sum(size) FILTER (WHERE NOT fwd), 0) AS BIGINT) AS bytes_reverse, arg_max(state, rn) AS tcp_state FROM se GROUP BY 1, 2),
 cm AS (SELECT g.r AS row, CAST('0x' || substr(md5(concat('seed_', g.r, '|', src)), 1, 8) AS BIGINT) % 2048 AS col, src, n FROM (SELECT src, count(*) AS n FROM p WHERE src IS NOT NULL GROUP BY src), (SELECT unnest([0, 1, 2, 3]) AS r) g),
 cs AS (SELECT row, col, CAST(sum(n) AS BIGINT) AS cnt FROM cm GROUP BY 1, 2)
 """
@@ -104,9 +124,19 @@ def alerts(spark: SparkSession, sf_dir: str, p: DataFrame | None = None) -> Data
     return stored(D.Registry().run(p or stored(packets(spark, sf_dir), "packets")), "alerts")
 
 
+_COLUMNS = [c.split()[0] for c in PACKET_SCHEMA.split(", ")]
+
+
+def packet_folder(spark: SparkSession, sf_dir: str, *more: DataFrame) -> str:
+    """A packets table as a user has it, in a new folder; more: rows to add."""
+    path = f"{shared_folder(spark)}/packets-{uuid.uuid4().hex}"
+    reduce(DataFrame.unionByName, [x.select(*_COLUMNS) for x in (packets(spark, sf_dir), *more)]).write.parquet(path)
+    return path
+
+
 @query("src3_packets", "SELECT packet_id, ts, src, dst, proto, sport, dport, flags, size FROM p")
 def _(spark, d):
-    return packets(spark, d).select("packet_id", "ts", "src", "dst", "proto", "sport", "dport", "flags", "size")
+    return read_packets(spark, packet_folder(spark, d)).select("packet_id", "ts", "src", "dst", "proto", "sport", "dport", "flags", "size")
 
 
 @query("flt1_capture_filter", "SELECT proto, CAST(count(*) AS BIGINT) AS n FROM p WHERE proto IN ('TCP', 'UDP', 'ARP') GROUP BY proto")
@@ -194,7 +224,12 @@ def _(spark, d):
     return L.minute_stats(p, alerts(spark, d, p))
 
 
-QUERIES["jn3_minute_packets_alerts"], ORACLE_SQL["jn3_minute_packets_alerts"] = QUERIES["agg7_minute_stats"], ORACLE_SQL["agg7_minute_stats"]
+@query("jn3_minute_packets_alerts", """SELECT minute_ts, alert_type, total_packets, n FROM (SELECT CAST(floor(ts / 60) * 60 AS DOUBLE) AS minute_ts, CAST(count(*) AS BIGINT) AS total_packets FROM p GROUP BY 1)
+JOIN (SELECT CAST(floor(ts / 60) * 60 AS DOUBLE) AS minute_ts, alert_type, CAST(count(*) AS BIGINT) AS n FROM alerts GROUP BY 1, 2) USING (minute_ts)""")
+def _(spark, d):
+    p = stored(packets(spark, d), "packets")
+    minutes = p.groupBy(X.minute_bucket(F.col("ts")).alias("minute_ts")).agg(F.count("*").alias("total_packets"))
+    return alerts(spark, d, p).groupBy(X.minute_bucket(F.col("ts")).alias("minute_ts"), "alert_type").agg(F.count("*").alias("n")).join(minutes, "minute_ts")
 
 
 @query("srt3_recent_minutes", _MINUTE + " ORDER BY minute_ts DESC LIMIT 60")
@@ -274,6 +309,13 @@ def _(spark, d):
     return D.detect_port_scan(packets(spark, d), threshold=15, ewma=True)
 
 
+@query("det1_both_paths", """SELECT packet_id, src, 'low_and_slow' AS scan_type, CAST(len(seen) AS BIGINT) AS unique_targets, round(elapsed, 1) AS elapsed, round(rate, 4) AS ewma_rate, rn AS cms_estimated_volume FROM sp WHERE slow
+UNION ALL SELECT packet_id, src, CASE WHEN hosts = 1 AND ports > 1 THEN 'vertical' WHEN hosts > 1 AND ports = 1 THEN 'horizontal' ELSE 'distributed/hybrid' END, CAST(n AS BIGINT), NULL, NULL, rn FROM (SELECT *, len(list_distinct(list_transform(q, lambda x: x.t))) AS n,
+len(list_distinct(list_transform(q, lambda x: split_part(x.t, ':', 1)))) AS hosts, len(list_distinct(list_transform(q, lambda x: split_part(x.t, ':', 2)))) AS ports FROM sp WHERE fast)""")
+def _(spark, d):
+    return D.scan_events(packets(spark, d), ewma=True).select("packet_id", "src", "scan_type", "unique_targets", "elapsed", "ewma_rate", "cms_estimated_volume")
+
+
 @query("det2_syn_flood", "SELECT packet_id, dst, half_open_count, window_syn_count, unique_attackers FROM fa")
 def _(spark, d):
     return D.flood_events(packets(spark, d)).select("packet_id", "dst", "half_open_count", "window_syn_count", "unique_attackers")
@@ -303,8 +345,22 @@ def _(spark, d):
     return alerts(spark, d).groupBy("alert_type", "severity").agg(F.count("*").alias("n"))
 
 
-for _name in ("set1_union_alerts", "ext1_registry"):
-    QUERIES[_name], ORACLE_SQL[_name] = QUERIES["det5_run_detectors"], ORACLE_SQL["det5_run_detectors"]
+@query("set1_union_alerts", "SELECT packet_id, ts, alert_type, severity FROM alerts")
+def _(spark, d):
+    return alerts(spark, d).select("packet_id", "ts", "alert_type", "severity")
+
+
+@query("ext1_registry", "SELECT alert_type, severity, CAST(count(*) AS BIGINT) AS n FROM (SELECT alert_type, severity FROM aa UNION ALL SELECT 'reset', 'low' FROM p WHERE proto = 'TCP' AND flags LIKE '%R%') GROUP BY 1, 2")
+def _(spark, d):
+    """The address detector, and one that a user adds: connections that were reset."""
+    reset = lambda p: p.where((F.col("proto") == "TCP") & F.col("flags").contains("R")).select(
+        X.alert_id(F.lit("reset"), F.col("packet_id")).alias("id"), "ts", F.lit("reset").alias("alert_type"), F.lit("low").alias("severity"), "src", "dst",
+        F.concat_ws(" ", F.lit("reset by"), "src").alias("description"), X.evidence_json(dport=F.col("dport")).alias("evidence_json"), "packet_id",
+    )
+    registry = D.Registry()
+    registry.enabled = {name: name == "arp_spoof" for name in registry.enabled}
+    registry.register("reset", reset)
+    return registry.run(packets(spark, d)).groupBy("alert_type", "severity").agg(F.count("*").alias("n"))
 
 
 @query("det6_dedup_alerts", "SELECT packet_id, CAST(said AS BIGINT) AS suppressed FROM dc WHERE emit")
@@ -317,6 +373,14 @@ def _(spark, d):
     return L.aggregate_flows(S.sessionize(packets(spark, d)), ("session_no",))
 
 
+_SESSION = ["flow_key", "initiator_ip", "start_ts", "last_seen_ts", "packets_forward", "bytes_forward", "packets_reverse", "bytes_reverse", "tcp_state"]
+
+
+@query("det7_flow_sessions", f"SELECT session_no, {', '.join(_SESSION)} FROM ss")
+def _(spark, d):
+    return QUERIES["det7_sessionize_flows"](spark, d).select("session_no", *_SESSION)
+
+
 @query("set2_distinct_endpoints", "SELECT DISTINCT dst, dport FROM p WHERE dport IS NOT NULL")
 def _(spark, d):
     return packets(spark, d).where("dport is not null").select("dst", "dport").distinct()
@@ -332,7 +396,10 @@ def _(spark, d):
     return R.query_alerts(alerts(spark, d), limit=50).select("packet_id", "ts", "alert_type")
 
 
-QUERIES["srt2_top_talkers"], ORACLE_SQL["srt2_top_talkers"] = QUERIES["agg3_top_talkers"], ORACLE_SQL["agg3_top_talkers"]
+@query("srt2_top_talkers", "SELECT place, ip, bytes_sent FROM (SELECT CAST(row_number() OVER (ORDER BY bytes_sent DESC, ip) AS BIGINT) AS place, ip, bytes_sent FROM (" + _TALKERS + ")) WHERE place <= 25")
+def _(spark, d):
+    top = L.top_talkers(flows(spark, d), 25)
+    return top.select(F.row_number().over(Window.orderBy(F.desc("bytes_sent"), "ip")).cast("long").alias("place"), "ip", "bytes_sent")  # 25 rows
 
 
 @query("srt4_time_order", "SELECT packet_id, src, CAST(row_number() OVER (PARTITION BY src ORDER BY ts, packet_id) AS BIGINT) AS place FROM p")
@@ -413,17 +480,107 @@ def _(spark, d):
     return packets(spark, d).select(X.flow_key_text(X.canonical_flow_key()).alias("flow_key")).distinct()
 
 
+@query("snk1_write_alerts", "SELECT packet_id, ts, alert_type, severity FROM alerts")
+def _(spark, d):
+    """Written in two parts that overlap: an alert that comes again takes its own place."""
+    rows, path = alerts(spark, d), f"{shared_folder(spark)}/alerts-{uuid.uuid4().hex}"
+    T.write_alerts(rows.where("packet_id % 3 <> 1"), path)
+    return T.write_alerts(rows.where("packet_id % 3 <> 0"), path).select("packet_id", "ts", "alert_type", "severity")
+
+
+@query("snk2_write_flow_summary", "SELECT flow_key, initiator_ip AS src, responder_ip AS dst, proto, start_ts, last_seen_ts, total_packets, total_bytes, tcp_state FROM flows")
+def _(spark, d):
+    """Flows as they stand halfway, then as they end: of a key the later summary stays."""
+    p, path = stored(packets(spark, d), "packets"), f"{shared_folder(spark)}/flows-{uuid.uuid4().hex}"
+    half = p.agg(F.expr("(min(packet_id) + max(packet_id)) div 2")).first()[0]
+    for part in (p.where(F.col("packet_id") <= half), p):
+        out = T.write_flow_summary(L.flow_summary(L.aggregate_flows(part)), path)
+    return out.select("flow_key", "src", "dst", "proto", "start_ts", "last_seen_ts", "total_packets", "total_bytes", "tcp_state")
+
+
+def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packets as a stream, ended by late packets of every kind, which let the watermark pass all others: no answer holds them."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    n, t = packets(spark, sf_dir).agg(F.max("packet_id"), F.max("ts")).first()
+    rows = [(n + 1, t + 1e6, "TCP", "S", None), (n + 2, t + 1e6, "UDP", None, "end.of.stream"), (n + 3, t + 1e6, "ARP", "00:00:00:00:00:01", None)]
+    closing = spark.createDataFrame(rows, "packet_id long, ts double, proto string, flags string, dns_qname string")
+    closing = closing.withColumns({"src": F.lit("end"), "dst": F.lit("end"), "sport": F.lit(1), "dport": F.lit(1)})
+    full = closing.select(*[F.col(c) if c in closing.columns else F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in PACKET_SCHEMA.split(", "))])
+    return read_packet_stream(spark, packet_folder(spark, sf_dir, full), delay="1 second")
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """What a stream gives in append mode, as a table."""
+    from ..streaming.jobs import run_available
+
+    base = f"{shared_folder(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    df.sparkSession.createDataFrame([], df.schema).write.parquet(f"{base}/out")
+    run_available(df, f"{base}/progress", lambda batch, n: batch.write.mode("append").parquet(f"{base}/out"), "append")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{base}/out")
+
+
+@query("str2_stream_scan_windows", """SELECT src, CAST(start AS BIGINT) AS start, CAST(count(DISTINCT concat(dst, ':', dport)) AS BIGINT) AS targets
+FROM (SELECT src, dst, dport, floor(ts) - unnest(range(10)) AS start FROM sy) GROUP BY 1, 2""")
+def _(spark, d):
+    from ..streaming.jobs import stream_scan_windows
+
+    found = gathered(stream_scan_windows(streamed(spark, d)))
+    return found.select("src", F.unix_seconds("start").alias("start"), F.col("targets").cast("long").alias("targets"))
+
+
+@query("str3_stream_flows", f"SELECT {', '.join(_SESSION)} FROM ss")
+def _(spark, d):
+    from ..streaming.jobs import stream_flows
+
+    return gathered(stream_flows(streamed(spark, d))).select(*_SESSION)
+
+
+@query("str4_stream_detect", """SELECT 'port_scan' AS alert_type, packet_id FROM sa UNION ALL SELECT 'syn_flood', packet_id FROM fa UNION ALL SELECT 'dns_tunnel', packet_id FROM da UNION ALL SELECT 'arp_spoof', packet_id FROM aa""")
+def _(spark, d):
+    """The four detectors as streams; addresses and holders are two queries with a table of claims between."""
+    from ..streaming import jobs as J
+
+    found = [("port_scan", gathered(J.stream_port_scan(streamed(spark, d)))), ("syn_flood", gathered(J.stream_syn_flood(streamed(spark, d))))]
+    found.append(("dns_tunnel", gathered(J.stream_dns_scores(streamed(spark, d))).where("score >= 3")))
+    claims = gathered(J.stream_arp_claims(streamed(spark, d)))
+    end = claims.agg(F.max("packet_id").alias("n"), F.max("ts").alias("t")).select(
+        (F.col("n") + 1).alias("packet_id"), (F.col("t") + 1e6).alias("ts"), F.lit("end").alias("dst"), F.lit(2).alias("arp_op"), F.lit("end").alias("ip"), F.lit("end").alias("mac"), F.lit(None).cast("string").alias("original_mac"), F.lit(False).alias("conflict")
+    )
+    path = f"{shared_folder(spark)}/claims-{uuid.uuid4().hex}"
+    claims.unionByName(end).write.parquet(path)
+    stream = spark.readStream.schema(claims.schema).parquet(path).withColumn("event_time", X.event_time(F.col("ts"))).withWatermark("event_time", "1 second")
+    found.append(("arp_spoof", gathered(J.stream_arp_holdings(stream)).where("conflict or held > 3")))
+    return reduce(DataFrame.unionByName, [x.select(F.lit(k).alias("alert_type"), "packet_id") for k, x in found])
+
+
+@query("str5_stream_dedup", "SELECT packet_id, CAST(said AS BIGINT) AS suppressed FROM dc WHERE emit")
+def _(spark, d):
+    from ..streaming.jobs import stream_dedup
+
+    found = stored(D.detect_dns_tunnel(packets(spark, d)), "alerts")
+    end = found.agg(F.max("ts").alias("t")).select(F.lit("end").alias("id"), (F.col("t") + 1e6).alias("ts"), F.lit("end").alias("alert_type"), F.lit("end").alias("src"), F.lit("end").alias("dst"), F.lit(-1).cast("long").alias("packet_id"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    path = f"{shared_folder(spark)}/alerts-{uuid.uuid4().hex}"
+    found.select(*end.columns).unionByName(end).write.parquet(path)
+    stream = spark.readStream.schema(end.schema).parquet(path).withColumn("event_time", X.event_time(F.col("ts"))).withWatermark("event_time", "1 second")
+    return gathered(stream_dedup(stream)).join(found.select("id", "packet_id"), "id").select("packet_id", "suppressed")
+
+
+@query("ext2_sql_functions", "SELECT packet_id, flow_key, CASE WHEN len(string_split(dns_qname, '.')) > 2 THEN array_to_string(string_split(dns_qname, '.')[1:len(string_split(dns_qname, '.')) - 2], '.') ELSE '' END AS subdomain FROM n")
+def _(spark, d):
+    X.register_sql(spark)
+    p = packets(spark, d).select("packet_id", "src", "sport", "dst", "dport", "proto", "dns_qname")
+    return spark.sql("SELECT packet_id, flow_key(src, sport, dst, dport, proto) AS flow_key, subdomain(dns_qname) AS subdomain FROM {p}", p=p)
+
+
 @query("str1_stream_minute_stats", "SELECT minute_ts, total_packets, total_bytes, tcp_count, udp_count, arp_count, other_count FROM (" + _MINUTE + ")")
 def _(spark, d):
-    """The events as a stream, upserted minute by minute into a table."""
+    """The packets as a stream, upserted minute by minute into a table."""
     from ..sources.tables import minutes_table
     from ..streaming.jobs import run_available, stream_minute_stats, upsert_sink
-    from .packets import packets_of
 
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    events = spark.read.parquet(f"{d}/events.parquet")
-    events.write.parquet(f"{base}/events")
-    stream = packets_of(spark.readStream.schema(events.schema).parquet(f"{base}/events")).withColumn("event_time", X.event_time(F.col("ts"))).withWatermark("event_time", "1 minute")
+    stream = read_packet_stream(spark, packet_folder(spark, d))
     table = minutes_table(spark, f"{base}/minutes")
     run_available(stream_minute_stats(stream), f"{base}/progress", upsert_sink(table))
     return table.read()

@@ -27,16 +27,17 @@ def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if data[:4] not in MAGIC:
                 raise ValueError(f"{path} is no capture file")
             order, ticks = MAGIC[data[:4]]
-            out, at = [], 24
+            out, at, n = [], 24, 0
             while at + 16 <= len(data):
                 seconds, part, held, wire = struct.unpack_from(order + "4I", data, at)
                 if at + 16 + held > len(data):
                     break  # the file was cut off
-                out.append((path, len(out), seconds + part / ticks, wire, data[at + 16 : at + 16 + held]))
-                at += 16 + held
-                if len(out) % 20_000 == 0:
-                    yield pd.DataFrame(out[-20_000:], columns=_names(FRAME_SCHEMA), dtype=object)
-            yield pd.DataFrame(out[len(out) // 20_000 * 20_000 :], columns=_names(FRAME_SCHEMA), dtype=object)
+                out.append((path, n, seconds + part / ticks, wire, data[at + 16 : at + 16 + held]))
+                at, n = at + 16 + held, n + 1
+                if len(out) == 20_000:
+                    yield pd.DataFrame(out, columns=_names(FRAME_SCHEMA), dtype=object)
+                    out = []
+            yield pd.DataFrame(out, columns=_names(FRAME_SCHEMA), dtype=object)
 
 
 def _names(schema: str) -> list[str]:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -37,35 +38,62 @@ def upsert_latest(old: DataFrame | None, new: DataFrame, keys: list[str], order:
 
 
 class Table:
-    """A Parquet table in versions: a write goes to a folder of its own, whose name the last small file tells; readers never see half a write."""
+    """A Parquet table with one row for each key, in folders by `part`, a column that is the same for equal keys: a write rewrites the folders that it touches."""
 
-    def __init__(self, spark, path: str, keys: list[str], order: str):
-        self.spark, self.path, self.keys, self.order = spark, path.rstrip("/"), keys, order
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: str, part: Column):
+        self.spark, self.path, self.keys, self.order, self.part = spark, path.rstrip("/"), keys, order, part
 
-    def _versions(self):
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-        done = lambda n: fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))
-        return sorted(n for n in names if n.startswith("v") and done(n))
+    def _rows(self) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                return None
+            raise
 
     def read(self) -> DataFrame | None:
-        found = self._versions()
-        return self.spark.read.parquet(f"{self.path}/{found[-1]}") if found else None
-
-    def upsert(self, new: DataFrame) -> DataFrame:
-        number = len(self._versions())
-        upsert_latest(self.read(), new, self.keys, self.order).write.parquet(f"{self.path}/v{number:08d}-{uuid.uuid4().hex[:8]}")
+        rows = self._rows()
+        return None if rows is None else rows.drop("part")
+
+    def upsert(self, new: DataFrame) -> DataFrame | None:
+        """Rows of new take the place of those of equal keys that are no later. A write that is repeated changes nothing."""
+        new = stored(new.withColumn("part", self.part), "upsert")
+        touched = [r[0] for r in new.select("part").distinct().collect()]  # days or hash buckets
+        old = self._rows()
+        old = old.where(F.col("part").isin(touched)) if old is not None else None
+        rows = stored(upsert_latest(old, new, self.keys, self.order), "upsert")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(self.path)
         return self.read()
 
 
-def alerts_table(spark, path: str) -> Table:
-    return Table(spark, path, ["id"], "ts")
+def day(ts: str) -> Column:
+    return F.floor(F.col(ts) / 86_400).cast("int")
+
+
+def alerts_table(spark: SparkSession, path: str) -> Table:
+    """An alert's id stands for its packet, so equal ids share a day."""
+    return Table(spark, path, ["id"], "ts", day("ts"))
+
+
+def flows_table(spark: SparkSession, path: str, buckets: int = 64) -> Table:
+    """A flow goes on over days, so its folder is a bucket of its key."""
+    return Table(spark, path, ["flow_key"], "last_seen_ts", F.pmod(F.xxhash64("flow_key"), F.lit(buckets)).cast("int"))
+
+
+def minutes_table(spark: SparkSession, path: str) -> Table:
+    return Table(spark, path, ["minute_ts"], "total_packets", day("minute_ts"))
+
+
+def write_alerts(alerts: DataFrame, path: str) -> DataFrame | None:
+    return alerts_table(alerts.sparkSession, path).upsert(alerts)
 
 
-def flows_table(spark, path: str) -> Table:
-    return Table(spark, path, ["flow_key"], "last_seen_ts")
+def write_flow_summary(flows: DataFrame, path: str) -> DataFrame | None:
+    return flows_table(flows.sparkSession, path).upsert(flows)
 
 
-def minutes_table(spark, path: str) -> Table:
-    return Table(spark, path, ["minute_ts"], "total_packets")
+def write_minute_stats(minutes: DataFrame, path: str) -> DataFrame | None:
+    """Counters that are missing or null count as 0."""
+    names = [f"{p}_count" for p in ("tcp", "udp", "arp", "other", "alerts")]
+    full = minutes.select("*", *[F.lit(0).cast("long").alias(c) for c in names if c not in minutes.columns]).na.fill(0, names)
+    return minutes_table(minutes.sparkSession, path).upsert(full)

@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions.expressions import canonical_flow_key, flow_key_text, protocol_bucket, pure_syn
+from ..operators.detectors import FLOOD_SCHEMA, NAME_COLUMNS, arp_claims, flood_packets, name_queries, scored_names
+from ..operators.folds import BurstState, ClaimState, CooldownState, FloodState, FlowState, HoldState, ScanState
 from ..sources.tables import Table
 
 
@@ -24,56 +26,87 @@ def stream_scan_windows(stream: DataFrame, window: str = "10 seconds", step: str
     return g.agg(F.size(F.collect_set(F.struct("dst", "dport"))).alias("targets")).select("src", F.col("w.start").alias("start"), "targets")
 
 
-def stream_flows(stream: DataFrame, gap: str = "60 seconds") -> DataFrame:
-    """Sessions of each flow key by a fixed gap."""
+def stream_gap_flows(stream: DataFrame, gap: str = "60 seconds") -> DataFrame:
+    """Sessions of each flow key by a fixed gap, which Spark's own session windows give."""
     keyed = stream.withColumn("flow_key", flow_key_text(canonical_flow_key()))
-    g = keyed.groupBy("flow_key", F.session_window("event_time", gap).alias("w")).agg(F.count("*").alias("total_packets"), F.sum("size").alias("total_bytes"), F.min("ts").alias("start_ts"), F.max("ts").alias("last_seen_ts"))
-    return g.drop("w")
+    g = keyed.groupBy("flow_key", F.session_window("event_time", gap).alias("w"))
+    return g.agg(F.count("*").alias("total_packets"), F.sum("size").alias("total_bytes"), F.min("ts").alias("start_ts"), F.max("ts").alias("last_seen_ts")).drop("w")
 
 
 class Sorted(StatefulProcessor):
     """Holds a key's rows until the watermark has passed them, then folds them in order of (ts, packet_id): what a stream gives is what the batch fold gives.
 
-    make() returns a fold's state (step(row) -> rows); its fields are pickled between batches, and a key is forgotten when `idle` seconds pass without a row."""
+    make() returns a fold's state (step(row) -> rows, end() -> rows); it is pickled between batches, and it ends and is forgotten when the watermark is `idle`
+    seconds past its last row. Rows are held by second, and a key has one timer, at its earliest row or its end: when that fires, all rows behind the watermark
+    are folded at once."""
 
     def __init__(self, make: Callable[[], object], columns: list[str], out: list[str], idle: float):
         self.make, self.columns, self.out, self.idle = make, columns, out, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "row binary")
+        self.held = handle.getMapState("held", "second long", "rows binary")
         self.fold = handle.getValueState("fold", "state binary")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _wake(self, at: int | None) -> None:
+        """The key's one timer; None for none."""
+        old = self.timer.get()[0] if self.timer.exists() else None
+        if old is not None and old != at:
+            self.handle.deleteTimer(old)
+        if at is None:
+            self.timer.clear()
+        elif old != at:
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         import pickle
 
+        new: dict[int, list[tuple]] = {}
         for batch in rows:
-            ends = []
-            for values in batch[self.columns].itertuples(index=False, name=None):
-                self.held.appendValue((pickle.dumps(values),))
-                ends.append(values[0])
-            for ts in {int(t * 1000) + 1 for t in ends}:
-                self.handle.registerTimer(ts)
+            for values in batch[self.columns].astype(object).where(batch[self.columns].notna(), None).itertuples(index=False, name=None):
+                new.setdefault(int(values[0] // 1), []).append(values)
+        for second, some in new.items():
+            before = pickle.loads(bytes(self.held.getValue((second,))[0])) if self.held.containsKey((second,)) else []
+            self.held.updateValue((second,), (pickle.dumps(before + some),))
+        first = min(int(v[0] * 1000) + 1 for some in new.values() for v in some)
+        if not self.timer.exists() or first < self.timer.get()[0]:
+            self._wake(first)
         yield pd.DataFrame(columns=self.out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         import pickle
         from types import SimpleNamespace
 
-        now = expiredTimerInfo.getExpiryTimeInMs() / 1000
-        rows = [pickle.loads(bytes(r[0])) for r in self.held.get()]
-        due = sorted((r for r in rows if r[0] < now), key=lambda r: r[:2])
+        self.timer.clear()  # it has fired
+        now = timerValues.getCurrentWatermarkInMs()
+        due, left = [], None
+        for (second,) in sorted(self.held.keys()):
+            if second * 1000 >= now:
+                left = second * 1000 + 1 if left is None else left
+                break
+            rows = pickle.loads(bytes(self.held.getValue((second,))[0]))
+            later = [r for r in rows if r[0] * 1000 >= now]
+            due += [r for r in rows if r[0] * 1000 < now]
+            if later:
+                self.held.updateValue((second,), (pickle.dumps(later),))
+                left = int(min(r[0] for r in later) * 1000) + 1
+            else:
+                self.held.removeKey((second,))
         fold = pickle.loads(bytes(self.fold.get()[0])) if self.fold.exists() else self.make()
         out = []
-        for r in due:
+        for r in sorted(due, key=lambda r: r[:2]):
             out += fold.step(SimpleNamespace(**dict(zip(self.columns, r, strict=True))))
-        left = [(pickle.dumps(r),) for r in rows if r[0] >= now]
-        self.held.put(left) if left else self.held.clear()
-        if due:
-            self.fold.update((pickle.dumps(fold),))
-            self.handle.registerTimer(int((due[-1][0] + self.idle) * 1000))
-        elif not left:
+        last = max((r[0] for r in due), default=getattr(fold, "last_row", None))
+        end = None if last is None else int((last + self.idle) * 1000) + 1
+        if left is None and (end is None or end <= now):
+            out += fold.end()
             self.fold.clear()
+        else:
+            fold.last_row = last
+            self.fold.update((pickle.dumps(fold),))
+            self._wake(max(now + 1, end if left is None else left))
         yield pd.DataFrame(out, columns=self.out)
 
     def close(self) -> None:
@@ -86,23 +119,78 @@ def stream_fold(stream: DataFrame, keys: list[str], make: Callable[[], object],
     return stream.groupBy(*keys).transformWithStateInPandas(Sorted(make, columns, out, idle), schema, "Append", "EventTime")
 
 
+FLOW_SCHEMA = (
+    "flow_key string, session_no long, proto string, initiator_ip string, initiator_port int, responder_ip string, responder_port int, start_ts double, "
+    "last_seen_ts double, packets_forward long, bytes_forward long, packets_reverse long, bytes_reverse long, total_packets long, total_bytes long, tcp_state string"
+)
+CLAIM_SCHEMA = "packet_id long, ts double, dst string, arp_op int, ip string, mac string, original_mac string, conflict boolean"
+HOLD_SCHEMA = "packet_id long, ts double, ip string, mac string, conflict boolean, held long, claimed_ips string"
+#: Seconds after which an address or holder that is silent is forgotten by a stream.
+FORGET = 86_400.0
+
+
+def stream_flows(stream: DataFrame, established: float = 300.0, other: float = 60.0) -> DataFrame:
+    """Flows, each when it has been silent for longer than its state allows: those that aggregate_flows gives of sessionize. session_no starts anew where a key
+    has been silent for longer than both."""
+    keyed = stream.withColumn("flow_key", F.coalesce(flow_key_text(canonical_flow_key()), F.lit("")))
+    columns = ["ts", "packet_id", "src", "sport", "dst", "dport", "proto", "flags", "size", "flow_key"]
+    return stream_fold(keyed, ["flow_key"], lambda: FlowState(established, other), columns, FLOW_SCHEMA, max(established, other))
+
+
 def stream_port_scan(stream: DataFrame, window: float = 10.0, threshold: int = 15) -> DataFrame:
-    from ..operators.folds import ScanState
+    schema = (
+        "packet_id long, ts double, src string, dst string, scan_type string, unique_targets long, unique_ports long, unique_hosts long, "
+        "cms_estimated_volume long, elapsed double, ewma_rate double"
+    )
+    columns = ["ts", "packet_id", "src", "dst", "dport"]
+    return stream_fold(stream.where(pure_syn()), ["src"], lambda: ScanState(window, threshold, None), columns, schema, window)
 
-    schema = "packet_id long, ts double, src string, dst string, scan_type string, unique_targets long, unique_ports long, unique_hosts long, volume long, elapsed double, ewma_rate double"
-    return stream_fold(stream.where(pure_syn()), ["src"], lambda: ScanState(window, threshold, None), ["ts", "packet_id", "src", "dst", "dport"], schema, window)
 
+def stream_syn_flood(stream: DataFrame, window: float = 5.0, threshold: int = 40, ratio: float = 0.8) -> DataFrame:
+    columns = ["ts", "packet_id", "src", "target", "pair", "is_ack"]
+    return stream_fold(flood_packets(stream), ["target"], lambda: FloodState(window, threshold, ratio), columns, FLOOD_SCHEMA, window)
 
-def stream_dedup(alerts: DataFrame, cooldown: float = 60.0) -> DataFrame:
-    from ..operators.folds import CooldownState
 
+def stream_dns_scores(stream: DataFrame, window: float = 15.0, **options) -> DataFrame:
+    """What dns_scores gives; name_alerts makes alerts of it."""
+    names = NAME_COLUMNS
+    columns = ["ts", "packet_id", *[c for c in names if c not in ("ts", "packet_id")]]
+    schema = "packet_id long, ts double, src string, dst string, qname string, dns_qtype int, subdomain string, parent string, entropy double, burst long"
+    found = stream_fold(name_queries(stream), ["src", "parent"], lambda: BurstState(window, names), columns, schema, window)
+    return scored_names(found, **options)
+
+
+def stream_arp_claims(stream: DataFrame) -> DataFrame:
+    """Each claim of an address with its holder before: what arp_conflicts gives."""
+    columns = ["ts", "packet_id", "dst", "arp_op", "ip", "mac"]
+    return stream_fold(arp_claims(stream), ["ip"], ClaimState, columns, CLAIM_SCHEMA, FORGET)
+
+
+def stream_arp_holdings(claims: DataFrame) -> DataFrame:
+    """Each claim with the addresses that its holder has then: what arp_holdings gives. claims: a stream over a table that stream_arp_claims is written to,
+    with event_time and a watermark, since an address and a holder are keys of different queries."""
+    came = F.struct(F.col("mac").alias("mac"), F.lit(True).alias("claim"))
+    went = F.when(F.col("conflict"), F.struct(F.col("original_mac").alias("mac"), F.lit(False).alias("claim")))
+    rows = claims.withColumnRenamed("mac", "to").withColumn("mac", F.col("to"))
+    rows = rows.withColumn("step", F.explode(F.array_compact(F.array(came, went)))).withColumn("mac", F.col("step.mac")).withColumn("claim", F.col("step.claim"))
+    columns = ["ts", "packet_id", "ip", "mac", "claim", "conflict"]
+    return stream_fold(rows, ["mac"], HoldState, columns, HOLD_SCHEMA, FORGET)
+
+
+def stream_dedup(alerts: DataFrame, cooldown: float = 60.0) -> DataFrame:
     return stream_fold(alerts, ["alert_type", "src", "dst"], lambda: CooldownState(cooldown), ["ts", "packet_id", "id"], "id string, suppressed long", cooldown)
 
 
-def run_available(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "update") -> None:
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a query's stateful steps have dropped because the watermark had passed them, as far as its progress is kept."""
+    return sum(int(s.numRowsDroppedByWatermark) for p in query.recentProgress for s in p.stateOperators)
+
+
+def run_available(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "update") -> StreamingQuery:
     """Feed all that is there to sink(batch, number) and stop."""
     q = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
     q.awaitTermination()
+    return q
 
 
 def upsert_sink(table: Table) -> Callable[[DataFrame, int], None]:
