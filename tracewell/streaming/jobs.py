@@ -182,7 +182,8 @@ def stream_dedup(alerts: DataFrame, cooldown: float = 60.0) -> DataFrame:
 
 
 def late_rows(query: StreamingQuery) -> int:
-    """Rows that a query's stateful steps have dropped because the watermark had passed them, as far as its progress is kept."""
+    """Rows that a query's stateful steps have dropped because the watermark had passed them, as far as its progress is kept. An aggregation combines rows before
+    its state, so there a group of late rows counts once for each task."""
     return sum(int(s.numRowsDroppedByWatermark) for p in query.recentProgress for s in p.stateOperators)
 
 
