@@ -1,10 +1,14 @@
 """Suffix-array dedup by prefix-free parsing: removes every byte that a long repeated string covers.
 
 A rolling hash picks triggers: of every 128 neighbouring starts, the one whose 16 bytes hash least. The choice depends on these bytes alone, so equal strings
-have equal triggers. Triggers cut a text into phrases, whose starts share what follows them: the order of all corpus suffixes to 400 bytes is the
-order of (what follows the trigger, the phrase's own suffix). Only neighbours in that order can be equal, so first the parse is sorted by what
-follows a trigger; phrases with no neighbour are unique, those with an equal neighbour repeat as a whole, and only phrases at the ends of a
-repeat have their single suffixes sorted. Fingerprints of 128 bits stand for the strings, so ties are equal strings and the order among others is free.
+have equal triggers at equal places. Triggers cut a text into phrases: the starts that share a trigger. The corpus order of suffixes then follows from two
+smaller ones: a suffix is the end of its phrase, down to the trigger, and what follows from the trigger on.
+
+First the parse is sorted by fingerprints of what follows a trigger. Phrases with no neighbour there are unique and go no further; those that are equal with all
+that their strings span repeat as a whole, by 128 bits. What is left are phrases at the ends of repeats, a small part of any text. Their bytes meet by what
+follows the trigger, and in each task the suffix array of the dictionary (phrases in order of their ends, so that those that share a suffix are
+neighbours, with the length that they share) and that of the parse (what follows from the trigger on, with common prefixes) combine: suffixes as far from their
+trigger are equal to the full length where both arrays say that their parts are. These are compared on bytes.
 """
 
 from __future__ import annotations
@@ -17,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, SpanHash, mix, save, text_slices
+from .common import U64, SpanHash, give_back, mix, save, text_slices
 
 LENGTH = 400
 TRIGGER, REACH = 16, 128
-#: Parse entries that a task sorts at once.
-ENTRIES_A_TASK = 2_000_000
+#: Parse entries that a task sorts at once, and phrases whose suffix arrays it builds.
+ENTRIES_A_TASK, PHRASES_A_TASK = 2_000_000, 40_000
 
 
 def phrases(data: np.ndarray, starts: np.ndarray, length: int, h: SpanHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -32,7 +36,7 @@ def phrases(data: np.ndarray, starts: np.ndarray, length: int, h: SpanHash) -> t
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none, none
-    bits = U64(max(20, len(data).bit_length()))
+    bits = U64(31)  # places up to 2 GB; the same for all texts, so that ties fall alike
     near = (h.width(width) >> bits << bits) | np.arange(len(data) - width + 1, dtype=np.uint64)
     span = 1
     while span < reach:
@@ -119,41 +123,90 @@ def _sort_parse(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"did": pick("did"), "uid": pick("doc"), "at": pick("at"), "n": pick("n"), "whole": np.concatenate([whole[shared], np.zeros(int(again.sum()), bool), np.ones(len(r["r_doc"]), bool)])})
 
 
-def _suffixes(parts: int, length: int):
-    """Fingerprints of the single strings of phrases at the ends of repeats."""
+def _ends(parts: int, length: int):
+    """Phrases at the ends of repeats, with the bytes that their strings span, as one message for each part of the order of what follows their triggers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, starts in text_slices(batches):
-            at, n = (rows.column(c) for c in ("ats", "ns"))
+            h = SpanHash(data)
+            first, last, trigger = phrases(data, starts, length, h)
+            at = rows.column("ats")
             counts = np.diff(np.asarray(at.offsets))
-            n = n.flatten().to_numpy().astype(np.int64)
-            begin = np.repeat(starts[:-1], counts) + at.flatten().to_numpy()
-            i = np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            doc = np.repeat(np.repeat(np.arange(rows.num_rows), counts), n)
-            a, b = (SpanHash(data, seed)(i, i + length) for seed in (1, 5))
-            order = np.lexsort((b, a))
-            new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
-            size = np.diff(np.append(np.flatnonzero(new), len(order)))
-            did, uid, place = np.asarray(rows.column("did"))[doc], np.asarray(rows.column("uid"))[doc], i - starts[doc]
-            kept, rest = order[new], order[~new]
-            yield _send(parts, a[kept], {"a": a[kept], "b": b[kept], "did": did[kept], "doc": uid[kept], "at": place[kept], "twice": (size > 1).astype(np.int8)}, {"r_did": did[rest], "r_doc": uid[rest], "r_at": place[rest]})
+            doc = np.repeat(np.arange(rows.num_rows), counts)
+            k = np.searchsorted(first, starts[doc] + at.flatten().to_numpy())
+            after = h(trigger[k], trigger[k] + (length - min(REACH, length // 3)))
+            part = (after >> U64(40)) % U64(parts)
+            order = np.argsort(part, kind="stable")
+            k, doc, part = k[order], doc[order], part[order]
+            cut = np.searchsorted(part, np.arange(parts + 1))
+            used = [p for p in range(parts) if cut[p] < cut[p + 1]]
+            columns = {"did": np.asarray(rows.column("did"))[doc], "uid": np.asarray(rows.column("uid"))[doc], "at": first[k] - starts[doc], "n": (last - first + 1)[k].astype(np.int32), "t": (trigger - first)[k].astype(np.int32)}
+            out = {"part": pa.array(used, pa.int32())} | {c: pa.array([v[cut[p] : cut[p + 1]].tobytes() for p in used], pa.binary()) for c, v in columns.items()}
+            spans = [data[a:b].tobytes() for a, b in zip(first[k].tolist(), (last[k] + length).tolist(), strict=True)]
+            yield pa.RecordBatch.from_pydict(out | {"bytes": pa.array([b"".join(spans[cut[p] : cut[p + 1]]) for p in used], pa.binary())})
 
     return run
 
 
-def _sort_suffixes(group: pd.DataFrame) -> pd.DataFrame:
-    e = _unpack(group, {"a": np.uint64, "b": np.uint64, "did": np.int64, "doc": np.int64, "at": np.int64, "twice": np.int8})
-    r = _unpack(group, {"r_did": np.int64, "r_doc": np.int64, "r_at": np.int64})
-    order = np.lexsort((e["b"], e["a"]))
-    a, b = e["a"][order], e["b"][order]
-    runs = np.cumsum(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(order)]) - 1
-    repeat = (np.bincount(runs)[runs] > 1) | (np.bincount(runs, e["twice"][order])[runs] > 0) if len(runs) else np.zeros(0, bool)
-    did, doc, at = (np.concatenate([e[k][order][repeat], r[f"r_{k}"]]) for k in ("did", "doc", "at"))
-    order = np.lexsort((at, doc, did))
-    did, doc, at = did[order], doc[order], at[order]
-    new = np.concatenate([[True], (did[1:] != did[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)])[: len(doc)]
-    begin = np.flatnonzero(new)
-    return pd.DataFrame({"did": did[begin], "uid": doc[begin], "at": at[begin], "n": np.diff(np.append(begin, len(doc))).astype(np.int32)})
+def _rows_of(data: np.ndarray, begin: np.ndarray, step: int, size: np.ndarray, width: int) -> np.ndarray:
+    """A row of `width` bytes for each begin: data at begin, begin + step and so on, `size` of them, then zeros."""
+    out = np.zeros((len(begin), width), np.uint8)
+    along = np.arange(width)
+    for lo in range(0, len(begin), 4_000):
+        inside = along < size[lo : lo + 4_000, None]
+        at = np.where(inside, begin[lo : lo + 4_000, None] + step * along, 0)
+        out[lo : lo + 4_000] = np.where(inside, data[at], 0)
+    return out
+
+
+def suffix_array(rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of bytes (a shorter one before those that it begins), and how many bytes each has in common with the one before it."""
+    _, rank = np.unique(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), return_inverse=True)
+    order = np.lexsort((size, rank))
+    common = np.zeros(len(order), np.int64)
+    for lo in range(1, len(order), 4_000):
+        differ = rows[order[lo : lo + 4_000]] != rows[order[lo - 1 : lo + 3_999][: len(order[lo : lo + 4_000])]]
+        common[lo : lo + 4_000] = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
+    common[1:] = np.minimum(common[1:], np.minimum(size[order[1:]], size[order[:-1]]))
+    return order, common
+
+
+def combine(data: np.ndarray, n: np.ndarray, t: np.ndarray, length: int) -> np.ndarray:
+    """Which starts repeat, by phrase and distance before the trigger. data: the bytes that each phrase's n strings span, end to end; t: where triggers are.
+
+    A start `d` bytes before its trigger stands in the dictionary's order with those whose phrases share d bytes there, and in the parse's order with
+    those whose next `length` - d bytes are the same; its string repeats if another start is with it in both."""
+    reach = min(REACH, length // 3)
+    begin = np.concatenate([[0], np.cumsum(n + length - 1)[:-1]]) + t
+    after, nearest = n + length - 1 - t, t - n + 1
+    dictionary, shared = suffix_array(_rows_of(data, begin - 1, -1, t, reach), t)
+    parse, common = suffix_array(_rows_of(data, begin, 1, after, length), after)
+    repeats = np.zeros((len(n), reach), bool)
+    left, right = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
+    for d in range(reach):
+        some = np.flatnonzero((nearest <= d) & (d <= t))
+        if len(some) > 1:
+            left[dictionary] = np.cumsum(shared < d)
+            right[parse] = np.cumsum(common < length - d)
+            _, which, count = np.unique(left[some] * (len(n) + 1) + right[some], return_inverse=True, return_counts=True)
+            repeats[some, d] = count[which] > 1
+    return repeats
+
+
+def _sort_ends(length: int):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        e = _unpack(group, {"did": np.int64, "uid": np.int64, "at": np.int64, "n": np.int32, "t": np.int32, "bytes": np.uint8})
+        n, t = e["n"].astype(np.int64), e["t"].astype(np.int64)
+        k, d = np.nonzero(combine(e["bytes"], n, t, length))
+        place = e["at"][k] + t[k] - d
+        order = np.lexsort((place, k))
+        k, place = k[order], place[order]
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (place[1:] != place[:-1] + 1)])[: len(k)]
+        begin = np.flatnonzero(new)
+        give_back()
+        return pd.DataFrame({"did": e["did"][k[begin]], "uid": e["uid"][k[begin]], "at": place[begin], "n": np.diff(np.append(begin, len(k))).astype(np.int32)})
+
+    return run
 
 
 def _cut(length: int):
@@ -199,11 +252,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = save(docs.mapInArrow(_parse(parts, length), _PARSE_SCHEMA).groupBy("part").applyInPandas(_sort_parse, "did long, uid long, at long, n int, whole boolean"), "phrases")
     once = lambda rows: rows.groupBy("did", "uid").agg(F.collect_list(F.struct("at", "n")).alias("s")).select("did", "uid", F.col("s.at").alias("ats"), F.col("s.n").alias("ns"))
     ends = spans.where("not whole")
-    left = ends.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = max(16, -(-left // ENTRIES_A_TASK))
+    parts = max(16, -(-ends.count() // PHRASES_A_TASK))
     texts = docs.select("did", "uid", "text").join(once(ends.distinct()), ["did", "uid"])
-    single = texts.mapInArrow(_suffixes(parts, length), "part int, a binary, b binary, did binary, doc binary, at binary, twice binary, r_did binary, r_doc binary, r_at binary")
-    single = single.groupBy("part").applyInPandas(_sort_suffixes, "did long, uid long, at long, n int")
+    messages = texts.mapInArrow(_ends(parts, length), "part int, did binary, uid binary, at binary, n binary, t binary, bytes binary")
+    single = messages.groupBy("part").applyInPandas(_sort_ends(length), "did long, uid long, at long, n int")
     gone = save(spans.where("whole").select("did", "uid", "at", "n").union(single), "repeats")
     empty = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>")).alias(c)
     whole = docs.join(once(gone), ["did", "uid"], "left").select("doc_id", "text", empty("ats", "bigint"), empty("ns", "int"))
