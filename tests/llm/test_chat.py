@@ -48,3 +48,8 @@ def test_escape_is_reversible():
     for _ in range(3000):
         text = "".join(rng.choice(["<s>", "</s>", "<<SYS>>", "[INST]", "[/INST]", "\\", "l", "b", "n", "<", "[", "<|x|>", "a", "\n"]) for _ in range(rng.randint(0, 9)))
         assert unescape(escape(text)) == text and not any(x in escape(text) for x in (OPEN, CLOSE, "[INST]", "[/INST]", "<<SYS>>", "<|"))
+
+
+def test_an_empty_id_is_not_null(spark):
+    talk = spark.createDataFrame([("", 0, "user", "a"), (None, 0, "user", "b"), ("=", 0, "user", "c"), ("", 1, "assistant", "d")], "conv_id string, turn long, role string, text string")
+    assert sorted(((r.conv_id, r.n_turns) for r in chat_windows(talk).collect()), key=str) == [("", 2), ("=", 1), (None, 1)]

@@ -107,7 +107,7 @@ def chat_windows(conversations: DataFrame, budget: int = BUDGET, tokenizer: str
     import public_tokenizers
 
     step, quarter = budget // 2, budget // 4
-    rows = conversations.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = conversations.select(F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")).alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = save(rows.withColumn("n", _count(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))("text") + MARKS), "turns")
     keys = ["conv", "turn", "role", F.xxhash64("text"), "text"]
     dealt = rows.repartitionByRange(*keys[:4]).sortWithinPartitions(*keys)
@@ -127,7 +127,7 @@ def chat_windows(conversations: DataFrame, budget: int = BUDGET, tokenizer: str
     gathered = gathered.where(F.element_at("turns", -1)["kind"] == 2)
     out = gathered.mapInPandas(_format, "conv string, window long, formatted string, n_turns int, n_repeated int, loss array<struct<start: int, end: int>>")
     kind = conversations.schema["conv_id"].dataType
-    return out.select(F.when(F.col("conv") != "", F.col("conv")).cast(kind).alias("conv_id"), "window", "formatted", "n_turns", "n_repeated", "loss")
+    return out.select(F.when(F.col("conv") != "", F.substring("conv", 2, 1 << 30)).cast(kind).alias("conv_id"), "window", "formatted", "n_turns", "n_repeated", "loss")
 
 
 def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,6 +167,7 @@ def read_back(windows: DataFrame) -> DataFrame:
 
 
 def op3_chat_windows(spark, sf_dir: str) -> DataFrame:
+    """chat_windows over all conversations and one that says control strings, read back; nulls, ties and repeated rows as there."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     says = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], "conv_id long, turn long, role string, text string")

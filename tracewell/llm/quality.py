@@ -141,5 +141,6 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """judge over all documents and labels; nulls, empties, ties and repeated rows as there."""
     out = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
