@@ -12,7 +12,8 @@ from tracewell.operators.flows import aggregate_flows
 from tracewell.operators.folds import dedup_alerts, sessionize
 from tracewell.operators.reports import ewma_rate
 from tracewell.plans import queries as Q
-from tracewell.plans.packets import PACKET_SCHEMA, packets
+from tracewell.plans.adapter import packets
+from tracewell.plans.packets import PACKET_SCHEMA
 from tracewell.plans.queries import QUERIES
 from tracewell.sources.captures import read_pcap
 from tracewell.streaming.jobs import run_available, stream_port_scan

@@ -13,7 +13,8 @@ from tracewell.functions.expressions import event_time, http_request_line, parse
 from tracewell.operators.detectors import detect_arp_spoof, detect_dns_tunnel, detect_port_scan, detect_syn_flood, dns_scores
 from tracewell.operators.folds import segments
 from tracewell.operators.reports import cms_build, cms_conservative, cms_decay, cms_estimate, cms_merge, scan_window
-from tracewell.plans.packets import PACKET_SCHEMA, packets
+from tracewell.plans.adapter import packets
+from tracewell.plans.packets import PACKET_SCHEMA
 from tracewell.sources.captures import decode_frame, read_packet_stream
 from tracewell.sources.tables import alerts_table, write_alerts, write_flow_summary, write_minute_stats
 from tracewell.streaming.jobs import late_rows, run_available, stream_gap_flows, stream_scan_windows

@@ -13,10 +13,11 @@ from ..operators import detectors as D
 from ..operators import flows as L
 from ..operators import folds as S
 from ..operators import reports as R
-from ..sources.captures import capture_filter, read_packet_stream, read_packets
 from ..sources import tables as T
+from ..sources.captures import capture_filter, read_packet_stream, read_packets
 from ..sources.tables import shared_folder, stored, upsert_latest
-from .packets import PACKET_SCHEMA, PACKETS_SQL, packets
+from .adapter import PACKETS_SQL, packets
+from .packets import PACKET_SCHEMA
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -77,7 +78,7 @@ sc AS (SELECT packet_id, ts, src, rn, [struct_pack(ts := ts, t := concat(dst, ':
          SELECT sy.packet_id, sy.ts, sy.src, sy.rn, list_filter(list_append(CASE WHEN sc.fired THEN [] ELSE sc.q END, struct_pack(ts := sy.ts, t := concat(sy.dst, ':', sy.dport))), lambda x: x.ts >= sy.ts - 10) AS q
          FROM sc JOIN sy ON sy.src = sc.src AND sy.rn = sc.rn + 1)),
 sa AS (SELECT packet_id, ts, src, CAST(len(list_distinct(list_transform(q, lambda x: x.t))) AS BIGINT) AS unique_targets,
-        CAST(len(list_distinct(list_transform(q, lambda x: split_part(x.t, ':', 1)))) AS BIGINT) AS unique_hosts, CAST(len(list_distinct(list_transform(q, lambda x: split_part(x.t, ':', 2)))) AS BIGINT) AS unique_ports FROM sc WHERE fired),
+        CAST(len(list_distinct(list_transform(q, lambda x: split_part(x.t, ':', 1)))) AS BIGINT) AS unique_hosts, CAST(len(list_distinct(list_transform(q, lambda x: split_part(x.t, ':', 2)))) AS BIGINT) AS unique_ports, split_part(q[1].t, ':', 1) AS host FROM sc WHERE fired),
 fs AS (SELECT packet_id, ts, src, dst, concat(ep1.ip, ':', ep1.port, '-', ep2.ip, ':', ep2.port) AS pair, row_number() OVER (PARTITION BY dst ORDER BY packet_id) AS rn FROM e WHERE is_syn AND sp <> 0 AND dp <> 0),
 fk AS (SELECT packet_id, ts, s, d, concat(ep1.ip, ':', ep1.port, '-', ep2.ip, ':', ep2.port) AS pair FROM e WHERE proto = 'TCP' AND flags LIKE '%A%' AND sp <> 0 AND dp <> 0),
 fd AS (SELECT fs.packet_id, list_distinct(list(fk.pair)) AS done FROM fs JOIN fk ON fk.packet_id < fs.packet_id AND fk.ts >= fs.ts - 5 AND (fk.s = fs.dst OR fk.d = fs.dst) GROUP BY fs.packet_id),
@@ -86,12 +87,18 @@ ff AS (SELECT packet_id, ts, dst, rn, [struct_pack(ts := ts, p := pair, s := src
        UNION ALL SELECT packet_id, ts, dst, rn, q, open, len(q) >= 40 AND open * 1.0 / len(q) >= 0.8 FROM (SELECT *, len(list_filter(q, lambda x: NOT list_contains(done, x.p))) AS open FROM (
          SELECT fe.packet_id, fe.ts, fe.dst, fe.rn, fe.done, list_filter(list_append(CASE WHEN ff.fired THEN [] ELSE ff.q END, struct_pack(ts := fe.ts, p := fe.pair, s := fe.src)), lambda x: x.ts >= fe.ts - 5) AS q
          FROM ff JOIN fe ON fe.dst = ff.dst AND fe.rn = ff.rn + 1))),
-fa AS (SELECT packet_id, ts, dst, CAST(open AS BIGINT) AS half_open_count, CAST(len(q) AS BIGINT) AS window_syn_count, CAST(len(list_distinct(list_transform(q, lambda x: x.s))) AS BIGINT) AS unique_attackers FROM ff WHERE fired),
+fa AS (SELECT packet_id, ts, dst, CAST(open AS BIGINT) AS half_open_count, CAST(len(q) AS BIGINT) AS window_syn_count, CAST(len(list_distinct(list_transform(q, lambda x: x.s))) AS BIGINT) AS unique_attackers, q[1].s AS attacker FROM ff WHERE fired),
 alerts AS (SELECT packet_id, ts, 'port_scan' AS alert_type, 'medium' AS severity FROM sa UNION ALL SELECT packet_id, ts, 'syn_flood', 'critical' FROM fa UNION ALL SELECT packet_id, ts, alert_type, severity FROM da UNION ALL SELECT packet_id, ts, alert_type, severity FROM aa),
 dr AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY packet_id) AS rn FROM da),
 dc AS (SELECT packet_id, src, dst, rn, ts AS last, 0 AS held, true AS emit, 0 AS said FROM dr WHERE rn = 1
        UNION ALL SELECT dr.packet_id, dr.src, dr.dst, dr.rn, CASE WHEN dr.ts - last >= 60 THEN dr.ts ELSE last END, CASE WHEN dr.ts - last >= 60 THEN 0 ELSE held + 1 END, dr.ts - last >= 60, CASE WHEN dr.ts - last >= 60 THEN held ELSE 0 END
        FROM dc JOIN dr ON dr.src = dc.src AND dr.dst = dc.dst AND dr.rn = dc.rn + 1),
+xa AS (SELECT packet_id, ts, 'port_scan' AS alert_type, src, CASE WHEN unique_hosts = 1 THEN host END AS dst FROM sa UNION ALL SELECT packet_id, ts, 'syn_flood', CASE WHEN unique_attackers = 1 THEN attacker END, dst FROM fa
+       UNION ALL SELECT packet_id, ts, alert_type, src, dst FROM da UNION ALL SELECT packet_id, ts, alert_type, src, dst FROM aa),
+xr AS (SELECT *, concat_ws('|', alert_type, coalesce(src, '-'), coalesce(dst, '-')) AS k, row_number() OVER (PARTITION BY alert_type, src, dst ORDER BY packet_id) AS rn FROM xa),
+xc AS (SELECT packet_id, alert_type, k, rn, ts AS last, 0 AS held, true AS emit, 0 AS said FROM xr WHERE rn = 1
+       UNION ALL SELECT xr.packet_id, xr.alert_type, xr.k, xr.rn, CASE WHEN xr.ts - last >= 60 THEN xr.ts ELSE last END, CASE WHEN xr.ts - last >= 60 THEN 0 ELSE held + 1 END, xr.ts - last >= 60, CASE WHEN xr.ts - last >= 60 THEN held ELSE 0 END
+       FROM xc JOIN xr ON xr.k = xc.k AND xr.rn = xc.rn + 1),
 sp AS (SELECT packet_id, ts, src, rn, [struct_pack(ts := ts, t := concat(dst, ':', dport))] AS q, false AS fast, ts AS first, ts AS last, CAST(1 AS DOUBLE) AS rate, [concat(dst, ':', dport)] AS seen, false AS slow, CAST(0 AS DOUBLE) AS elapsed FROM sy WHERE rn = 1
        UNION ALL SELECT packet_id, ts, src, rn, q, fast, CASE WHEN fast THEN was WHEN was IS NULL THEN ts ELSE was END, CASE WHEN fast THEN last ELSE ts END, CASE WHEN fast THEN rate WHEN was IS NULL THEN 1 ELSE rate + 0.2E0 * (1.0E0 / greatest(0.001E0, ts - last) - rate) END,
          CASE WHEN fast THEN seen WHEN was IS NULL THEN [t] ELSE list_distinct(list_append(seen, t)) END, NOT fast AND was IS NOT NULL AND ts - was > 10 AND len(list_distinct(list_append(seen, t))) >= 20, CASE WHEN fast OR was IS NULL THEN 0 ELSE ts - was END FROM (
@@ -368,6 +375,11 @@ def _(spark, d):
     return S.dedup_alerts(D.detect_dns_tunnel(packets(spark, d))).select("packet_id", "suppressed")
 
 
+@query("det6_dedup_all", "SELECT alert_type, packet_id, CAST(said AS BIGINT) AS suppressed FROM xc WHERE emit")
+def _(spark, d):
+    return S.dedup_alerts(alerts(spark, d)).select("alert_type", "packet_id", "suppressed")
+
+
 @query("det7_sessionize_flows")
 def _(spark, d):
     return L.aggregate_flows(S.sessionize(packets(spark, d)), ("session_no",))
@@ -498,15 +510,19 @@ def _(spark, d):
     return out.select("flow_key", "src", "dst", "proto", "start_ts", "last_seen_ts", "total_packets", "total_bytes", "tcp_state")
 
 
-def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packets as a stream, ended by late packets of every kind, which let the watermark pass all others: no answer holds them."""
+def stream_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of packets to stream, ended by late packets of every kind, which let the watermark pass all others: no answer holds them."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     n, t = packets(spark, sf_dir).agg(F.max("packet_id"), F.max("ts")).first()
     rows = [(n + 1, t + 1e6, "TCP", "S", None), (n + 2, t + 1e6, "UDP", None, "end.of.stream"), (n + 3, t + 1e6, "ARP", "00:00:00:00:00:01", None)]
     closing = spark.createDataFrame(rows, "packet_id long, ts double, proto string, flags string, dns_qname string")
     closing = closing.withColumns({"src": F.lit("end"), "dst": F.lit("end"), "sport": F.lit(1), "dport": F.lit(1)})
     full = closing.select(*[F.col(c) if c in closing.columns else F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in PACKET_SCHEMA.split(", "))])
-    return read_packet_stream(spark, packet_folder(spark, sf_dir, full), delay="1 second")
+    return packet_folder(spark, sf_dir, full)
+
+
+def streamed(spark: SparkSession, folder: str) -> DataFrame:
+    return read_packet_stream(spark, folder, delay="1 second")
 
 
 def gathered(df: DataFrame) -> DataFrame:
@@ -524,7 +540,7 @@ FROM (SELECT src, dst, dport, floor(ts) - unnest(range(10)) AS start FROM sy) GR
 def _(spark, d):
     from ..streaming.jobs import stream_scan_windows
 
-    found = gathered(stream_scan_windows(streamed(spark, d)))
+    found = gathered(stream_scan_windows(streamed(spark, stream_folder(spark, d))))
     return found.select("src", F.unix_seconds("start").alias("start"), F.col("targets").cast("long").alias("targets"))
 
 
@@ -532,7 +548,7 @@ def _(spark, d):
 def _(spark, d):
     from ..streaming.jobs import stream_flows
 
-    return gathered(stream_flows(streamed(spark, d))).select(*_SESSION)
+    return gathered(stream_flows(streamed(spark, stream_folder(spark, d)))).select(*_SESSION)
 
 
 @query("str4_stream_detect", """SELECT 'port_scan' AS alert_type, packet_id FROM sa UNION ALL SELECT 'syn_flood', packet_id FROM fa UNION ALL SELECT 'dns_tunnel', packet_id FROM da UNION ALL SELECT 'arp_spoof', packet_id FROM aa""")
@@ -540,9 +556,10 @@ def _(spark, d):
     """The four detectors as streams; addresses and holders are two queries with a table of claims between."""
     from ..streaming import jobs as J
 
-    found = [("port_scan", gathered(J.stream_port_scan(streamed(spark, d)))), ("syn_flood", gathered(J.stream_syn_flood(streamed(spark, d))))]
-    found.append(("dns_tunnel", gathered(J.stream_dns_scores(streamed(spark, d))).where("score >= 3")))
-    claims = gathered(J.stream_arp_claims(streamed(spark, d)))
+    stream = streamed(spark, stream_folder(spark, d))
+    found = [("port_scan", gathered(J.stream_port_scan(stream))), ("syn_flood", gathered(J.stream_syn_flood(stream)))]
+    found.append(("dns_tunnel", gathered(J.stream_dns_scores(stream)).where("score >= 3")))
+    claims = gathered(J.stream_arp_claims(stream))
     end = claims.agg(F.max("packet_id").alias("n"), F.max("ts").alias("t")).select(
         (F.col("n") + 1).alias("packet_id"), (F.col("t") + 1e6).alias("ts"), F.lit("end").alias("dst"), F.lit(2).alias("arp_op"), F.lit("end").alias("ip"), F.lit("end").alias("mac"), F.lit(None).cast("string").alias("original_mac"), F.lit(False).alias("conflict")
     )
