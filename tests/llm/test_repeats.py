@@ -1,5 +1,7 @@
 import hashlib
+import random
 
+import numpy as np
 import pytest
 
 from tracewell.llm.repeats import op8_suffix_dedup, remove_repeats
@@ -38,3 +40,50 @@ def test_odd_rows(spark, length):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as uid", "'z' as part")
     assert answer(docs, length) == brute(rows, length)
     assert answer(docs.limit(0), length) == []
+
+
+def brute_by_numbers(rows, length):
+    """brute() for larger tables: strings by two sums over random byte values, by Horner steps in arrays that wrap at 2**64."""
+    data = [(t or "").encode() for _, t in rows]
+    whole = np.frombuffer(b"".join(data), np.uint8)
+    starts = np.cumsum([0, *map(len, data)])
+    names = []
+    for base, seed in ((6_364_136_223_846_793_005, 1), (3_935_559_000_370_003_845, 2)):
+        value = np.random.default_rng(seed).integers(1, 2**63, 256).astype(np.uint64)[whole]
+        own = np.zeros(len(whole) - length + 1, np.uint64)
+        for k in range(length):
+            own *= np.uint64(base)
+            own += value[k : k + len(own)]
+        names.append(own)
+    inside = np.concatenate([np.arange(a, b - length + 1) for a, b in zip(starts[:-1], starts[1:]) if b - a >= length])
+    first, second = names[0][inside], names[1][inside]
+    order = np.lexsort((second, first))
+    same = (first[order][1:] == first[order][:-1]) & (second[order][1:] == second[order][:-1])
+    twice = np.zeros(len(inside), bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    marks = np.zeros(len(whole) + 1, np.int64)
+    np.add.at(marks, inside[twice], 1)
+    np.add.at(marks, inside[twice] + length, -1)
+    gone = np.cumsum(marks)[:-1] > 0
+    out = []
+    for (d, _), b, lo in zip(rows, data, starts):
+        g = gone[lo : lo + len(b)]
+        runs = int((np.diff(np.concatenate([[0], g.astype(np.int8)])) == 1).sum())
+        out.append((d, len(b), int(g.sum()), runs, hashlib.sha256(np.frombuffer(b, np.uint8)[~g].tobytes()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def test_query_on_more_documents(spark, sf01):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf01}/documents.parquet").select("doc_id", "text").collect()]
+    want = brute_by_numbers(rows, 400)
+    assert sorted((tuple(r) for r in op8_suffix_dedup(spark, sf01).collect()), key=str) == want and sum(x[2] > 0 for x in want) > 50
+
+
+def test_shared_parts_of_any_alignment(spark):
+    """Texts that share parts with other surroundings, also nul bytes and runs of one letter, at every alignment to the triggers."""
+    rng = random.Random(9)
+    say = lambda n, of="abcdefgh \n": "".join(rng.choice(of) for _ in range(n))
+    parts = [say(n) for n in (60, 75, 90, 130, 200)] + ["\0" * 70 + say(30), "z" * 150]
+    rows = [(i, say(rng.randint(0, 90)) + rng.choice(parts)[rng.randint(0, 9) :] + say(rng.randint(0, 60), "xyz\0") + rng.choice(parts) + say(rng.randint(0, 5))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert answer(docs, 50) == brute(rows, 50)
