@@ -222,23 +222,24 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     Fragments to learn from are words of SHORT to WIDE symbols, and pairs of such neighbours that two toxic texts or more have. A bag is the BAG fragments of highest
     odds to stand in toxic texts; the clean side begins with the CLEAN_WORDS clean words of least hash. Texts are scored on all their fragments all the same."""
     pieces, seen = [], [{}, {}]
-    twice: dict[str, int] = {}
+    # pairs are many, and most stand in one text: a first turn holds their hashes alone
+    code = lambda w: zlib.crc32(w.encode())
+    codes = [np.unique(np.array([code(w) for w in _words(text)[1]], np.uint32)) for text, t in zip(texts, toxic, strict=True) if t]
+    values, counts = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, np.uint32),) * 2
+    shared = set(values[counts > 1].tolist())
     for text, t in zip(texts, toxic, strict=True):
         if t:
             words, two = _words(text)
-            pieces.append((words, two))
-            for w in words:
+            pieces.append(words | {w for w in two if code(w) in shared})
+            for w in pieces[-1]:
                 seen[1][w] = seen[1].get(w, 0) + 1
-            for w in two:
-                twice[w] = twice.get(w, 0) + 1
-    seen[1] |= {w: k for w, k in twice.items() if k > 1}
+    seen[1] = {w: k for w, k in seen[1].items() if k > 1 or " " not in w}
     for text, t in zip(texts, toxic, strict=True):
         if not t:
             words, two = _words(text)
             for w in words | {w for w in two if w in seen[1]}:
                 seen[0][w] = seen[0].get(w, 0) + 1
-    pieces = [words | {w for w in two if w in seen[1]} for words, two in pieces]
-    del twice
+    pieces = [{w for w in own if w in seen[1]} for own in pieces]
     n = [max(1, toxic.count(0)), max(1, toxic.count(1))]
     odds = {w: np.log((k + 0.05) / n[1]) - np.log((seen[0].get(w, 0) + 0.5) / n[0]) for w, k in seen[1].items()}
     if not odds or not seen[0]:
