@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import give_back, save
 
 #: Words of a passage and between the starts of two; BM25's parameters; postings in a block; code points of items that one index holds.
 PASSAGE, STRIDE, K1, B, POSTINGS, SHARD_CHARS = 128, 64, 1.2, 0.75, 16, 4_000_000
@@ -197,6 +197,7 @@ def _query(index: Index):
                                 best[item] = max(best.get(item, 0), sum(own) / 2)
                 out += [(doc, index.items[k], v) for k, v in best.items()]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "overlap"])
+        give_back()
 
     return run
 

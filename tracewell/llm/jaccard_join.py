@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, U64, SpanHash, components, find_words, mix, save, text_slices
+from .common import ASCII_LOWER, U64, SpanHash, components, find_words, give_back, mix, save, text_slices
 
 WORDS = 5
 #: Keys that a task compares at once, and distinct sets in a block.
-KEYS_A_TASK, BLOCK = 1_000_000, 4_000
+KEYS_A_TASK, BLOCK = 500_000, 4_000
 _STEPS = np.random.default_rng(11).integers(1, 2**62, 64, dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -117,6 +117,7 @@ def _meet(group: pd.DataFrame) -> pd.DataFrame:
     new = np.concatenate([[True], row["keys"][order][1:] != row["keys"][order][:-1]])
     size = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
     on = order[size > 1]
+    give_back()
     return pd.DataFrame({"key": row["keys"][on].view(np.int64), "doc": row["docs"][on], "list": row["list"][on].astype(np.int32), "spare": row["spare"][on], "df": size[size > 1].astype(np.int32)})
 
 
@@ -224,6 +225,7 @@ def _link_groups(num: int, den: int):
             for i, j in tree_links(sets, num, den, side if side.max() else None):
                 a.append(docs[i])
                 b.append(docs[j])
+        give_back()
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return run
@@ -242,6 +244,7 @@ def _link_fans(num: int, den: int):
                     if both * den >= num * (len(sets[i]) + len(sets[h]) - both):
                         a.append(docs[i])
                         b.append(docs[h])
+        give_back()
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return run

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import give_back, save
 
 CAPACITY = 4096
 #: Pieces that one task packs, and the share of free room up to which a bin counts as full.
@@ -97,6 +97,8 @@ def _pieces(path: str, capacity: int, with_ids: bool):
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 cols = list(zip(*out, strict=True)) or [()] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["rid", "doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+        del tokenizer
+        give_back()
 
     return run
 
