@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import op3_chat_windows
+from .clustering import CLUSTERING_SQL, op13_centroid_clustering
 from .decontam import op7_decontamination
 from .jaccard_join import op9_jaccard_join
 from .line_dedup import LINE_DEDUP_SQL, op4_line_dedup
@@ -13,5 +14,5 @@ from .repeats import op8_suffix_dedup
 from .toxicity import op2_toxicity
 from .warc import WARC_SQL, op5_warc
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_chat_windows, op4_line_dedup, op5_warc, op6_pii, op7_decontamination, op8_suffix_dedup, op9_jaccard_join, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": LINE_DEDUP_SQL, "op5_warc": WARC_SQL}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_toxicity, op3_chat_windows, op4_line_dedup, op5_warc, op6_pii, op7_decontamination, op8_suffix_dedup, op9_jaccard_join, op10_quality_rules, op13_centroid_clustering)}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": LINE_DEDUP_SQL, "op5_warc": WARC_SQL, "op13_centroid_clustering": CLUSTERING_SQL}
