@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,6 +153,19 @@ def find_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return begin, end, np.searchsorted(begin, starts)
 
 
+def word_ids(data: np.ndarray, inside: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The number of each word and the distinct words, told apart by their bytes. inside marks the bytes of all these words and no others."""
+    offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(end - begin)])
+    words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[inside]))])
+    coded = words.dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64 bits of each, by a public hash without the algebra of a polynomial."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by alternating large and small stars: (node, root) for each node of edges, root its smallest.
 
