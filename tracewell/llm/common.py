@@ -139,9 +139,9 @@ class SpanHash:
         return mix((self.sums[n:] - self.sums[:m]) * self.inverse[:m])
 
 
-def find_words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of bytes other than [\\x20\\x09-\\x0D], never over a document's end: starts, ends, and how many lie before each document's start."""
-    inside = ~WHITE[data]
+def find_words(data: np.ndarray, starts: np.ndarray, outside: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of bytes that are not outside ([\\x20\\x09-\\x0D]), never over a document's end: starts, ends, and how many lie before each document's start."""
+    inside = ~outside[data]
     before, after = np.empty(len(data), bool), np.empty(len(data), bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
     if len(data):
