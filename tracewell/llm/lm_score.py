@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, U64, WHITE, find_words, give_back, mix, read, save, text_slices, word_hashes, word_ids
 
 #: n of the longest n-grams; tokens of a chunk; names that a task counts at once; rounds of expectation-maximisation, and the gain a token at which they end.
-ORDER, CHUNK, NAMES_A_TASK, ROUNDS, GAIN = 2, 2_500_000, 1_500_000, 20, 1e-5
+ORDER, CHUNK, NAMES_A_TASK, ROUNDS, GAIN = 2, 1_000_000, 1_000_000, 20, 1e-5
 #: No weight is less, so that no text is impossible.
 LEAST_WEIGHT = 1e-6
 HELD_OUT, TRAINED, FOLD = 0, 1, 2
@@ -288,7 +288,7 @@ def _score_rows(order: int, totals: dict, table: np.ndarray):
         of = np.repeat(np.arange(len(sizes)), sizes)
         add = lambda x: np.bincount(of, x, len(sizes))
         base = np.log10((c + 0.1) / (totals["tokens"] + 0.1 * (totals["kinds"] + 1)))
-        score = np.log10((p * table[bucket]).sum(1))
+        score = np.log10(np.einsum("ij,ij->i", p, table[bucket]))
         out = {"row": known.row["rows"], "doc_id": pa.array(known.row["docs"], pa.int64()), "kind": pa.array([known.row["kind"]] * len(sizes), pa.int32()), "n_tokens": sizes, "n_known": add(c > 0).astype(np.int64), "base_score": add(base), "score": add(score)}
         give_back()
         return pa.table(out)
