@@ -16,3 +16,8 @@ def oracle(sql, folder, **tables):
 
 def rows(of):
     return sorted((tuple(v for _, v in sorted((r.asDict() if hasattr(r, "asDict") else r).items())) for r in of), key=str)
+
+
+def thue_morse(n, a="a", b="b"):
+    """A string of a and b whose polynomial hash modulo a power of two is that of the string with a and b swapped, if n is a multiple of 1,024."""
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))

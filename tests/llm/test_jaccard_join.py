@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from tests.llm.helpers import thue_morse
 from tracewell.llm import jaccard_join as jj
 from tracewell.llm.jaccard_join import jaccard_components, op9_jaccard_join, part_keys, tree_links
 
@@ -85,3 +86,10 @@ def test_linked_copies_are_not_dealt_as_block_pairs(spark, monkeypatch):
     monkeypatch.setattr(jj, "_block_pairs", counted)
     assert {tuple(r) for r in jaccard_components(docs, block=16).collect()} == brute(rows)
     assert sum(sent) < 8 * len(rows), sent
+
+
+def test_words_that_defeat_polynomials_modulo_powers_of_two(spark):
+    one, two = thue_morse(2048), thue_morse(2048, "b", "a")
+    rows = [(1, f"{one} x y z w"), (2, f"{two} x y z w"), (3, one), (4, two), (5, f"{one} x"), (6, f"{two} x"), (7, one.upper())]
+    got = {tuple(r) for r in jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and {c for _, _, c in got} == {1, 2, 3, 4, 5, 6}

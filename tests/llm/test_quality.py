@@ -1,6 +1,7 @@
 import math
 import re
 
+from tests.llm.helpers import thue_morse
 from tracewell.llm.quality import at_most, cutoffs, judge, op10_quality_rules
 
 
@@ -58,3 +59,12 @@ def test_exact_bound():
     good = [("s", "r", 0, c, True, 4000) for c in (True, False)] + [("s", "r", 60, c, True, 5) for c in (True, False)]
     assert cutoffs([*good, ("s", "r", 50, True, False, 900)]) == {("s", "r"): 50}
     assert cutoffs([("s", "r", 0, False, True, 30), ("s", "r", 50, True, False, 900)]) == {}
+
+
+def test_words_and_lines_that_defeat_polynomials_modulo_powers_of_two(spark):
+    one, two = thue_morse(1024), thue_morse(1024, "b", "a")
+    texts = [f"{one}\n{two}", f"{one} {two} x {two} {one} x {one} {two} x", f"{one}\n{one}\n {one}", f"{one} {two} c " * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' as lang")
+    got = judge(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert answer(got) == sorted(((d, *brute(t)) for d, t in enumerate(texts)), key=str)
+    assert [r.n_distinct for r in got.orderBy("doc_id").collect()][:2] == [2, 3]

@@ -4,6 +4,8 @@ import random
 import numpy as np
 import pytest
 
+from tests.llm.helpers import thue_morse
+from tracewell.llm.common import PRIME, SpanHash, _times
 from tracewell.llm.repeats import op8_suffix_dedup, remove_repeats
 
 
@@ -87,3 +89,20 @@ def test_shared_parts_of_any_alignment(spark):
     rows = [(i, say(rng.randint(0, 90)) + rng.choice(parts)[rng.randint(0, 9) :] + say(rng.randint(0, 60), "xyz\0") + rng.choice(parts) + say(rng.randint(0, 5))) for i in range(120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert answer(docs, 50) == brute(rows, 50)
+
+
+def test_strings_that_defeat_polynomials_modulo_powers_of_two(spark):
+    one, two = thue_morse(4096), thue_morse(4096, "b", "a")
+    data = np.frombuffer((one + two).encode(), np.uint8)
+    h = SpanHash(data)
+    for n in (512, 1024, 2048, 4096):
+        a, b = h(np.array([0, 4096]), np.array([n, 4096 + n]))
+        assert a != b and h.width(n)[0] == a and h.width(n)[4096] == b
+    assert SpanHash(data[4096:])(np.array([0]), np.array([4096]))[0] == h(np.array([4096]), np.array([8192]))[0]
+    rng = random.Random(1)
+    for _ in range(200):
+        x, y = rng.randrange(int(PRIME)), rng.randrange(int(PRIME))
+        assert int(_times(np.array([x], np.uint64), np.array([y], np.uint64))[0]) == x * y % int(PRIME)
+    rows = [(1, one), (2, two), (3, "head " + one[:2048]), (4, two[:1024] + one[:1024])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert answer(docs, 1024) == brute(rows, 1024) and answer(docs, 2048) == brute(rows, 2048)

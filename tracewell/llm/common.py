@@ -105,38 +105,61 @@ def _bytes_table(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
 
+#: The modulus of SpanHash, a Mersenne prime.
+PRIME = U64(2**61 - 1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME."""
+    x = (x & PRIME) + (x >> U64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME of numbers below it, by halves of 32 bits: 2**64 leaves 8, and 2**61 leaves 1."""
+    low = U64(2**32 - 1)
+    a1, a0, b1, b0 = a >> U64(32), a & low, b >> U64(32), b & low
+    middle, least = a1 * b0 + a0 * b1, a0 * b0
+    return _folded(((a1 * b1) << U64(3)) + (middle >> U64(29)) + ((middle & U64(2**29 - 1)) << U64(32)) + (least >> U64(61)) + (least & PRIME))
+
+
 def _power_tables(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo PRIME."""
     have = _powers.get(seed)
     if have is None or len(have[0]) < n:
-        base = int(np.random.default_rng(seed + 1).integers(1, 2**61)) * 8 + 5
-        size = max(n, SLICE_BYTES + 1)
-        tables = []
-        for b in (base, pow(base, -1, 2**64)):
-            steps = np.full(size, U64(b))
-            steps[0] = 1
-            tables.append(np.cumprod(steps, dtype=np.uint64))
+        base, prime = int(np.random.default_rng(seed + 1).integers(2**40, 2**60)), int(PRIME)
+        size, tables = max(n, SLICE_BYTES + 1), []
+        for b in (base, pow(base, -1, prime)):
+            steps = np.ones(1, np.uint64)
+            while len(steps) < size:
+                steps = np.concatenate([steps, _times(steps, U64(pow(b, len(steps), prime)))])
+            tables.append(steps[:size])
         _powers[seed] = have = (tables[0], tables[1])
     return have
 
 
 class SpanHash:
-    """64-bit hashes of any spans of bytes: a polynomial modulo 2**64 over random byte values, mixed at the end."""
+    """64-bit hashes of any spans of bytes: a polynomial over random byte values modulo the prime 2**61 - 1, mixed at the end.
+
+    The modulus is a prime, since modulo a power of two such sums are equal for some strings (those of Thue and Morse) whatever the base."""
 
     def __init__(self, data: np.ndarray, seed: int = 1):
         powers, self.inverse = _power_tables(seed, len(data) + 1)
+        terms = _times(_bytes_table(seed)[data] >> U64(3), powers[: len(data)])
+        upper, lower = np.cumsum(terms >> U64(32), dtype=np.uint64), np.cumsum(terms & U64(2**32 - 1), dtype=np.uint64)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_bytes_table(seed)[data] * powers[: len(data)], dtype=np.uint64, out=self.sums[1:])
+        self.sums[1:] = _folded((upper >> U64(29)) + ((upper & U64(2**29 - 1)) << U64(32)) + _folded(lower))
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
+        between = _folded(self.sums[end] + PRIME - self.sums[start])
+        return mix(_times(between, self.inverse[start]) + (end - start).astype(np.uint64) * U64(0x9E3779B97F4A7C15))
 
     def width(self, n: int) -> np.ndarray:
         """Of all spans of n bytes, by start."""
         m = max(0, len(self.sums) - n)
-        return mix((self.sums[n:] - self.sums[:m]) * self.inverse[:m])
+        between = _folded(self.sums[n:] + PRIME - self.sums[:m])
+        return mix(_times(between, self.inverse[:m]) + U64(n * 0x9E3779B97F4A7C15 % 2**64))
 
 
 def find_words(data: np.ndarray, starts: np.ndarray, outside: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, U64, SpanHash, components, find_words, give_back, mix, save, text_slices
+from .common import ASCII_LOWER, U64, WHITE, components, find_words, give_back, mix, save, text_slices, word_hashes, word_ids
 
 WORDS = 5
 #: Keys that a task compares at once, and distinct sets in a block.
@@ -27,7 +27,8 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, words: int = WORDS) -> li
     """The sorted distinct 64-bit hashes of each document's shingles; a shorter text is one shingle, no word gives none."""
     data = ASCII_LOWER[data]
     begin, end, first = find_words(data, starts)
-    word = SpanHash(data)(begin, end)
+    ids, distinct = word_ids(data, ~WHITE[data], begin, end)
+    word = word_hashes(distinct)[ids]
     n = max(0, len(word) - words + 1)
     grams = np.zeros(n, np.uint64)
     for k in range(words):

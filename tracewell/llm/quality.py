@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, SpanHash, find_words, mix, save, text_slices
+from .common import WHITE, find_words, save, text_slices, word_ids
 
 #: Good documents that all rules together may reject, by stratum; the chance that any bound is wrong; steps of a rule's measure; bad documents that a cutoff
 #: must reject for each good one, among the labelled rows that choose it.
@@ -41,7 +41,6 @@ def measure(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
     """Counts for each text; words are [^\\x20\\x09-\\x0D]+."""
     docs = len(starts) - 1
     begin, end, first = find_words(data, starts)
-    h = SpanHash(data)
     of = np.repeat(np.arange(docs), np.diff(first))
     upto = lambda flags: np.concatenate([[0], np.cumsum(flags)])
     out = {"n_words": np.diff(first)}
@@ -51,7 +50,6 @@ def measure(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
         table = np.zeros(256, bool)
         table[list(chars)] = True
         out[name] = np.diff(upto(table[data])[starts])
-    own = of.astype(np.uint64) * U64(0x9E3779B97F4A7C15)
 
     cuts = np.flatnonzero(data == 10)
     line_of = np.concatenate([np.arange(docs), np.searchsorted(starts, cuts, "right") - 1])
@@ -63,16 +61,21 @@ def measure(data: np.ndarray, starts: np.ndarray) -> dict[str, np.ndarray]:
     line_end[last] = starts[line_of[last] + 1]
     out["n_lines"] = np.bincount(line_of, minlength=docs)
     worded = np.searchsorted(begin, line_start) < np.searchsorted(begin, line_end)
-    line_of, key = line_of[worded], h(line_start[worded], line_end[worded])
-    distinct = np.unique(mix(key + line_of.astype(np.uint64) * U64(0x9E3779B97F4A7C15)), return_index=True)[1]
+    line, kinds = word_ids(data, data != 10, line_start, line_end)
+    line_of, own_line = line_of[worded], line_of[worded] * len(kinds) + line[worded]
+    distinct = np.unique(own_line, return_index=True)[1]
     out["n_dup_lines"] = np.bincount(line_of, minlength=docs) - np.bincount(line_of[distinct], minlength=docs)
 
-    word = h(begin, end)
-    out["n_distinct"] = np.bincount(of[np.unique(mix(word + own), return_index=True)[1]], minlength=docs)
-    n = max(0, len(word) - 2)
+    word, kinds = word_ids(data, ~WHITE[data], begin, end)
+    # a number for each word of each text
+    _, at, word = np.unique(of * max(1, len(kinds)) + word, return_index=True, return_inverse=True)
+    out["n_distinct"] = np.bincount(of[at], minlength=docs)
+    n, many = max(0, len(word) - 2), len(at)
     at = np.flatnonzero(of[:n] == of[2 : n + 2])
-    window = mix(word[at] * U64(0xD6E8FEB86659FD93) + word[at + 1] * U64(0xA3B195354A39B70D) + word[at + 2] * U64(0x1B03738712FAD5C9) + own[at])
-    _, where, size = np.unique(window, return_inverse=True, return_counts=True)
+    two = word[at] * many + word[at + 1]
+    if many >= 1 << 20:
+        two = np.unique(two, return_inverse=True)[1]
+    _, where, size = np.unique(two * many + word[at + 2], return_inverse=True, return_counts=True)
     again = at[size[where] > 1]
     hit = np.zeros(len(word), bool)
     for k in range(3):
