@@ -37,6 +37,22 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
+def _deltas(names: np.ndarray) -> bytes:
+    """Ascending names as steps of 6 bytes after the first, where all fit."""
+    step = np.diff(names)
+    if len(step) == 0 or step.max() >> U64(48):
+        return names.tobytes()
+    return names[:1].tobytes() + np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _names(blob: bytes, n: int) -> np.ndarray:
+    if len(blob) == 8 * n:
+        return np.frombuffer(blob, np.uint64)
+    step = np.zeros((n - 1, 8), np.uint8)
+    step[:, :6] = np.frombuffer(blob, np.uint8, offset=8).reshape(-1, 6)
+    return np.cumsum(np.concatenate([np.frombuffer(blob, np.uint64, 1), step.view(np.uint64).ravel()]), dtype=np.uint64)
+
+
 class _Chunk:
     """Pieces of texts of one kind: streams of word hashes, each after the order - 1 tokens before it."""
 
@@ -50,7 +66,7 @@ class _Chunk:
         place = np.empty(len(words), np.int64)
         place[common] = np.arange(len(words))
         sizes = [len(x) - order + 1 for x in self.pieces]
-        return {"chunk": chunk, "kind": kind, "n": sum(sizes), "ends": int(sum(x[-1] == _END for x in self.pieces)), "words": words.tobytes(), "common": _packed(common), "tokens": _packed(place[ids]), "sizes": sizes, "docs": self.docs, "rows": self.rows}
+        return {"chunk": chunk, "kind": kind, "n": sum(sizes), "ends": int(sum(x[-1] == _END for x in self.pieces)), "words": _deltas(words), "common": _packed(common), "tokens": _packed(place[ids]), "sizes": sizes, "docs": self.docs, "rows": self.rows}
 
 
 _CHUNK_SCHEMA = "chunk long, kind int, n long, ends long, words binary, common binary, tokens binary, sizes array<long>, docs array<long>, rows array<long>"
@@ -97,8 +113,8 @@ class _Grams:
     """The n-grams of a chunk: by n the distinct names, ascending, and for each place of the stream the number of the name that ends there."""
 
     def __init__(self, row: dict, order: int):
-        self.words = np.frombuffer(row["words"], np.uint64)
-        ids = _unpacked(row["common"]).astype(np.int64)[_unpacked(row["tokens"])]
+        common = _unpacked(row["common"]).astype(np.int64)
+        self.words, ids = _names(row["words"], len(common)), common[_unpacked(row["tokens"])]
         sizes = np.array(row["sizes"], np.int64)
         lead = order - 1
         heads = np.cumsum(sizes + lead) - sizes - lead
@@ -126,22 +142,6 @@ class _Grams:
         return np.bincount(self.at[n - 1][self.real], minlength=len(self.names[n - 1]))
 
 
-def _deltas(names: np.ndarray) -> bytes:
-    """Ascending names as steps of 6 bytes after the first, where all fit."""
-    step = np.diff(names)
-    if len(step) == 0 or step.max() >> U64(48):
-        return names.tobytes()
-    return names[:1].tobytes() + np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _names(blob: bytes, n: int) -> np.ndarray:
-    if len(blob) == 8 * n:
-        return np.frombuffer(blob, np.uint64)
-    step = np.zeros((n - 1, 8), np.uint8)
-    step[:, :6] = np.frombuffer(blob, np.uint8, offset=8).reshape(-1, 6)
-    return np.cumsum(np.concatenate([np.frombuffer(blob, np.uint64, 1), step.view(np.uint64).ravel()]), dtype=np.uint64)
-
-
 def _small(x: np.ndarray) -> bytes:
     """Counts in 1 or 8 bytes each; zeros alone take none."""
     if not x.any():
