@@ -3,7 +3,7 @@ import datetime
 import duckdb
 import pytest
 
-from tracewell.plans.queries import ORACLE_SQL, QUERIES
+from tracewell.plans.catalog import ORACLE_SQL, QUERIES
 
 
 @pytest.fixture(scope="module")

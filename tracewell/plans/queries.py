@@ -526,13 +526,13 @@ def streamed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gathered(df: DataFrame) -> DataFrame:
-    """What a stream gives in append mode, as a table."""
+    """What a stream gives in append mode, as a table. A batch has a folder of its own, so one that is tried again takes its own place."""
     from ..streaming.jobs import run_available
 
     base = f"{shared_folder(df.sparkSession)}/stream-{uuid.uuid4().hex}"
-    df.sparkSession.createDataFrame([], df.schema).write.parquet(f"{base}/out")
-    run_available(df, f"{base}/progress", lambda batch, n: batch.write.mode("append").parquet(f"{base}/out"), "append")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{base}/out")
+    df.sparkSession.createDataFrame([], df.schema).write.parquet(f"{base}/out/batch=-1")
+    run_available(df, f"{base}/progress", lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/out/batch={n}"), "append")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{base}/out").select(*df.columns)
 
 
 @query("str2_stream_scan_windows", """SELECT src, CAST(start AS BIGINT) AS start, CAST(count(DISTINCT concat(dst, ':', dport)) AS BIGINT) AS targets
