@@ -130,3 +130,15 @@ def test_weights_make_a_distribution(spark):
     for history in ("<start>", "a", "d", "never"):
         own = [rest.estimates([history], w, 2, len(kinds)) for w in [*kinds, "unknown"]]
         assert sum(sum(w * x for w, x in zip(table[b], p)) for b, p in own) == pytest.approx(1)
+
+
+def test_names_survive_the_way():
+    import numpy as np
+
+    from tracewell.llm.lm_score import _deltas, _names
+
+    rng = np.random.default_rng(4)
+    for n, top in ((0, 2**64 - 1), (1, 2**64 - 1), (2, 2**64 - 1), (5, 7), (1000, 2**64 - 1), (1000, 2**40)):
+        names = np.sort(rng.integers(0, top, n, np.uint64, endpoint=True))
+        assert (_names(_deltas(names), n) == names).all()
+    assert (_names(_deltas(np.zeros(3, np.uint64)), 3) == 0).all()

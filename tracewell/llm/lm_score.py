@@ -38,18 +38,19 @@ def _unpacked(blob: bytes) -> np.ndarray:
 
 
 def _deltas(names: np.ndarray) -> bytes:
-    """Ascending names as steps of 6 bytes after the first, where all fit."""
+    """Ascending names as steps of as few whole bytes as the largest takes, after the first."""
     step = np.diff(names)
-    if len(step) == 0 or step.max() >> U64(48):
+    if not len(step):
         return names.tobytes()
-    return names[:1].tobytes() + np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    size = max(1, -(-int(step.max()).bit_length() // 8))
+    return names[:1].tobytes() + np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
 
 
 def _names(blob: bytes, n: int) -> np.ndarray:
-    if len(blob) == 8 * n:
+    if n < 2:
         return np.frombuffer(blob, np.uint64)
-    step = np.zeros((n - 1, 8), np.uint8)
-    step[:, :6] = np.frombuffer(blob, np.uint8, offset=8).reshape(-1, 6)
+    size, step = (len(blob) - 8) // (n - 1), np.zeros((n - 1, 8), np.uint8)
+    step[:, :size] = np.frombuffer(blob, np.uint8, offset=8).reshape(-1, size)
     return np.cumsum(np.concatenate([np.frombuffer(blob, np.uint64, 1), step.view(np.uint64).ravel()]), dtype=np.uint64)
 
 
@@ -310,13 +311,13 @@ def lm_scores(docs: DataFrame, kind: Column | None = None, order: int = ORDER, c
     spark = docs.sparkSession
     kind = _kind(F.col("doc_id")) if kind is None else kind
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", kind.cast("int").alias("kind"))
-    chunks = save(texts.mapInArrow(_chunks(order, chunk), _CHUNK_SCHEMA), "chunks")
+    chunks = save(texts.mapInArrow(_chunks(order, chunk), _CHUNK_SCHEMA), "chunks", "zstd")
     trained = F.col("kind") != HELD_OUT
     sums = {"all": F.sum("n"), "tokens": F.sum(F.when(trained, F.col("n"))), "docs": F.sum(F.when(trained, F.col("ends"))), "fold_tokens": F.sum(F.when(F.col("kind") == FOLD, F.col("n"))), "fold_docs": F.sum(F.when(F.col("kind") == FOLD, F.col("ends")))}
     totals = {k: v or 0 for k, v in chunks.agg(*[x.alias(k) for k, x in sums.items()]).first().asDict().items()}
     parts = max(16, -(-totals["all"] // NAMES_A_TASK))
     asked = chunks.mapInArrow(_ask(order, parts), "ord int, part int, chunk long, kind int, size long, names binary, counts binary")
-    answers = save(asked.groupBy("ord", "part").applyInArrow(_count, _ANSWER_SCHEMA), "counts")
+    answers = save(asked.groupBy("ord", "part").applyInArrow(_count, _ANSWER_SCHEMA), "counts", "zstd")
     totals["kinds"] = answers.where("ord = 1").agg(F.sum("fresh")).first()[0] or 0
 
     def met(rows: Column | None, run, schema: str) -> DataFrame:
