@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import NO_HOST, ack_packets, alert_id, dns_queries, domain_parts, evidence_json, mac_normalize, not_empty, pure_syn, shannon_entropy, syn_flow_key, syn_with_ports
 from ..plans.packets import ALERT_SCHEMA
+from ..sources.tables import stored
 from .folds import FloodState, ScanState, segments, sliding_distinct, sorted_fold
+from .scans import neighbour, running_total, stabbed
 
 
 def _alerts(df: DataFrame, kind: str, severity: Column, description: Column, evidence: Column, detail: str = "") -> DataFrame:
@@ -119,38 +121,41 @@ def arp_claims(packets: DataFrame) -> DataFrame:
 
 def arp_conflicts(packets: DataFrame) -> DataFrame:
     """Each claim with the address's holder before it."""
-    return arp_claims(packets).withColumn("original_mac", F.lag("mac").over(Window.partitionBy("ip").orderBy("ts", "packet_id"))).withColumn("conflict", F.coalesce(F.col("original_mac") != F.col("mac"), F.lit(False)))
+    return neighbour(arp_claims(packets), ["ip"], F.col("mac"), "original_mac").withColumn("conflict", F.coalesce(F.col("original_mac") != F.col("mac"), F.lit(False)))
+
+
+def held_at(claims: DataFrame) -> DataFrame:
+    """claims with how many addresses their holder has then: a claim that changes hands adds one to the new holder and takes one from the old."""
+    came = F.struct(F.col("mac").alias("holder"), (F.col("original_mac").isNull() | F.col("conflict")).cast("int").alias("delta"), F.lit(True).alias("claim"))
+    went = F.when(F.col("conflict"), F.struct(F.col("original_mac").alias("holder"), F.lit(-1).alias("delta"), F.lit(False).alias("claim")))
+    steps = claims.withColumn("step", F.explode(F.array_compact(F.array(came, went)))).select(*claims.columns, "step.*")
+    return running_total(steps, ["holder"], F.col("delta"), "held", order=("ts", "packet_id", "claim")).where("claim").select(*claims.columns, "held")
 
 
 def arp_holdings(packets: DataFrame) -> DataFrame:
-    """Each claim with how many addresses its holder has then: a claim that changes hands adds one to the new holder and takes one from the old."""
-    claims = arp_conflicts(packets)
-    moves = claims.where("original_mac is null or conflict")
-    steps = claims.select("mac", "ts", "packet_id", (F.col("original_mac").isNull() | F.col("conflict")).cast("int").alias("delta"), F.lit(True).alias("claim"))
-    steps = steps.union(moves.where("conflict").select("original_mac", "ts", "packet_id", F.lit(-1), F.lit(False)))
-    held = steps.withColumn("held", F.sum("delta").over(Window.partitionBy("mac").orderBy("ts", "packet_id", "claim").rowsBetween(Window.unboundedPreceding, 0))).where("claim").select("packet_id", "held")
-    return claims.join(held, "packet_id")
+    """Each claim with the holder before it and how many addresses its holder has then."""
+    return held_at(arp_conflicts(packets))
 
 
-def claimed_ips(packets: DataFrame, events: DataFrame) -> DataFrame:
-    """packet_id and the sorted addresses that the holder of each event (packet_id, mac, ts) has at it: joins events to runs of claims that cover them."""
-    moves = arp_conflicts(packets).where("original_mac is null or conflict")
-    end = F.lead(F.struct("ts", "packet_id")).over(Window.partitionBy("ip").orderBy("ts", "packet_id"))
-    runs = moves.select("mac", "ip", F.struct("ts", "packet_id").alias("start"), end.alias("end"))
-    at = events.select("mac", F.col("packet_id").alias("event_id"), F.struct("ts", "packet_id").alias("at"))
-    rows = at.join(runs, "mac").where("start <= at and (end is null or at < end)")
-    return rows.groupBy(F.col("event_id").alias("packet_id")).agg(F.sort_array(F.collect_set("ip")).alias("claimed_ips"))
+def claimed_ips(claims: DataFrame, events: DataFrame) -> DataFrame:
+    """packet_id and the sorted addresses that the holder of each event (packet_id, mac, ts) has at it: events stab the runs of claims (arp_conflicts) that cover
+    them."""
+    moves = claims.where("original_mac is null or conflict").select("ts", "packet_id", "ip", "mac")
+    place = F.struct("ts", "packet_id")
+    runs = neighbour(moves, ["ip"], place, "end", after=True).select("mac", "ip", place.alias("start"), "end")
+    return stabbed(events.select("packet_id", "ts", "mac"), runs, ["mac"]).groupBy("packet_id").agg(F.sort_array(F.collect_set("ip")).alias("claimed_ips"))
 
 
 def detect_arp_spoof(packets: DataFrame, gateway_ip: str | None = None, max_ips: int = 3) -> DataFrame:
     """A holder of an address changes, or one that holds more than max_ips addresses claims again; a conflict is the only alert of its claim."""
-    claims = arp_holdings(packets)
+    conflicts = stored(arp_conflicts(packets), "claims")
+    claims = stored(held_at(conflicts).where(F.col("conflict") | (F.col("held") > max_ips)), "holdings")
     gateway = F.col("ip") == F.lit(gateway_ip) if gateway_ip else F.lit(False)
     a = claims.where("conflict").withColumn("src", F.col("ip"))
     text = F.concat(F.format_string("Address %s claimed by %s, held by %s before", "ip", "mac", "original_mac"), F.when(gateway, ", the GATEWAY").otherwise(""))
     first = _alerts(a, "arp_spoof", F.when(gateway, "critical").otherwise("high"), text, evidence_json(ip=F.col("ip"), original_mac=F.col("original_mac"), spoofed_mac=F.col("mac"), is_gateway=gateway, arp_op=F.col("arp_op")), "conflict")
     b = claims.where(~F.col("conflict") & (F.col("held") > max_ips))
-    b = b.join(claimed_ips(packets, b), "packet_id").withColumn("src", F.col("ip")).withColumn("dst", F.lit(None).cast("string"))
+    b = b.join(claimed_ips(conflicts, b), "packet_id").withColumn("src", F.col("ip")).withColumn("dst", F.lit(None).cast("string"))
     second = _alerts(b, "arp_spoof", F.lit("high"), F.format_string("%s claims %d addresses", "mac", "held"), evidence_json(mac=F.col("mac"), claimed_ips=F.col("claimed_ips"), threshold=F.lit(max_ips)), "many")
     return first.unionByName(second)
 

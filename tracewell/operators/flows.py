@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import canonical_flow_key, endpoint, flow_key_text, minute_bucket, protocol_bucket
+from .scans import joined
 
 
 def aggregate_flows(packets: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -58,10 +59,11 @@ def tcp_state(forward_ack: Column, reverse_synack: Column) -> Column:
 
 
 def flow_direction(packets: DataFrame) -> DataFrame:
-    """Adds `forward` to each packet: its sender is the flow's initiator."""
-    first = F.first(F.struct("src", "sport")).over(Window.partitionBy(canonical_flow_key()).orderBy("ts", "packet_id"))
+    """Adds `forward` to each packet: its sender is the flow's initiator. The first packet of a flow is a partial aggregate, so no task holds a busy flow."""
+    rows = packets.withColumn("_flow", canonical_flow_key())
+    first = rows.groupBy("_flow").agg(F.min_by(F.struct("src", "sport"), F.struct("ts", "packet_id")).alias("first"))
     same = F.col("first.src").eqNullSafe(F.col("src")) & (F.col("first.sport").isNull() | F.col("sport").isNull() | (F.col("first.sport") == F.col("sport")))
-    return packets.withColumn("first", first).withColumn("forward", same).drop("first")
+    return joined(rows, first, ["_flow"]).withColumn("forward", same).drop("_flow", "first")
 
 
 def flow_summary(flows: DataFrame) -> DataFrame:

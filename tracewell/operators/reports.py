@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import ack_packets, pure_syn, syn_flow_key, syn_with_ports
-from .folds import sliding_distinct, sorted_fold
+from .folds import sliding_distinct
+from .scans import around, moving_rate, neighbour, recent_count, running_total
 
 SEVERITIES, TYPES = ("low", "medium", "high", "critical"), ("port_scan", "syn_flood", "dns_tunnel", "arp_spoof")
 
@@ -18,8 +19,8 @@ def scan_window(packets: DataFrame, window: float = 10.0) -> DataFrame:
 
 
 def flood_window(packets: DataFrame, window: float = 5.0) -> DataFrame:
-    last = F.expr(f"count(*) over (partition by dst order by ts range between {float(window)}D preceding and current row)")
-    return packets.where(syn_with_ports()).select("packet_id", "dst", last.alias("syns"))
+    """Opened connections of the target in the last `window` seconds at each of them."""
+    return recent_count(packets.where(syn_with_ports()).select("packet_id", "ts", "dst"), ["dst"], window, "syns").select("packet_id", "dst", "syns")
 
 
 def scan_targets(packets: DataFrame) -> DataFrame:
@@ -41,35 +42,32 @@ def flood_sources(packets: DataFrame, window: float = 5.0) -> DataFrame:
     return g.withColumn("ratio", F.col("half_open") / F.col("syns"))
 
 
-def syn_volume(packets: DataFrame) -> DataFrame:
-    return packets.where(pure_syn()).select("packet_id", "src", F.count("*").over(Window.partitionBy("src").orderBy("ts", "packet_id").rowsBetween(Window.unboundedPreceding, 0)).alias("volume"))
-
+def syn_completions(packets: DataFrame, window: float = 5.0) -> DataFrame:
+    """Opened connections, each with the pair's last acknowledgement up to it that is at most `window` seconds old, and whether there is one."""
+    rows = packets.where(syn_with_ports() | ack_packets()).select("packet_id", "ts", "src", "dst", syn_flow_key().alias("pair"), ack_packets().alias("is_ack"))
+    found = around(rows, ["pair"], F.col("is_ack"), window, after=False)
+    return found.select("packet_id", "ts", "src", "dst", F.col("prior.ts").alias("acked_ts"), F.col("prior").isNotNull().alias("complete"))
 
-def interarrival(packets: DataFrame, key: str = "src") -> DataFrame:
-    return packets.where(F.col(key).isNotNull()).select("packet_id", key, (F.col("ts") - F.lag("ts").over(Window.partitionBy(key).orderBy("ts", "packet_id"))).alias("dt"))
 
+def syn_volume(packets: DataFrame) -> DataFrame:
+    """Connections that the source has opened so far, at each."""
+    return running_total(packets.where(pure_syn()).select("packet_id", "ts", "src"), ["src"], F.lit(1), "volume").select("packet_id", "src", "volume")
 
-class RateState:
-    """The moving rate of one source, and when it last opened a connection."""
 
-    def __init__(self, alpha: float):
-        self.alpha, self.rate, self.src, self.last, self.moved = alpha, 1.0, None, None, False
+def interarrival(packets: DataFrame, key: str = "src") -> DataFrame:
+    """Seconds since the key's packet before."""
+    rows = neighbour(packets.where(F.col(key).isNotNull()).select("packet_id", "ts", key), [key], F.col("ts"), "before")
+    return rows.select("packet_id", key, (F.col("ts") - F.col("before")).alias("dt"))
 
-    def step(self, row) -> list[tuple]:
-        if self.last is not None:
-            self.rate = self.alpha / max(0.001, row.ts - self.last) + (1 - self.alpha) * self.rate
-            self.moved = True
-        self.src, self.last = row.src, row.ts
-        return []
 
-    def end(self) -> list[tuple]:
-        return [(self.src, self.rate)] if self.moved else []
+def time_order(packets: DataFrame, key: str = "src") -> DataFrame:
+    """Each packet's place among its key's, from 1."""
+    return running_total(packets.select("packet_id", "ts", key), [key], F.lit(1), "place").select("packet_id", key, "place")
 
 
 def ewma_rate(packets: DataFrame, alpha: float = 0.2) -> DataFrame:
     """The moving rate of a source's opened connections after its last one; 1 at the first."""
-    syn = packets.where(pure_syn()).select("packet_id", "ts", "src")
-    return sorted_fold(syn, ["src"], ["ts", "packet_id"], lambda: RateState(alpha), "src string, rate double")
+    return moving_rate(packets.where(pure_syn()).select("packet_id", "ts", "src"), "src", alpha).select("src", "rate")
 
 
 def query_alerts(alerts: DataFrame, alert_type: str | None = None, severity: str | None = None, since: float | None = None, limit: int = 100) -> DataFrame:

@@ -301,6 +301,13 @@ def _(spark, d):
     return R.half_open_syns(packets(spark, d))
 
 
+@query("jn1_syn_completions", """SELECT packet_id, src, dst, round(acked, 6) AS acked_ts, acked IS NOT NULL AS complete
+FROM (SELECT fs.packet_id, fs.src, fs.dst, max(fk.ts) AS acked FROM fs LEFT JOIN fk ON fk.pair = fs.pair AND fk.packet_id < fs.packet_id AND fk.ts >= fs.ts - 5 GROUP BY 1, 2, 3)""")
+def _(spark, d):
+    """As of each opened connection: the pair's last acknowledgement at or after now - 5 s."""
+    return R.syn_completions(packets(spark, d)).select("packet_id", "src", "dst", F.round("acked_ts", 6).alias("acked_ts"), "complete")
+
+
 @query("agg14_flood_sources", f"SELECT dst, win, CAST(count(*) AS BIGINT) AS syns, CAST(count(*) FILTER (WHERE NOT complete) AS BIGINT) AS half_open, CAST(count(DISTINCT src) AS BIGINT) AS attackers, round(count(*) FILTER (WHERE NOT complete) * 1.0E0 / count(*), 6) AS ratio FROM ({_HALF}) GROUP BY 1, 2")
 def _(spark, d):
     return R.flood_sources(packets(spark, d)).withColumn("ratio", F.round("ratio", 6))
@@ -342,9 +349,9 @@ def _(spark, d):
 @query("jn2_arp_claimed_ips", """SELECT a.packet_id, array_to_string(list_sort(list(m.ip)), ',') AS claimed FROM (SELECT * FROM ah WHERE NOT conflict AND held > 3) a
 JOIN (SELECT mac, ip, packet_id AS b, lead(packet_id) OVER (PARTITION BY ip ORDER BY packet_id) AS z FROM al WHERE original_mac IS NULL OR original_mac <> mac) m ON m.mac = a.mac AND m.b <= a.packet_id AND (z IS NULL OR a.packet_id < z) GROUP BY 1""")
 def _(spark, d):
-    p = packets(spark, d)
-    events = D.arp_holdings(p).where("not conflict and held > 3")
-    return D.claimed_ips(p, events).select("packet_id", F.array_join("claimed_ips", ",").alias("claimed"))
+    claims = stored(D.arp_conflicts(packets(spark, d)), "claims")
+    events = stored(D.held_at(claims).where("not conflict and held > 3"), "events")
+    return D.claimed_ips(claims, events).select("packet_id", F.array_join("claimed_ips", ",").alias("claimed"))
 
 
 @query("det5_run_detectors", "SELECT alert_type, severity, CAST(count(*) AS BIGINT) AS n FROM alerts GROUP BY 1, 2")
@@ -416,7 +423,7 @@ def _(spark, d):
 
 @query("srt4_time_order", "SELECT packet_id, src, CAST(row_number() OVER (PARTITION BY src ORDER BY ts, packet_id) AS BIGINT) AS place FROM p")
 def _(spark, d):
-    return packets(spark, d).select("packet_id", "src", F.row_number().over(Window.partitionBy("src").orderBy("ts", "packet_id")).cast("long").alias("place"))
+    return R.time_order(packets(spark, d))
 
 
 _SUMMARY = """SELECT 'total' AS scope, 'all' AS name, CAST(count(*) AS BIGINT) AS n FROM alerts UNION ALL SELECT 'severity', v, CAST((SELECT count(*) FROM alerts WHERE severity = v) AS BIGINT) FROM (SELECT unnest(['low', 'medium', 'high', 'critical']) AS v)
