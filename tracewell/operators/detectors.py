@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import NO_HOST, ack_packets, alert_id, dns_queries, domain_parts, evidence_json, mac_normalize, not_empty, pure_syn, shannon_entropy, syn_flow_key, syn_with_ports
 from ..plans.packets import ALERT_SCHEMA
 from ..sources.tables import stored
 from .folds import FloodState, ScanState, segments, sliding_distinct, sorted_fold
-from .scans import neighbour, running_total, stabbed
+from .scans import around, bucket, neighbour, running_total, stabbed
 
 
 def _alerts(df: DataFrame, kind: str, severity: Column, description: Column, evidence: Column, detail: str = "") -> DataFrame:
@@ -60,10 +61,46 @@ def flood_packets(packets: DataFrame) -> DataFrame:
 FLOOD_SCHEMA = "packet_id long, ts double, src string, dst string, half_open_count long, window_syn_count long, incomplete_ratio double, unique_attackers long"
 
 
+#: Seconds by which an open connection counts as open for longer, so that no rounding of sums of times hides one.
+_SLACK = 1e-6
+
+
+def open_counts(rows: DataFrame, window: float) -> DataFrame:
+    """target, ts and open at each opened connection: no fewer than the target's connections of the last `window` seconds that have no acknowledgement of the pair
+    in that time. A connection is open from the end of what an acknowledgement before it covers until the next one or its own end, so the number is a
+    running sum."""
+    seen = around(rows, ["target", "pair"], F.col("is_ack"), window)
+    since, until = F.col("prior.ts") + window - _SLACK, F.coalesce(F.col("next.ts"), F.col("ts") + window) + _SLACK
+    at = lambda ts, late, step, mark: F.struct(ts.alias("ts"), F.lit(late).alias("late"), F.lit(step).alias("step"), F.lit(mark).alias("mark"))
+    fresh, again = F.col("prior").isNull(), F.col("prior").isNotNull() & (since < until)
+    steps = F.array(at(F.col("ts"), 0, 0, True), F.when(fresh, at(F.col("ts"), 0, 1, False)), F.when(again, at(since, 0, 1, False)), F.when(fresh | again, at(until, 1, -1, False)))
+    steps = seen.select("target", F.explode(F.array_compact(steps)).alias("e")).select("target", "e.*")
+    return running_total(steps, ["target"], F.col("step"), "open", window, ("ts", "late", F.desc("step"))).where("mark").select("target", "ts", "open")
+
+
+def flood_spells(rows: DataFrame, window: float, threshold: int, ratio: float) -> DataFrame:
+    """target, _b (buckets of `window` seconds) and segment: where an alert is possible at all, and the bucket before, which holds what the window has then.
+
+    `threshold` connections have to be opened in two neighbouring buckets, and threshold * ratio of these have to be open at one of them. What lies outside the
+    spells has no alert, so it empties no window, and each run of buckets is a fold of its own."""
+    down = Window.partitionBy("target").orderBy("_b")
+    counts = rows.where("not is_ack").groupBy("target", bucket(window).alias("_b")).agg(F.count("*").alias("n"))
+    before = F.when(F.lag("_b").over(down) == F.col("_b") - 1, F.lag("n").over(down)).otherwise(0)
+    busy = counts.withColumn("both", F.col("n") + before).where(F.col("both") >= threshold)
+    near = stored(busy.select("target", F.explode(F.sequence(F.col("_b") - 2, F.col("_b") + 1)).alias("_b")).distinct(), "busy")
+    some = rows.withColumn("_b", bucket(window)).join(near, ["target", "_b"]).drop("_b")
+    hot = open_counts(some, window).where(F.col("open") >= math.ceil(threshold * ratio - 1e-9)).select("target", bucket(window).alias("_b")).distinct()
+    spells = hot.select("target", F.explode(F.array(F.col("_b") - 1, F.col("_b"))).alias("_b")).distinct()
+    cut = F.coalesce((F.col("_b") - F.lag("_b").over(down) > 1).cast("long"), F.lit(1))
+    return stored(spells.withColumn("segment", cut).withColumn("segment", F.sum("segment").over(down)), "spells")
+
+
 def flood_events(packets: DataFrame, window: float = 5.0, threshold: int = 40, ratio: float = 0.8) -> DataFrame:
-    """Targets with `threshold` connections opened within `window` seconds, of which `ratio` or more have no acknowledgement of the pair in that time."""
+    """Targets with `threshold` connections opened within `window` seconds, of which `ratio` or more have no acknowledgement of the pair in that time. Only spells
+    in which that is possible reach the fold; their tables are small, and Spark broadcasts them by their size."""
     rows = flood_packets(packets).select("packet_id", "ts", "src", "target", "pair", "is_ack")
-    rows = segments(rows, "target", window, threshold, counted=~F.col("is_ack"))
+    spells = flood_spells(rows, window, threshold, ratio)
+    rows = rows.withColumn("_b", bucket(window)).join(spells, ["target", "_b"]).drop("_b")
     return sorted_fold(rows, ["target", "segment"], ["ts", "packet_id"], lambda: FloodState(window, threshold, ratio), FLOOD_SCHEMA)
 
 

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stored
+from .scans import bucket, joined, running_total
+
 
 def sorted_fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], schema: str, partitions: int | None = None) -> DataFrame:
     """start() gives a state with step(row) -> list of result tuples, and end() -> the same. Keys stay whole; batches of any size give the same rows."""
@@ -33,24 +36,25 @@ def sorted_fold(df: DataFrame, keys: list[str], order: list[str], start: Callabl
     return dealt.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
-def segments(df: DataFrame, key: str, silence: float | None, least: int = 1, counted: Column | None = None) -> DataFrame:
-    """df with `segment`, which rises wherever a key is silent for longer than `silence` seconds, and `before`, the key's rows ahead of its segment; segments of
-    fewer than `least` counted rows are left out. Where nothing outlives the silence, a busy key is then many folds.
+def segments(df: DataFrame, key: str | list[str], silence: float | None, least: int = 1, counted: Column | None = None, closed: bool = False) -> DataFrame:
+    """df with `segment`, which rises wherever a key is silent for longer than `silence` seconds (closed: for as long or longer), `before`, the key's rows ahead of
+    its segment, and `all`, the segment's; those of fewer than `least` counted rows are left out. Where nothing outlives the silence, a busy key is then many folds.
 
     Rows meet in time buckets as wide as the silence, where no cut can be inside; the cuts are found on one row for each bucket, which partial aggregation gives,
     so no task sorts a whole key. Without a silence each key is one segment."""
+    keys = [key] if isinstance(key, str) else key
     own = F.floor(F.col("ts") / silence).cast("long") if silence else F.lit(0).cast("long")
     df = df.withColumn("bucket", own)
     n = F.count_if(counted) if counted is not None else F.count("*")
-    buckets = df.groupBy(key, "bucket").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), n.alias("n"))
-    rising = Window.partitionBy(key).orderBy("bucket")
-    cut = F.col("first") - F.lag("last").over(rising) > (silence or 0.0)
-    buckets = buckets.withColumn("cut", F.coalesce(cut.cast("long"), F.lit(0)))
+    buckets = df.groupBy(*keys, "bucket").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), n.alias("n"))
+    rising = Window.partitionBy(*keys).orderBy("bucket")
+    gap = F.col("first") - F.lag("last").over(rising)
+    buckets = buckets.withColumn("cut", F.coalesce((gap >= silence if closed else gap > (silence or 0.0)).cast("long"), F.lit(0)))
     sums = [F.sum(c).over(rising.rowsBetween(Window.unboundedPreceding, 0)) for c in ("cut", "n")]
-    buckets = buckets.select(key, "bucket", "n", sums[0].alias("segment"), (sums[1] - F.col("n")).alias("ahead"))
-    whole = Window.partitionBy(key, "segment")
-    buckets = buckets.select(key, "bucket", "segment", F.min("ahead").over(whole).alias("before"), F.sum("n").over(whole).alias("all"))
-    return df.join(buckets.where(F.col("all") >= least).drop("all"), [key, "bucket"]).drop("bucket")
+    buckets = buckets.select(*keys, "bucket", "n", sums[0].alias("segment"), (sums[1] - F.col("n")).alias("ahead"))
+    whole = Window.partitionBy(*keys, "segment")
+    buckets = buckets.select(*keys, "bucket", "segment", F.min("ahead").over(whole).alias("before"), F.sum("n").over(whole).alias("all"))
+    return joined(df, buckets.where(F.col("all") >= least), [*keys, "bucket"]).drop("bucket")
 
 
 def sliding_distinct(df: DataFrame, keys: list[str], item: Column, window: float, name: str) -> DataFrame:
@@ -132,30 +136,39 @@ class ScanState:
 
 
 class FloodState:
-    """Opened connections to one target in a sliding window that an alert empties, and when each endpoint pair was last acknowledged."""
+    """Opened connections to one target in a sliding window that an alert empties, and when each endpoint pair was last acknowledged. How many of the opened ones
+    have no acknowledgement is kept up as rows come and go, so a row costs the same in a window of any size."""
 
     def __init__(self, window: float, threshold: int, ratio: float):
         self.window, self.threshold, self.ratio, self.queue, self.acked = window, threshold, ratio, deque(), {}
+        self.opened, self.open = {}, 0  # by pair, and those of pairs that aren't acknowledged
 
     def step(self, row) -> list[tuple]:
+        pair = row.pair
         if row.is_ack:
-            self.acked.pop(row.pair, None)
-            self.acked[row.pair] = row.ts
+            if self.acked.pop(pair, None) is None:
+                self.open -= self.opened.get(pair, 0)
+            self.acked[pair] = row.ts
             return []
-        self.queue.append((row.ts, row.pair, row.src))
+        self.queue.append((row.ts, pair, row.src))
+        self.opened[pair] = self.opened.get(pair, 0) + 1
+        self.open += pair not in self.acked
         edge = row.ts - self.window
         while self.queue[0][0] < edge:
-            self.queue.popleft()
+            old = self.queue.popleft()[1]
+            self.open -= old not in self.acked
+            self.opened[old] -= 1
+            if not self.opened[old]:
+                del self.opened[old]
         while self.acked and self.acked[first := next(iter(self.acked))] < edge:
             del self.acked[first]
+            self.open += self.opened.get(first, 0)
         n = len(self.queue)
-        if n < self.threshold:
-            return []
-        open_ = sum(p not in self.acked for _, p, _ in self.queue)
-        if open_ / n < self.ratio:
+        if n < self.threshold or self.open / n < self.ratio:
             return []
-        sources = {s for _, _, s in self.queue}
+        sources, open_ = {s for _, _, s in self.queue}, self.open
         self.queue.clear()
+        self.opened, self.open = {}, 0
         return [(row.packet_id, row.ts, next(iter(sources)) if len(sources) == 1 else None, row.target, open_, n, round(open_ / n, 2), len(sources))]
 
     def end(self) -> list[tuple]:
@@ -226,10 +239,77 @@ class CooldownState:
     def end(self) -> list[tuple]:
         return []
 
+    def rests(self) -> bool:
+        """Whether the state still says something after any silence: how many alerts the next one stands for."""
+        return self.held > 0
+
+
+_ALERT_KEYS = ["alert_type", "src", "dst"]
+_EMITTED = "id string, suppressed long, opens boolean, alert_type string, src string, dst string, segment long"
+
 
-def dedup_alerts(alerts: DataFrame, cooldown: float = 60.0) -> DataFrame:
-    """Alerts that no alert of the same type, src and dst precedes by less than the cooldown, as emitted; suppressed counts those left out since the last one."""
-    keep = sorted_fold(alerts.select("id", "ts", "packet_id", "alert_type", "src", "dst"), ["alert_type", "src", "dst"], ["ts", "packet_id", "id"], lambda: CooldownState(cooldown), "id string, suppressed long")
+class PieceState:
+    """A piece of one key between silences: the emitted alerts, and at the end a row without id for those suppressed since."""
+
+    def __init__(self, seconds: float):
+        self.cooldown, self.own = CooldownState(seconds), None
+
+    def step(self, row) -> list[tuple]:
+        opens, self.own = self.own is None, (row.alert_type, row.src, row.dst, row.segment)
+        return [(*out, opens, *self.own) for out in self.cooldown.step(row)]
+
+    def end(self) -> list[tuple]:
+        return [(None, self.cooldown.held, False, *self.own)]
+
+
+def _chains(rows: DataFrame, cooldown: float) -> DataFrame:
+    """What folds of PieceState give, by pointer doubling: an alert points at the first one that is a cooldown or more after it, and the emitted ones are those that
+    the pointers of a piece's first one lead to. Each round marks where the pointers of all marked ones lead and doubles the pointers' length."""
+    keys = [*_ALERT_KEYS, "segment"]
+    alert = F.struct("ts", "packet_id", "id")
+    wait = F.struct((F.col("ts") + cooldown).alias("t"), F.lit(0).alias("kind"))
+    # each stands in its own bucket as an answer and in the next one as a question; in the one after that any answer is far enough
+    both = rows.select(*keys, alert.alias("alert"), F.explode(F.array(F.struct(bucket(cooldown).alias("_b"), F.struct(F.col("ts").alias("t"), F.lit(1).alias("kind")).alias("at")), F.struct((bucket(cooldown) + 1).alias("_b"), wait.alias("at")))).alias("e")).select(*keys, "alert", "e.*")
+    line = Window.partitionBy(*keys, "_b").orderBy("at", "alert").rowsBetween(1, Window.unboundedFollowing)
+    both = both.withColumn("to", F.first(F.when(F.col("at.kind") == 1, F.col("alert")), True).over(line)).where("at.kind = 0")
+    first = rows.groupBy(*keys, bucket(cooldown).alias("_b")).agg(F.min(alert).alias("far"))
+    pointers = joined(both, first.select(*keys, (F.col("_b") - 1).alias("_b"), "far"), [*keys, "_b"], "left")
+    pointers = stored(pointers.select(F.col("alert.id").alias("id"), F.coalesce("to", "far")["id"].alias("to")).where("to is not null"), "pointers")
+    marked = stored(rows.groupBy(*keys).agg(F.min(alert)["id"].alias("id")).select("id"), "marked")
+    while True:
+        new = stored(pointers.join(marked, "id").select(F.col("to").alias("id")), "marked")
+        if not new.limit(1).count():
+            break
+        marked = marked.union(new)
+        pointers = stored(pointers.join(pointers.select(F.col("id").alias("to"), F.col("to").alias("then")), "to").select("id", F.col("then").alias("to")), "pointers")
+    placed = running_total(rows, keys, F.lit(1), "place", cooldown, ("ts", "packet_id", "id")).select(*keys, "id", "ts", "packet_id", "place", "all")
+    emitted = stored(placed.join(marked, "id"), "emitted")
+    before = Window.partitionBy(*keys, "_b").orderBy("place")
+    # at most one is emitted in a bucket, so the one before is that of a bucket of buckets or of the one before it
+    emitted = emitted.withColumn("_b", F.floor(F.col("ts") / (cooldown * 1000)).cast("long"))
+    last = emitted.groupBy(*keys, "_b").agg(F.max("place").alias("_m"))
+    last = last.select(*keys, "_b", F.lag("_m").over(Window.partitionBy(*keys).orderBy("_b")).alias("_m"))
+    found = joined(emitted.withColumn("_p", F.lag("place").over(before)), last, [*keys, "_b"])
+    since = F.col("place") - F.coalesce("_p", "_m", F.lit(0)) - 1
+    out = found.select("id", since.cast("long").alias("suppressed"), (F.col("place") == 1).alias("opens"), *keys)
+    rest = emitted.groupBy(*keys, "all").agg(F.max("place").alias("_m"))
+    return out.union(rest.select(F.lit(None).cast("string"), (F.col("all") - F.col("_m")).cast("long"), F.lit(False), *keys))
+
+
+def dedup_alerts(alerts: DataFrame, cooldown: float = 60.0, hot: int = 500_000) -> DataFrame:
+    """Alerts that no alert of the same type, src and dst precedes by less than the cooldown, as emitted; suppressed counts those left out since the last one.
+
+    A silence as long as the cooldown ends it, so a key's pieces between silences are folds of their own, and only the count of the suppressed goes over to the next
+    piece. Pieces of over `hot` alerts, where one key has a large part of all of them, are worked out by pointer doubling, which no task does alone."""
+    rows = stored(segments(alerts.select("id", "ts", "packet_id", *_ALERT_KEYS), _ALERT_KEYS, cooldown, closed=True), "pieces")
+    found = sorted_fold(rows.where(F.col("all") <= hot), [*_ALERT_KEYS, "segment"], ["ts", "packet_id", "id"], lambda: PieceState(cooldown), _EMITTED)
+    if rows.where(F.col("all") > hot).limit(1).count():
+        found = found.union(_chains(rows.where(F.col("all") > hot), cooldown))
+    found = stored(found, "emitted")
+    carry = F.lag("suppressed").over(Window.partitionBy(*_ALERT_KEYS).orderBy("segment"))  # a row for each piece
+    carried = found.where("id is null").select(*_ALERT_KEYS, "segment", carry.alias("carried")).where("carried > 0")
+    keep = joined(found.where("id is not null"), carried, [*_ALERT_KEYS, "segment"], "left")
+    keep = keep.select("id", (F.col("suppressed") + F.when(F.col("opens"), F.coalesce("carried", F.lit(0))).otherwise(0)).alias("suppressed"))
     return alerts.join(keep, "id")
 
 

@@ -101,8 +101,11 @@ class Sorted(StatefulProcessor):
         last = max((r[0] for r in due), default=getattr(fold, "last_row", None))
         end = None if last is None else int((last + self.idle) * 1000) + 1
         if left is None and (end is None or end <= now):
-            out += fold.end()
-            self.fold.clear()
+            if getattr(fold, "rests", lambda: False)():
+                self.fold.update((pickle.dumps(fold),))
+            else:
+                out += fold.end()
+                self.fold.clear()
         else:
             fold.last_row = last
             self.fold.update((pickle.dumps(fold),))
