@@ -148,7 +148,7 @@ def evidence(alerts):
     out = []
     for r in alerts.collect():
         e = json.loads(r.evidence_json)
-        out.append((r.packet_id, e["scan_type"], e["unique_targets"], e.get("elapsed"), e.get("ewma_rate")))
+        out.append((r.packet_id, e["scan_type"], e["unique_targets"], e.get("elapsed_seconds"), e.get("ewma_rate")))
     return sorted(out)
 
 

@@ -47,7 +47,10 @@ def scan_alerts(e: DataFrame, seconds: float = 10.0) -> DataFrame:
         .when(F.col("scan_type") == "low_and_slow", F.format_string("Slow port scan by %s: %d endpoints in %s s", "src", "unique_targets", F.col("elapsed").cast("string")))
         .otherwise(F.format_string("Port scan by %s: %d endpoints on %d hosts within " + window + " s", "src", "unique_targets", "unique_hosts"))
     )
-    evidence = evidence_json(**{c: F.col(c) for c in ("scan_type", "unique_targets", "unique_ports", "unique_hosts", "elapsed", "ewma_rate", "cms_estimated_volume")})
+    columns = lambda *names: {c: F.col(c) for c in names}
+    slow = evidence_json(**columns("scan_type", "unique_targets"), elapsed_seconds=F.col("elapsed"), **columns("ewma_rate", "cms_estimated_volume"))
+    fast = evidence_json(**columns("scan_type", "unique_targets", "unique_ports", "unique_hosts"), window_seconds=F.lit(seconds), **columns("cms_estimated_volume"))
+    evidence = F.when(F.col("scan_type") == "low_and_slow", slow).otherwise(fast)
     return _alerts(e, "port_scan", F.lit("medium"), text, evidence)
 
 
@@ -105,13 +108,13 @@ def flood_events(packets: DataFrame, window: float = 5.0, threshold: int = 40, r
 
 
 def detect_syn_flood(packets: DataFrame, **options) -> DataFrame:
-    return flood_alerts(flood_events(packets, **options))
+    return flood_alerts(flood_events(packets, **options), options.get("window", 5.0))
 
 
-def flood_alerts(e: DataFrame) -> DataFrame:
+def flood_alerts(e: DataFrame, seconds: float = 5.0) -> DataFrame:
     e = e.withColumn("syn_count", F.col("half_open_count"))
     text = F.format_string("SYN flood on %s: %d half-open connections from %d source(s)", "dst", "half_open_count", "unique_attackers")
-    evidence = evidence_json(**{c: F.col(c) for c in ("syn_count", "half_open_count", "window_syn_count", "incomplete_ratio", "unique_attackers")}, target_ip=F.col("dst"))
+    evidence = evidence_json(**{c: F.col(c) for c in ("syn_count", "half_open_count", "window_syn_count", "incomplete_ratio", "unique_attackers")}, target_ip=F.col("dst"), window_seconds=F.lit(seconds))
     return _alerts(e, "syn_flood", F.lit("critical"), text, evidence)
 
 

@@ -211,14 +211,17 @@ class ClaimState:
 
 
 class HoldState:
-    """One holder: the addresses that it holds at each of its claims."""
+    """One holder: how many addresses it holds at each of its claims, and which where that makes an alert."""
 
-    def __init__(self):
-        self.ips = set()
+    def __init__(self, max_ips: int = 3):
+        self.max_ips, self.ips = max_ips, set()
 
     def step(self, row) -> list[tuple]:
         (self.ips.add if row.claim else self.ips.discard)(row.ip)
-        return [(row.packet_id, row.ts, row.ip, row.mac, row.conflict, len(self.ips), ",".join(sorted(self.ips)))] if row.claim else []
+        if not row.claim:
+            return []
+        told = not row.conflict and len(self.ips) > self.max_ips
+        return [(row.packet_id, row.ts, row.ip, row.mac, row.conflict, len(self.ips), ",".join(sorted(self.ips)) if told else None)]
 
     def end(self) -> list[tuple]:
         return []
@@ -239,6 +242,11 @@ class CooldownState:
     def end(self) -> list[tuple]:
         return []
 
+    def restore(self, row) -> float:
+        """Takes up what cooldown_state says of a key; when its last alert was."""
+        self.last, self.held = float(row.last), int(row.held)
+        return self.last
+
     def rests(self) -> bool:
         """Whether the state still says something after any silence: how many alerts the next one stands for."""
         return self.held > 0
@@ -313,6 +321,14 @@ def dedup_alerts(alerts: DataFrame, cooldown: float = 60.0, hot: int = 500_000)
     return alerts.join(keep, "id")
 
 
+def cooldown_state(alerts: DataFrame, cooldown: float = 60.0) -> DataFrame:
+    """By key, when its last emitted alert was and how many were suppressed since: where dedup_alerts over these alerts ends."""
+    place = F.struct("ts", "packet_id", "id")
+    ends = dedup_alerts(alerts, cooldown).groupBy(*_ALERT_KEYS).agg(F.max(place).alias("end"))
+    rows = joined(alerts, ends, _ALERT_KEYS)
+    return rows.groupBy(*_ALERT_KEYS).agg(F.max("end.ts").alias("last"), F.count_if(place > F.col("end")).alias("held"))
+
+
 class SessionState:
     """Pieces of one flow key, each with what its packets say; joined while the pause is short enough for the state so far."""
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import ack_packets, pure_syn, syn_flow_key, syn_with_ports
+from ..functions.expressions import ack_packets, minute_bucket, parse_evidence, pure_syn, syn_flow_key, syn_with_ports
+from ..sources.tables import stored
 from .folds import sliding_distinct
 from .scans import around, moving_rate, neighbour, recent_count, running_total
 
@@ -71,10 +74,11 @@ def ewma_rate(packets: DataFrame, alpha: float = 0.2) -> DataFrame:
 
 
 def query_alerts(alerts: DataFrame, alert_type: str | None = None, severity: str | None = None, since: float | None = None, limit: int = 100) -> DataFrame:
+    """The latest alerts, with `evidence`, a variant of what evidence_json says; an empty object where that is null or no JSON."""
     for c, v in (("alert_type", alert_type), ("severity", severity)):
         alerts = alerts.where(F.col(c) == v) if v else alerts
     alerts = alerts.where(F.col("ts") >= since) if since is not None else alerts
-    return alerts.orderBy(F.desc("ts"), "id").limit(max(1, min(limit, 1000)))
+    return alerts.orderBy(F.desc("ts"), "id").limit(max(1, min(limit, 1000))).withColumn("evidence", parse_evidence(F.col("evidence_json")))
 
 
 def alerts_summary(alerts: DataFrame) -> DataFrame:
@@ -139,25 +143,58 @@ def cms_merge(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def cms_conservative(keys: DataFrame, key: str, width: int = 2048, depth: int = 4, shards: int = 16) -> DataFrame:
     """shard, row, col and cnt with conservative update: a key's cells rise only as far as its own least cell needs. Depends on order, so each shard of keys has a
-    sketch of its own, fed by the keys' counts in order of key; a key's estimate comes from its own shard and is never under the truth."""
+    sketch of its own, fed by the keys' counts in order of key; a key's estimate comes from its own shard and is never under the truth. More shards, more tasks."""
     import numpy as np
     import pandas as pd
 
     counts = keys.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.count("*").alias("n"))
     cells = F.array(*[cms_cell(F.col("k"), F.lit(r), width) for r in range(depth)])
 
-    def fold(key, batches):
-        table = np.zeros((depth, width), np.int64)
-        rows = np.arange(depth)
+    def told(shard: int, table) -> pd.DataFrame:
+        r, c = np.nonzero(table)
+        return pd.DataFrame({"shard": np.full(len(r), shard), "row": r.astype(np.int32), "col": c, "cnt": table[r, c]})
+
+    def fold(batches):
+        shard, table, rows = None, None, np.arange(depth)
         for pdf in batches:
-            for at, n in zip(pdf["cells"], pdf["n"], strict=True):
+            for own, at, n in zip(pdf["shard"], pdf["cells"], pdf["n"], strict=True):
+                if own != shard:
+                    if shard is not None:
+                        yield told(shard, table)
+                    shard, table = own, np.zeros((depth, width), np.int64)
                 at = np.asarray(at)
                 table[rows, at] = np.maximum(table[rows, at], table[rows, at].min() + n)
-        r, c = np.nonzero(table)
-        yield pd.DataFrame({"shard": key[0], "row": r.astype(np.int32), "col": c, "cnt": table[r, c]})
+        if shard is not None:
+            yield told(shard, table)
+
+    own = F.conv(F.substring(F.md5("k"), 1, 4), 16, 10).cast("long") % shards
+    dealt = counts.select("k", "n", cells.alias("cells"), own.alias("shard"))
+    return dealt.repartition("shard").sortWithinPartitions("shard", "k").mapInPandas(fold, "shard long, row int, col long, cnt long")
+
+
+#: Relative standard error of a HyperLogLog sketch of 2**12 registers, as its public documentation has it, and how many of these a prefilter leaves.
+SKETCH_BITS, SKETCH_ERROR, SIGMAS = 12, 0.0163, 6
+
+
+def _target() -> Column:
+    return F.concat_ws(":", "dst", F.col("dport").cast("string"))
+
+
+def target_sketches(packets: DataFrame) -> DataFrame:
+    """src, minute_ts and a HyperLogLog sketch of the targets that the source opened connections to: a few KB at most for a source and minute, so they can be stored
+    and merged over any minutes later."""
+    return packets.where(pure_syn()).groupBy("src", minute_bucket(F.col("ts")).alias("minute_ts")).agg(F.hll_sketch_agg(_target(), SKETCH_BITS).alias("sketch"))
+
+
+def estimated_targets(sketches: DataFrame, since: float, until: float) -> DataFrame:
+    """src and about how many targets it had in the minutes from since up to until."""
+    rows = sketches.where((F.col("minute_ts") >= since) & (F.col("minute_ts") < until))
+    return rows.groupBy("src").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
 
-    from collections.abc import Iterator
 
-    fold.__annotations__ = {"key": tuple, "batches": Iterator[pd.DataFrame], "return": Iterator[pd.DataFrame]}
-    dealt = counts.select("k", "n", cells.alias("cells"), F.pmod(F.xxhash64("k"), F.lit(shards)).alias("shard"))
-    return dealt.groupBy("shard").applyInPandas(fold, "shard long, row int, col long, cnt long")
+def wide_sources(packets: DataFrame, sketches: DataFrame, since: float, until: float, least: int) -> DataFrame:
+    """src and targets of sources with at least `least` distinct targets in the minutes from since up to until. Sketches name the sources that may have them, give
+    or take SIGMAS standard errors; only the packets of these are counted exactly."""
+    few = estimated_targets(sketches, since, until).where(F.col("estimate") >= math.floor(least * (1 - SIGMAS * SKETCH_ERROR))).select("src")
+    rows = packets.where(pure_syn() & (F.col("ts") >= since) & (F.col("ts") < until)).join(stored(few, "wide"), "src")
+    return rows.groupBy("src").agg(F.count_distinct("dst", "dport").alias("targets")).where(F.col("targets") >= least)

@@ -435,10 +435,13 @@ def _(spark, d):
     return R.alerts_summary(alerts(spark, d))
 
 
-@query("agg6_dashboard_summary", f"SELECT (SELECT CAST(count(*) AS BIGINT) FROM alerts) AS total_alerts, (SELECT CAST(coalesce(sum(bytes_sent), 0) AS BIGINT) FROM ({_TALKERS} LIMIT 5)) AS top_bytes, (SELECT CAST(count(*) AS BIGINT) FROM ({_TALKERS} LIMIT 5)) AS top_talkers, (SELECT CAST(count(DISTINCT proto) AS BIGINT) FROM p) AS protocols")
+@query("agg6_dashboard_summary", f"SELECT (SELECT CAST(count(*) AS BIGINT) FROM alerts) AS total_alerts, (SELECT CAST(coalesce(sum(bytes_sent), 0) AS BIGINT) FROM ({_TALKERS} LIMIT 5)) AS top_bytes, (SELECT CAST(count(*) AS BIGINT) FROM ({_TALKERS} LIMIT 5)) AS top_talkers, (SELECT CAST(count(DISTINCT proto) AS BIGINT) FROM p) AS protocols, "
+       "(SELECT string_agg(v || '=' || (SELECT count(*) FROM alerts WHERE severity = v), ',' ORDER BY v) FROM (SELECT unnest(['low', 'medium', 'high', 'critical']) AS v)) AS severities, "
+       "(SELECT string_agg(alert_type || '=' || n, ',' ORDER BY alert_type) FROM (SELECT alert_type, count(*) AS n FROM alerts GROUP BY 1)) AS threats")
 def _(spark, d):
     p = stored(packets(spark, d), "packets")
-    return R.dashboard_summary(alerts(spark, d, p), stored(L.aggregate_flows(p), "flows")).select("total_alerts", "top_bytes", "top_talkers", "protocols")
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias(c)
+    return R.dashboard_summary(alerts(spark, d, p), stored(L.aggregate_flows(p), "flows")).select("total_alerts", "top_bytes", "top_talkers", "protocols", text("severities"), text("threats"))
 
 
 @query("jn4_alerts_with_truth", "SELECT alert_type, label, CAST(count(*) AS BIGINT) AS n FROM alerts JOIN p USING (packet_id) GROUP BY 1, 2")
@@ -453,12 +456,16 @@ def _(spark, d):
     return p.where("label <> 'benign'").join(alerts(spark, d, p).select("packet_id").distinct(), "packet_id", "left_anti").select("packet_id", "label")
 
 
-@query("agg9_detection_metrics", """SELECT t AS alert_type, tp, fp, fn, round(CASE WHEN tp + fp > 0 THEN tp * 1.0E0 / (tp + fp) WHEN fn = 0 THEN 1 ELSE 0 END, 4) AS precision, CASE WHEN tp > 0 THEN 1.0E0 ELSE 0.0E0 END AS recall FROM (
-SELECT t, CAST((SELECT count(*) FROM alerts JOIN p USING (packet_id) WHERE alert_type = t AND label = t) AS BIGINT) AS tp, CAST((SELECT count(*) FROM alerts JOIN p USING (packet_id) WHERE alert_type = t AND label <> t) AS BIGINT) AS fp,
-CAST((SELECT count(*) FROM p WHERE label = t AND packet_id NOT IN (SELECT packet_id FROM alerts)) AS BIGINT) AS fn FROM (SELECT unnest(['port_scan', 'syn_flood', 'dns_tunnel', 'arp_spoof']) AS t))""")
+@query("agg9_detection_metrics", """SELECT alert_type, tp, fp, fn, round(precise, 4) AS precision, recall,
+round(CASE WHEN precise + recall > 0 THEN 2 * precise * recall / (precise + recall) ELSE 0 END, 4) AS f1, round(CASE WHEN tp + fn > 0 THEN tp * 1.0E0 / (tp + fn) ELSE 0 END, 4) AS packet_recall
+FROM (SELECT t AS alert_type, tp, fp, fn, CASE WHEN tp + fp > 0 THEN tp * 1.0E0 / (tp + fp) WHEN fn = 0 THEN 1.0E0 ELSE 0.0E0 END AS precise, CASE WHEN tp > 0 THEN 1.0E0 ELSE 0.0E0 END AS recall FROM (
+SELECT t, CAST((SELECT count(*) FROM alerts JOIN p USING (packet_id) WHERE alert_type = t AND label = t) AS BIGINT) AS tp,
+CAST((SELECT count(*) FROM alerts JOIN p USING (packet_id) WHERE alert_type = t AND label <> t) AS BIGINT) AS fp,
+CAST((SELECT count(*) FROM p WHERE label = t AND packet_id NOT IN (SELECT packet_id FROM alerts)) AS BIGINT) AS fn
+FROM (SELECT unnest(['port_scan', 'syn_flood', 'dns_tunnel', 'arp_spoof']) AS t)))""")
 def _(spark, d):
     p = stored(packets(spark, d), "packets")
-    return R.detection_metrics(p, alerts(spark, d, p)).select("alert_type", "tp", "fp", "fn", "precision", "recall")
+    return R.detection_metrics(p, alerts(spark, d, p)).select("alert_type", "tp", "fp", "fn", "precision", "recall", "f1", "packet_recall")
 
 
 @query("agg10_cms_build", "SELECT CAST(row AS INT) AS row, col, cnt FROM cs")
@@ -477,7 +484,13 @@ def _(spark, d):
     return R.cms_decay(R.cms_build(packets(spark, d), "src"))
 
 
-@query("agg11_cms_conservative")
+@query("agg11_cms_conservative", """, keyed AS (SELECT src, count(*) AS n, CAST('0x' || substr(md5(src), 1, 4) AS BIGINT) % 16 AS shard FROM p WHERE src IS NOT NULL GROUP BY src),
+fed AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY src) AS rn, list_transform([0, 1, 2, 3], lambda r: r * 2048 + CAST('0x' || substr(md5(concat('seed_', r, '|', src)), 1, 8) AS BIGINT) % 2048) AS cells FROM keyed),
+cu AS (SELECT shard, CAST(0 AS BIGINT) AS rn, list_transform(range(8192), lambda i: CAST(0 AS BIGINT)) AS t FROM fed GROUP BY shard
+  UNION ALL SELECT f.shard, f.rn, list_transform(cu.t, lambda v, i: CASE WHEN list_contains(f.cells, i - 1) THEN greatest(v, list_min(list_transform(f.cells, lambda c: cu.t[c + 1])) + f.n) ELSE v END) FROM cu JOIN fed f ON f.shard = cu.shard AND f.rn = cu.rn + 1),
+done AS (SELECT shard, arg_max(t, rn) AS t FROM cu GROUP BY shard),
+each AS (SELECT shard, unnest(range(8192)) AS i, unnest(t) AS cnt FROM done)
+SELECT shard, CAST(i // 2048 AS INT) AS row, i % 2048 AS col, cnt FROM each WHERE cnt > 0""")
 def _(spark, d):
     return R.cms_conservative(packets(spark, d), "src")
 

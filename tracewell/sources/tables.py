@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -53,10 +54,14 @@ class Table:
 
     def read(self) -> DataFrame | None:
         rows = self._rows()
-        return None if rows is None else rows.drop("part")
+        return None if rows is None else rows.drop("part", "version") if self.order == "version" else rows.drop("part")
 
-    def upsert(self, new: DataFrame) -> DataFrame | None:
-        """Rows of new take the place of those of equal keys that are no later. A write that is repeated changes nothing."""
+    def upsert(self, new: DataFrame, version: int | None = None) -> DataFrame | None:
+        """Rows of new take the place of those of equal keys that are no later. A write that is repeated changes nothing.
+
+        Where the order is `version`, the last write replaces: version is any number that rises from write to write, by default the microseconds since 1970."""
+        if self.order == "version":
+            new = new.withColumn("version", F.lit(time.time_ns() // 1000 if version is None else version).cast("long"))
         new = stored(new.withColumn("part", self.part), "upsert")
         touched = [r[0] for r in new.select("part").distinct().collect()]  # days or hash buckets
         old = self._rows()
@@ -81,7 +86,7 @@ def flows_table(spark: SparkSession, path: str, buckets: int = 64) -> Table:
 
 
 def minutes_table(spark: SparkSession, path: str) -> Table:
-    return Table(spark, path, ["minute_ts"], "total_packets", day("minute_ts"))
+    return Table(spark, path, ["minute_ts"], "version", day("minute_ts"))
 
 
 def write_alerts(alerts: DataFrame, path: str) -> DataFrame | None:
@@ -92,8 +97,8 @@ def write_flow_summary(flows: DataFrame, path: str) -> DataFrame | None:
     return flows_table(flows.sparkSession, path).upsert(flows)
 
 
-def write_minute_stats(minutes: DataFrame, path: str) -> DataFrame | None:
-    """Counters that are missing or null count as 0."""
+def write_minute_stats(minutes: DataFrame, path: str, version: int | None = None) -> DataFrame | None:
+    """Counters that are missing or null count as 0; a minute that is written again is replaced."""
     names = [f"{p}_count" for p in ("tcp", "udp", "arp", "other", "alerts")]
     full = minutes.select("*", *[F.lit(0).cast("long").alias(c) for c in names if c not in minutes.columns]).na.fill(0, names)
-    return minutes_table(minutes.sparkSession, path).upsert(full)
+    return minutes_table(minutes.sparkSession, path).upsert(full, version)

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from ..functions.expressions import canonical_flow_key, flow_key_text, protocol_bucket, pure_syn
 from ..operators.detectors import FLOOD_SCHEMA, NAME_COLUMNS, arp_claims, flood_packets, name_queries, scored_names
 from ..operators.folds import BurstState, ClaimState, CooldownState, FloodState, FlowState, HoldState, ScanState
+from ..operators.reports import SKETCH_BITS
 from ..sources.tables import Table
 
 
@@ -49,6 +50,15 @@ class Sorted(StatefulProcessor):
         self.fold = handle.getValueState("fold", "state binary")
         self.timer = handle.getValueState("timer", "at long")
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        """A key's state as a batch left it: make()'s state takes the row with restore(row)."""
+        import pickle
+
+        fold = self.make()
+        for row in initialState.itertuples(index=False):
+            fold.last_row = fold.restore(row)
+        self.fold.update((pickle.dumps(fold),))
+
     def _wake(self, at: int | None) -> None:
         """The key's one timer; None for none."""
         old = self.timer.get()[0] if self.timer.exists() else None
@@ -99,9 +109,9 @@ class Sorted(StatefulProcessor):
         for r in sorted(due, key=lambda r: r[:2]):
             out += fold.step(SimpleNamespace(**dict(zip(self.columns, r, strict=True))))
         last = max((r[0] for r in due), default=getattr(fold, "last_row", None))
-        end = None if last is None else int((last + self.idle) * 1000) + 1
+        end = None if last is None or self.idle is None else int((last + self.idle) * 1000) + 1
         if left is None and (end is None or end <= now):
-            if getattr(fold, "rests", lambda: False)():
+            if self.idle is None or getattr(fold, "rests", lambda: False)():
                 self.fold.update((pickle.dumps(fold),))
             else:
                 out += fold.end()
@@ -109,17 +119,19 @@ class Sorted(StatefulProcessor):
         else:
             fold.last_row = last
             self.fold.update((pickle.dumps(fold),))
-            self._wake(max(now + 1, end if left is None else left))
+            if left is not None or end is not None:
+                self._wake(max(now + 1, end if left is None else left))
         yield pd.DataFrame(out, columns=self.out)
 
     def close(self) -> None:
         pass
 
 
-def stream_fold(stream: DataFrame, keys: list[str], make: Callable[[], object], columns: list[str], schema: str, idle: float) -> DataFrame:
-    """columns start with ts and packet_id. Needs the RocksDB state store."""
+def stream_fold(stream: DataFrame, keys: list[str], make: Callable[[], object], columns: list[str], schema: str, idle: float | None, initial: DataFrame | None = None) -> DataFrame:
+    """columns start with ts and packet_id; initial: rows of keys and what their state takes. Needs the RocksDB state store."""
     out = [c.split()[0] for c in schema.split(", ")]
-    return stream.groupBy(*keys).transformWithStateInPandas(Sorted(make, columns, out, idle), schema, "Append", "EventTime")
+    start = initial.groupBy(*keys) if initial is not None else None
+    return stream.groupBy(*keys).transformWithStateInPandas(Sorted(make, columns, out, idle), schema, "Append", "EventTime", start)
 
 
 FLOW_SCHEMA = (
@@ -128,8 +140,6 @@ FLOW_SCHEMA = (
 )
 CLAIM_SCHEMA = "packet_id long, ts double, dst string, arp_op int, ip string, mac string, original_mac string, conflict boolean"
 HOLD_SCHEMA = "packet_id long, ts double, ip string, mac string, conflict boolean, held long, claimed_ips string"
-#: Seconds after which an address or holder that is silent is forgotten by a stream.
-FORGET = 86_400.0
 
 
 def stream_flows(stream: DataFrame, established: float = 300.0, other: float = 60.0) -> DataFrame:
@@ -163,25 +173,34 @@ def stream_dns_scores(stream: DataFrame, window: float = 15.0, **options) -> Dat
     return scored_names(found, **options)
 
 
-def stream_arp_claims(stream: DataFrame) -> DataFrame:
-    """Each claim of an address with its holder before: what arp_conflicts gives."""
+def stream_arp_claims(stream: DataFrame, forget: float | None = None) -> DataFrame:
+    """Each claim of an address with its holder before: what arp_conflicts gives. forget: seconds of silence after which an address leaves the state; its next
+    claim then has no holder before it, so a change of hands over so long a silence may be missed. None keeps each address, one short row of state."""
     columns = ["ts", "packet_id", "dst", "arp_op", "ip", "mac"]
-    return stream_fold(arp_claims(stream), ["ip"], ClaimState, columns, CLAIM_SCHEMA, FORGET)
+    return stream_fold(arp_claims(stream), ["ip"], ClaimState, columns, CLAIM_SCHEMA, forget)
 
 
-def stream_arp_holdings(claims: DataFrame) -> DataFrame:
-    """Each claim with the addresses that its holder has then: what arp_holdings gives. claims: a stream over a table that stream_arp_claims is written to,
-    with event_time and a watermark, since an address and a holder are keys of different queries."""
+def stream_arp_holdings(claims: DataFrame, max_ips: int = 3, forget: float | None = None) -> DataFrame:
+    """Each claim with how many addresses its holder has then: what arp_holdings gives; claimed_ips names them where there is an alert, else it is null. claims: a
+    stream over a table that stream_arp_claims is written to, with event_time and a watermark, since an address and a holder are keys of different queries. forget:
+    seconds of silence after which a holder's addresses leave the state; None keeps them."""
     came = F.struct(F.col("mac").alias("mac"), F.lit(True).alias("claim"))
     went = F.when(F.col("conflict"), F.struct(F.col("original_mac").alias("mac"), F.lit(False).alias("claim")))
     rows = claims.withColumnRenamed("mac", "to").withColumn("mac", F.col("to"))
     rows = rows.withColumn("step", F.explode(F.array_compact(F.array(came, went)))).withColumn("mac", F.col("step.mac")).withColumn("claim", F.col("step.claim"))
     columns = ["ts", "packet_id", "ip", "mac", "claim", "conflict"]
-    return stream_fold(rows, ["mac"], HoldState, columns, HOLD_SCHEMA, FORGET)
+    return stream_fold(rows, ["mac"], lambda: HoldState(max_ips), columns, HOLD_SCHEMA, forget)
+
+
+def stream_dedup(alerts: DataFrame, cooldown: float = 60.0, initial: DataFrame | None = None) -> DataFrame:
+    """What dedup_alerts gives. initial: what cooldown_state gives of the alerts before the stream's, so that it goes on where a batch ended."""
+    return stream_fold(alerts, ["alert_type", "src", "dst"], lambda: CooldownState(cooldown), ["ts", "packet_id", "id"], "id string, suppressed long", cooldown, initial)
 
 
-def stream_dedup(alerts: DataFrame, cooldown: float = 60.0) -> DataFrame:
-    return stream_fold(alerts, ["alert_type", "src", "dst"], lambda: CooldownState(cooldown), ["ts", "packet_id", "id"], "id string, suppressed long", cooldown)
+def stream_target_sketches(stream: DataFrame) -> DataFrame:
+    """What target_sketches gives, a minute when the watermark has passed it: state is a sketch instead of a set of targets."""
+    g = stream.where(pure_syn()).groupBy("src", F.window("event_time", "1 minute").alias("w")).agg(F.hll_sketch_agg(F.concat_ws(":", "dst", F.col("dport").cast("string")), SKETCH_BITS).alias("sketch"))
+    return g.select("src", (F.unix_micros("w.start") / 1_000_000).cast("double").alias("minute_ts"), "sketch")
 
 
 def late_rows(query: StreamingQuery) -> int:
@@ -198,4 +217,4 @@ def run_available(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int
 
 
 def upsert_sink(table: Table) -> Callable[[DataFrame, int], None]:
-    return lambda batch, number: table.upsert(batch) and None
+    return lambda batch, number: table.upsert(batch, number) and None
