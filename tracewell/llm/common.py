@@ -193,7 +193,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by alternating large and small stars: (node, root) for each node of edges, root its smallest.
 
     Nulls and loops link nothing. Each half step is a minimum by node, which partial aggregation combines before the shuffle, and a join that adaptive
-    execution can split where one node has many neighbours. Written after each round, so a lost executor repeats no earlier round."""
+    execution can split where one node has many neighbours. Written after each round, in files of about a million links, so a lost executor repeats no earlier
+    round and small rounds are few files."""
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v and u > v").distinct()
     pairs = save(pairs, "links")
     seen = None
@@ -204,7 +205,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        pairs = save(small, "links")
+        pairs = save(small if seen is None else small.coalesce(max(16, seen[0] // 1_000_000)), "links")
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == seen:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
