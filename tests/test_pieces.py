@@ -79,9 +79,9 @@ def test_sketches(spark):
     assert {(r.row, r.col): r.cnt for r in cms_decay(sketch, 0.5).collect()} == {(r.row, r.col): r.cnt // 2 for r in sketch.collect()}
     careful = cms_conservative(df, "src", 64, 4, shards=4).collect()
     cells = {(r.shard, r.row, r.col): r.cnt for r in careful}
-    from tracewell.operators.reports import cms_cell
+    from tracewell.operators.reports import cms_cell, cms_shard
 
-    places = df.where("src is not null").select("src", F.pmod(F.xxhash64("src"), F.lit(4)).alias("shard"), F.array(*[cms_cell(F.col("src"), F.lit(k), 64) for k in range(4)]).alias("at")).distinct().collect()
+    places = df.where("src is not null").select("src", cms_shard(F.col("src"), 4).alias("shard"), F.array(*[cms_cell(F.col("src"), F.lit(k), 64) for k in range(4)]).alias("at")).distinct().collect()
     for r in places:
         low = min(cells[(r.shard, k, c)] for k, c in enumerate(r.at))
         assert true[r.src] <= low <= plain[r.src]

@@ -141,6 +141,11 @@ def cms_merge(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).groupBy("row", "col").agg(F.sum("cnt").alias("cnt"))
 
 
+def cms_shard(key: Column, shards: int) -> Column:
+    """The shard of cms_conservative that a key's estimate comes from."""
+    return F.conv(F.substring(F.md5(key), 1, 4), 16, 10).cast("long") % shards
+
+
 def cms_conservative(keys: DataFrame, key: str, width: int = 2048, depth: int = 4, shards: int = 16) -> DataFrame:
     """shard, row, col and cnt with conservative update: a key's cells rise only as far as its own least cell needs. Depends on order, so each shard of keys has a
     sketch of its own, fed by the keys' counts in order of key; a key's estimate comes from its own shard and is never under the truth. More shards, more tasks."""
@@ -167,8 +172,7 @@ def cms_conservative(keys: DataFrame, key: str, width: int = 2048, depth: int =
         if shard is not None:
             yield told(shard, table)
 
-    own = F.conv(F.substring(F.md5("k"), 1, 4), 16, 10).cast("long") % shards
-    dealt = counts.select("k", "n", cells.alias("cells"), own.alias("shard"))
+    dealt = counts.select("k", "n", cells.alias("cells"), cms_shard(F.col("k"), shards).alias("shard"))
     return dealt.repartition("shard").sortWithinPartitions("shard", "k").mapInPandas(fold, "shard long, row int, col long, cnt long")
 
 
