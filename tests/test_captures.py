@@ -75,6 +75,8 @@ def test_pushed_bounds_cut_off_files_and_damage(spark):
     put(b"", "empty.pcap", folder)
     assert read_pcap(spark, folder).count() == 3 and read_pcap(spark, f"{folder}/b*").count() == 3
     assert read_pcap(spark, tempfile.mkdtemp()).count() == 0
+    assert list(C.capture_files(f"file://{folder}")) == [f"file://{folder}/b.pcap", f"file://{folder}/empty.pcap"] and list(C.capture_files(f"{folder}/b*")) == [f"{folder}/b.pcap"]
+    assert list(C.capture_files(f"file:{folder}/b.pcap")) == [f"{folder}/b.pcap"] and C.capture_files(f"{folder}/none") == {}
     for bad in (b"no capture at all, but long enough", classic([])[:24] + struct.pack("<4I", 1, 1, 1 << 30, 1 << 30)):
         with pytest.raises(Exception, match="capture file|damaged"):
             read_pcap(spark, put(bad)).count()

@@ -14,6 +14,7 @@ import struct
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -47,14 +48,15 @@ def capture_files(paths: str) -> dict[str, int]:
     head, _, name = paths.rstrip("/").rpartition("/")
     pattern = name if any(c in name for c in "*?[") else None
     fs, at = _open(head if pattern else paths)
-    prefix = paths[: paths.index(":") + 1] + "//" if "://" in paths else ""
+    parts = urlsplit(paths)
+    prefix = f"{parts.scheme}://{parts.netloc if at.startswith('/') else ''}" if "://" in paths else ""
     info = fs.get_file_info(at)
     found = [info] if info.type == FileType.File else fs.get_file_info(FileSelector(at, recursive=pattern is None, allow_not_found=True))
     out = {}
     for f in found:
         inside = f.path[len(at) :].strip("/").split("/")
         if f.type == FileType.File and not any(x[:1] in ("_", ".") for x in inside) and (pattern is None or fnmatch.fnmatch(f.base_name, pattern)):
-            out[prefix + f.path if prefix in ("", "file://") else f"{prefix}{f.path}"] = f.size
+            out[prefix + f.path] = f.size
     return dict(sorted(out.items()))
 
 
