@@ -46,8 +46,9 @@ def traffic(rng, n):
 @pytest.mark.parametrize("seed,threshold,ratio", [(1, 6, 0.8), (2, 10, 0.5), (3, 15, 0.8), (4, 3, 1.0), (5, 8, 0.0)])
 def test_spells_lose_no_alert(spark, seed, threshold, ratio):
     rows = traffic(random.Random(seed), 500)
-    got = D.flood_events(table(spark, rows), 5.0, threshold, ratio)
-    got = sorted((r.packet_id, r.dst, r.half_open_count, r.window_syn_count, r.unique_attackers) for r in got.collect())
+    both = [D.flood_events(table(spark, rows), 5.0, threshold, ratio, direct).orderBy("packet_id").collect() for direct in (0, 1_000_000)]
+    assert both[0] == both[1]
+    got = sorted((r.packet_id, r.dst, r.half_open_count, r.window_syn_count, r.unique_attackers) for r in both[0])
     assert got == plain(rows, 5.0, threshold, ratio)
     assert got or seed in (3, 4)
 
@@ -78,8 +79,8 @@ def test_a_busy_benign_server_never_reaches_python(spark):
     flood = spark.range(60).select((F.col("id") + 10_000_000).alias("packet_id"), (F.col("id") * 0.01 + 3).alias("ts"), F.lit("evil").alias("src"), F.lit("victim").alias("dst"), (1 + F.col("id")).cast("int").alias("sport"), F.lit(80).alias("dport"), F.lit("S").alias("flags"))
     packets = opened.union(answered).union(flood).withColumn("proto", F.lit("TCP"))
     rows = D.flood_packets(packets).select("packet_id", "ts", "src", "target", "pair", "is_ack")
-    assert {r.target for r in D.flood_spells(rows, 5.0, 40, 0.8).collect()} == {"victim"}
-    assert [(r.dst, r.half_open_count) for r in D.flood_events(packets).collect()] == [("victim", 40)]
+    assert {r.target for r in D.flood_spells(rows, 5.0, 40, 0.8, 0).collect()} == {"victim"}
+    assert [(r.dst, r.half_open_count) for r in D.flood_events(packets, direct=0).collect()] == [("victim", 40)]
 
 
 def test_a_row_costs_the_same_in_a_window_of_any_size():

@@ -81,28 +81,32 @@ def open_counts(rows: DataFrame, window: float) -> DataFrame:
     return running_total(steps, ["target"], F.col("step"), "open", window, ("ts", "late", F.desc("step"))).where("mark").select("target", "ts", "open")
 
 
-def flood_spells(rows: DataFrame, window: float, threshold: int, ratio: float) -> DataFrame:
+def flood_spells(rows: DataFrame, window: float, threshold: int, ratio: float, direct: int = 1_000_000) -> DataFrame:
     """target, _b (buckets of `window` seconds) and segment: where an alert is possible at all, and the bucket before, which holds what the window has then.
 
     `threshold` connections have to be opened in two neighbouring buckets, and threshold * ratio of these have to be open at one of them. What lies outside the
-    spells has no alert, so it empties no window, and each run of buckets is a fold of its own."""
+    spells has no alert, so it empties no window, and each run of buckets is a fold of its own. Where the busy buckets hold no more than `direct` rows, that is
+    fewer than the open connections cost to count, the first test alone names the spells; the alerts are the same."""
     down = Window.partitionBy("target").orderBy("_b")
-    counts = rows.where("not is_ack").groupBy("target", bucket(window).alias("_b")).agg(F.count("*").alias("n"))
+    counts = rows.groupBy("target", bucket(window).alias("_b")).agg(F.count_if(~F.col("is_ack")).alias("n"), F.count("*").alias("rows"))
     before = F.when(F.lag("_b").over(down) == F.col("_b") - 1, F.lag("n").over(down)).otherwise(0)
-    busy = counts.withColumn("both", F.col("n") + before).where(F.col("both") >= threshold)
-    near = stored(busy.select("target", F.explode(F.sequence(F.col("_b") - 2, F.col("_b") + 1)).alias("_b")).distinct(), "busy")
-    some = rows.withColumn("_b", bucket(window)).join(near, ["target", "_b"]).drop("_b")
-    hot = open_counts(some, window).where(F.col("open") >= math.ceil(threshold * ratio - 1e-9)).select("target", bucket(window).alias("_b")).distinct()
+    busy = stored(counts.withColumn("both", F.col("n") + before).where(F.col("both") >= threshold).select("target", "_b", "rows"), "busy")
+    if (busy.agg(F.sum("rows")).first()[0] or 0) <= direct:
+        hot = busy.select("target", "_b")
+    else:
+        near = busy.select("target", F.explode(F.sequence(F.col("_b") - 2, F.col("_b") + 1)).alias("_b")).distinct()
+        some = rows.withColumn("_b", bucket(window)).join(near, ["target", "_b"]).drop("_b")
+        hot = open_counts(some, window).where(F.col("open") >= math.ceil(threshold * ratio - 1e-9)).select("target", bucket(window).alias("_b")).distinct()
     spells = hot.select("target", F.explode(F.array(F.col("_b") - 1, F.col("_b"))).alias("_b")).distinct()
     cut = F.coalesce((F.col("_b") - F.lag("_b").over(down) > 1).cast("long"), F.lit(1))
     return stored(spells.withColumn("segment", cut).withColumn("segment", F.sum("segment").over(down)), "spells")
 
 
-def flood_events(packets: DataFrame, window: float = 5.0, threshold: int = 40, ratio: float = 0.8) -> DataFrame:
+def flood_events(packets: DataFrame, window: float = 5.0, threshold: int = 40, ratio: float = 0.8, direct: int = 1_000_000) -> DataFrame:
     """Targets with `threshold` connections opened within `window` seconds, of which `ratio` or more have no acknowledgement of the pair in that time. Only spells
     in which that is possible reach the fold; their tables are small, and Spark broadcasts them by their size."""
     rows = flood_packets(packets).select("packet_id", "ts", "src", "target", "pair", "is_ack")
-    spells = flood_spells(rows, window, threshold, ratio)
+    spells = flood_spells(rows, window, threshold, ratio, direct)
     rows = rows.withColumn("_b", bucket(window)).join(spells, ["target", "_b"]).drop("_b")
     return sorted_fold(rows, ["target", "segment"], ["ts", "packet_id"], lambda: FloodState(window, threshold, ratio), FLOOD_SCHEMA)
 
