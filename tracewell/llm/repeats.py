@@ -9,6 +9,9 @@ that their strings span repeat as a whole, by 128 bits. What is left are phrases
 follows the trigger, and in each task the suffix array of the dictionary (phrases in order of their ends, so that those that share a suffix are
 neighbours, with the length that they share) and that of the parse (what follows from the trigger on, with common prefixes) combine: suffixes as far from their
 trigger are equal to the full length where both arrays say that their parts are. These are compared on bytes.
+
+Where more than `crowd` ends have one and the same continuation (a footer under many unlike texts), they would be one task's suffix arrays however many they are.
+These alone are taken apart: each of their strings goes by its own 122 bits to a part of the order, and of those that are equal within a slice one goes.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ LENGTH = 400
 TRIGGER, REACH = 16, 128
 #: Parse entries that a task sorts at once, and phrases whose suffix arrays it builds.
 ENTRIES_A_TASK, PHRASES_A_TASK = 2_000_000, 40_000
+#: Ends with one continuation that still meet in one task's suffix arrays, at most 527 bytes of text each.
+CROWD = 8_000
 
 
 def phrases(data: np.ndarray, starts: np.ndarray, length: int, h: SpanHash) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,18 +61,31 @@ def phrases(data: np.ndarray, starts: np.ndarray, length: int, h: SpanHash) -> t
     return first, at[np.concatenate([new[1:], [True]])], trigger[first]
 
 
-def _send(parts: int, key: np.ndarray, columns: dict[str, np.ndarray], extra: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """Rows as one message for each part of the key's range; extra goes with the first."""
-    part = (key >> U64(40)) % U64(parts)
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    return ((key >> U64(40)) % U64(parts)).astype(np.int64)
+
+
+def _send(part: np.ndarray, columns: dict[str, np.ndarray], extra: dict[str, np.ndarray] | None = None) -> dict[str, pa.Array]:
+    """Rows as one message for each part; extra goes with the first."""
     order = np.argsort(part, kind="stable")
-    cut = np.searchsorted(part[order], np.arange(parts + 1))
-    used = [p for p in range(parts) if cut[p] < cut[p + 1]] or [0]
+    used, cut = np.unique(part[order], return_index=True)
+    cut = [*cut.tolist(), len(order)]
     out = {"part": pa.array(used, pa.int32())}
     for name, v in columns.items():
-        out[name] = pa.array([v[order[cut[p] : cut[p + 1]]].tobytes() for p in used], pa.binary())
-    for name, v in extra.items():
+        v = v[order]
+        out[name] = pa.array([v[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())
+    for name, v in (extra or {}).items():
         out[name] = pa.array([v.tobytes() if k == 0 else b"" for k in range(len(used))], pa.binary())
-    return pa.RecordBatch.from_pydict(out)
+    return out
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by keys, and where in it a new value begins."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    return order, new
 
 
 def _parse(parts: int, length: int):
@@ -89,7 +107,7 @@ def _parse(parts: int, length: int):
             size = np.diff(np.append(np.flatnonzero(new), len(order)))
             kept, rest = order[new], order[~new]
             entry = {k: v[kept] for k, v in entry.items()} | {"twice": (size > 1).astype(np.int8)} | {f"r_{k}": entry[k][rest] for k in ("did", "doc", "at", "n")}
-            yield _send(parts, entry["after"], {k: v for k, v in entry.items() if k[:2] != "r_"}, {k: v for k, v in entry.items() if k[:2] == "r_"})
+            yield pa.RecordBatch.from_pydict(_send(_part(entry["after"], parts), {k: v for k, v in entry.items() if k[:2] != "r_"}, {k: v for k, v in entry.items() if k[:2] == "r_"}))
 
     return run
 
@@ -102,52 +120,98 @@ def _unpack(group: pd.DataFrame, kinds: dict[str, type]) -> dict[str, np.ndarray
     return {k: np.frombuffer(b"".join(group[k]), t) for k, t in kinds.items()}
 
 
-def _sort_parse(group: pd.DataFrame) -> pd.DataFrame:
-    """whole: the phrase's strings all repeat; else they may."""
-    e = _unpack(group, _ENTRY)
-    r = _unpack(group, {"r_did": np.int64, "r_doc": np.int64, "r_at": np.int64, "r_n": np.int32})
-    order = np.lexsort((e["stretch"], e["after"]))
-    e = {k: v[order] for k, v in e.items()}
-    new_after = np.concatenate([[True], e["after"][1:] != e["after"][:-1]])[: len(order)]
-    new = new_after | np.concatenate([[True], e["stretch"][1:] != e["stretch"][:-1]])[: len(order)]
-    runs = np.cumsum(new) - 1
-    size = np.bincount(runs) if len(runs) else np.zeros(0, np.int64)
-    whole = (size[runs] > 1) | (np.bincount(runs, e["twice"])[runs] > 0) if len(runs) else np.zeros(0, bool)
-    of = np.cumsum(new_after) - 1
-    if len(runs):
-        shared = (np.bincount(of)[of] > 1) | whole
-        again = whole & new & (np.bincount(of, shared & ~whole)[of] > 0)  # one of each repeat stands beside the ends that may hold parts of it
-    else:
-        shared = again = whole
-    pick = lambda k: np.concatenate([e[k][shared], e[k][again], r[f"r_{k}"]])
-    return pd.DataFrame({"did": pick("did"), "uid": pick("doc"), "at": pick("at"), "n": pick("n"), "whole": np.concatenate([whole[shared], np.zeros(int(again.sum()), bool), np.ones(len(r["r_doc"]), bool)])})
-
-
-def _ends(parts: int, length: int):
-    """Phrases at the ends of repeats, with the bytes that their strings span, as one message for each part of the order of what follows their triggers."""
+def _sort_parse(crowd: int):
+    """whole: the phrase's strings all repeat; else they may. crowded: too many that may have its continuation."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        e = _unpack(group, _ENTRY)
+        r = _unpack(group, {"r_did": np.int64, "r_doc": np.int64, "r_at": np.int64, "r_n": np.int32})
+        order, new = _runs(e["after"], e["stretch"])
+        e = {k: v[order] for k, v in e.items()}
+        new_after = np.concatenate([[True], e["after"][1:] != e["after"][:-1]])[: len(order)]
+        runs = np.cumsum(new) - 1
+        of = np.cumsum(new_after) - 1
+        if len(runs):
+            whole = (np.bincount(runs)[runs] > 1) | (np.bincount(runs, e["twice"])[runs] > 0)
+            shared = (np.bincount(of)[of] > 1) | whole
+            again = whole & new & (np.bincount(of, shared & ~whole)[of] > 0)  # one of each repeat stands beside the ends that may hold parts of it
+            crowded = np.bincount(of, (shared & ~whole) | again)[of] > crowd
+        else:
+            whole = shared = again = crowded = np.zeros(0, bool)
+        pick = lambda k: np.concatenate([e[k][shared], e[k][again], r[f"r_{k}"]])
+        known = len(r["r_doc"])
+        return pd.DataFrame(
+            {"did": pick("did"), "uid": pick("doc"), "at": pick("at"), "n": pick("n")}
+            | {"whole": np.concatenate([whole[shared], np.zeros(int(again.sum()), bool), np.ones(known, bool)])}
+            | {"crowded": np.concatenate([crowded[shared], crowded[again], np.zeros(known, bool)])}
+        )
+
+    return run
+
+
+_SPAN = {"did": np.int64, "uid": np.int64, "at": np.int64, "n": np.int32, "t": np.int32, "bytes": np.uint8}
+_START = {"did": np.int64, "uid": np.int64, "at": np.int64, "n": np.int32, "key": np.uint64, "check": np.uint64, "twice": np.int8}
+_ENDS_SCHEMA = "part int, " + ", ".join(f"{k} binary" for k in dict.fromkeys((*_SPAN, *_START)))
+
+
+def _message(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """With columns of the other kind empty."""
+    none = pa.array([b""] * len(columns["part"]), pa.binary())
+    return pa.RecordBatch.from_pydict({"part": columns["part"]} | {k: columns.get(k, none) for k in dict.fromkeys((*_SPAN, *_START))})
+
+
+def _ends(parts: int, apart: int, length: int):
+    """Phrases at the ends of repeats, with the bytes that their strings span, as one message for each of `parts` parts of the order of what follows
+    their triggers. Crowded ones go string by string, to `apart` parts more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, starts in text_slices(batches):
             h = SpanHash(data)
             first, last, trigger = phrases(data, starts, length, h)
             at = rows.column("ats")
-            counts = np.diff(np.asarray(at.offsets))
-            doc = np.repeat(np.arange(rows.num_rows), counts)
+            doc = np.repeat(np.arange(rows.num_rows), np.diff(np.asarray(at.offsets)))
+            crowded = rows.column("crowds").flatten().to_numpy(zero_copy_only=False)
             k = np.searchsorted(first, starts[doc] + at.flatten().to_numpy())
-            after = h(trigger[k], trigger[k] + (length - min(REACH, length // 3)))
-            part = (after >> U64(40)) % U64(parts)
+            did, uid = np.asarray(rows.column("did")), np.asarray(rows.column("uid"))
+            if crowded.any():
+                yield _message(_strings(data, h, first[k[crowded]], last[k[crowded]], doc[crowded], starts, did, uid, parts, apart, length))
+            k, doc = k[~crowded], doc[~crowded]
+            if not len(k):
+                continue
+            part = _part(h(trigger[k], trigger[k] + (length - min(REACH, length // 3))), parts)
             order = np.argsort(part, kind="stable")
             k, doc, part = k[order], doc[order], part[order]
-            cut = np.searchsorted(part, np.arange(parts + 1))
-            used = [p for p in range(parts) if cut[p] < cut[p + 1]]
-            columns = {"did": np.asarray(rows.column("did"))[doc], "uid": np.asarray(rows.column("uid"))[doc], "at": first[k] - starts[doc], "n": (last - first + 1)[k].astype(np.int32), "t": (trigger - first)[k].astype(np.int32)}
-            out = {"part": pa.array(used, pa.int32())} | {c: pa.array([v[cut[p] : cut[p + 1]].tobytes() for p in used], pa.binary()) for c, v in columns.items()}
-            spans = [data[a:b].tobytes() for a, b in zip(first[k].tolist(), (last[k] + length).tolist(), strict=True)]
-            yield pa.RecordBatch.from_pydict(out | {"bytes": pa.array([b"".join(spans[cut[p] : cut[p + 1]]) for p in used], pa.binary())})
+            spans = np.empty(len(k), object)
+            spans[:] = [data[a:b].tobytes() for a, b in zip(first[k].tolist(), (last[k] + length).tolist(), strict=True)]
+            columns = {"did": did[doc], "uid": uid[doc], "at": first[k] - starts[doc], "n": (last - first + 1)[k].astype(np.int32), "t": (trigger - first)[k].astype(np.int32)}
+            cut = np.searchsorted(part, np.unique(part)).tolist()
+            joined = pa.array([b"".join(spans[a:b]) for a, b in zip(cut, [*cut[1:], len(k)])], pa.binary())
+            yield _message(_send(part, columns) | {"bytes": joined})
 
     return run
 
 
+def _strings(data: np.ndarray, h: SpanHash, first: np.ndarray, last: np.ndarray, doc: np.ndarray, starts: np.ndarray, did: np.ndarray, uid: np.ndarray, parts: int, apart: int, length: int) -> dict[str, pa.Array]:
+    """Each string of the phrases by its hashes. Of those that are equal within the slice one goes on with the mark that it repeats; the others are known to
+    repeat and need no meeting, so they go as runs of starts wherever their text's name says."""
+    n = last - first + 1
+    at = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    doc = np.repeat(doc, n)
+    key, check = h(at, at + length), SpanHash(data, 3)(at, at + length)
+    order, new = _runs(key, check)
+    size = np.diff(np.append(np.flatnonzero(new), len(order)))
+    one, known = order[new], order[~new]
+    known = known[np.argsort(at[known], kind="stable")]
+    begins = np.ones(len(known), bool)
+    begins[1:] = (at[known][1:] != at[known][:-1] + 1) | (doc[known][1:] != doc[known][:-1])
+    long = np.diff(np.append(np.flatnonzero(begins), len(known)))
+    known = known[begins]
+    both = np.concatenate([one, known])
+    part = parts + np.concatenate([_part(key[one], apart), _part(mix(uid[doc[known]].view(np.uint64)), apart)])
+    columns = {"did": did[doc[both]], "uid": uid[doc[both]], "at": at[both] - starts[doc[both]], "n": np.concatenate([np.ones(len(one), np.int64), long]).astype(np.int32)}
+    return _send(part, columns | {"key": key[both], "check": check[both], "twice": np.concatenate([size > 1, np.ones(len(known), bool)]).astype(np.int8)})
+
+
 def _rows_of(data: np.ndarray, begin: np.ndarray, step: int, size: np.ndarray, width: int) -> np.ndarray:
     """A row of `width` bytes for each begin: data at begin, begin + step and so on, `size` of them, then zeros."""
     out = np.zeros((len(begin), width), np.uint8)
@@ -193,9 +257,16 @@ def combine(data: np.ndarray, n: np.ndarray, t: np.ndarray, length: int) -> np.n
     return repeats
 
 
-def _sort_ends(length: int):
+def _sort_ends(parts: int, length: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        e = _unpack(group, {"did": np.int64, "uid": np.int64, "at": np.int64, "n": np.int32, "t": np.int32, "bytes": np.uint8})
+        if group["part"].iloc[0] >= parts:
+            e = _unpack(group, _START)
+            order, new = _runs(e["key"], e["check"])
+            of = np.cumsum(new) - 1
+            gone = order[(np.bincount(of)[of] > 1) | (e["twice"][order] > 0)]
+            give_back()
+            return pd.DataFrame({k: e[k][gone] for k in ("did", "uid", "at", "n")})
+        e = _unpack(group, _SPAN)
         n, t = e["n"].astype(np.int64), e["t"].astype(np.int64)
         k, d = np.nonzero(combine(e["bytes"], n, t, length))
         place = e["at"][k] + t[k] - d
@@ -238,24 +309,27 @@ def _cut(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """Each row's doc_id, n_bytes, n_removed, n_spans and kept (binary: what is left may end inside a character).
 
     A byte goes if a string of `length` bytes that covers it starts anywhere else too, in any row or the same one; strings are judged on the
     input. A null text is empty, and texts shorter than `length` stay whole. Rows that repeat a doc_id are texts of their own, so equal rows repeat each
-    other. Other columns are not read."""
+    other. Other columns are not read. crowd: more ends of repeats with one continuation than this are dealt out string by string; no result depends on it."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # a row goes by both, so texts of one doc_id alone could share a name
     docs = docs.withColumn("did", F.coalesce("doc_id", F.lit(0).cast("long"))).withColumn("uid", F.xxhash64("doc_id", "text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(16, -(-total // 60 // ENTRIES_A_TASK))
-    spans = save(docs.mapInArrow(_parse(parts, length), _PARSE_SCHEMA).groupBy("part").applyInPandas(_sort_parse, "did long, uid long, at long, n int, whole boolean"), "phrases")
-    once = lambda rows: rows.groupBy("did", "uid").agg(F.collect_list(F.struct("at", "n")).alias("s")).select("did", "uid", F.col("s.at").alias("ats"), F.col("s.n").alias("ns"))
+    entries = docs.mapInArrow(_parse(parts, length), _PARSE_SCHEMA).groupBy("part")
+    spans = save(entries.applyInPandas(_sort_parse(crowd), "did long, uid long, at long, n int, whole boolean, crowded boolean"), "phrases")
     ends = spans.where("not whole")
-    parts = max(16, -(-ends.count() // PHRASES_A_TASK))
-    texts = docs.select("did", "uid", "text").join(once(ends.distinct()), ["did", "uid"])
-    messages = texts.mapInArrow(_ends(parts, length), "part int, did binary, uid binary, at binary, n binary, t binary, bytes binary")
-    single = messages.groupBy("part").applyInPandas(_sort_ends(length), "did long, uid long, at long, n int")
+    calm, strings = ends.agg(F.count_if(~F.col("crowded")), F.coalesce(F.sum(F.when(F.col("crowded"), F.col("n"))), F.lit(0))).first()
+    parts, apart = max(16, -(-calm // PHRASES_A_TASK)), max(1, -(-strings // ENTRIES_A_TASK))
+    found = ends.distinct().groupBy("did", "uid").agg(F.collect_list(F.struct("at", "crowded")).alias("s"))
+    texts = docs.select("did", "uid", "text").join(found.select("did", "uid", F.col("s.at").alias("ats"), F.col("s.crowded").alias("crowds")), ["did", "uid"])
+    messages = texts.mapInArrow(_ends(parts, apart, length), _ENDS_SCHEMA)
+    single = messages.groupBy("part").applyInPandas(_sort_ends(parts, length), "did long, uid long, at long, n int")
+    once = lambda rows: rows.groupBy("did", "uid").agg(F.collect_list(F.struct("at", "n")).alias("s")).select("did", "uid", F.col("s.at").alias("ats"), F.col("s.n").alias("ns"))
     gone = save(spans.where("whole").select("did", "uid", "at", "n").union(single), "repeats")
     empty = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>")).alias(c)
     whole = docs.join(once(gone), ["did", "uid"], "left").select("doc_id", "text", empty("ats", "bigint"), empty("ns", "int"))
