@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,7 +136,8 @@ NAME_COLUMNS = ["packet_id", "ts", "src", "dst", "qname", "dns_qtype", "subdomai
 
 def dns_scores(packets: DataFrame, entropy: float = 3.5, length: int = 50, burst: int = 15, window: float = 15.0) -> DataFrame:
     """Each name query with its parts, entropy, burst (distinct subdomains of the parent that the source asked for in the window), score and reasons."""
-    q = sliding_distinct(name_queries(packets).select(*NAME_COLUMNS), ["src", "parent"], F.nullif("subdomain", F.lit("")), window, "burst")
+    names = stored(name_queries(packets).select(*NAME_COLUMNS), "names")  # read for items, marks and sums: packets are scanned and entropies worked out once
+    q = sliding_distinct(names, ["src", "parent"], F.nullif("subdomain", F.lit("")), window, "burst")
     return scored_names(q, entropy, length, burst)
 
 
@@ -215,10 +218,13 @@ class Registry:
         self.detectors[name], self.enabled[name] = detector, enabled
 
     def run(self, packets: DataFrame) -> DataFrame:
-        """Alerts of all enabled detectors; each must have ALERT_SCHEMA's columns."""
+        """Alerts of all enabled detectors; each must have ALERT_SCHEMA's columns. Each is called in a thread of its own, so tables that one stores on its way are
+        written beside those of the others."""
         spark = packets.sparkSession
         empty = spark.createDataFrame([], ALERT_SCHEMA)
-        found = [f(packets) for name, f in self.detectors.items() if self.enabled[name]]
+        chosen = [f for name, f in self.detectors.items() if self.enabled[name]]
+        with ThreadPoolExecutor(max(1, len(chosen))) as pool:
+            found = [x.result() for x in [pool.submit(inheritable_thread_target(spark)(f), packets) for f in chosen]]
         for df in found:
             if dict(df.dtypes) != dict(empty.dtypes):
                 raise ValueError(f"a detector's columns are {df.dtypes}")

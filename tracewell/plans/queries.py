@@ -332,7 +332,7 @@ def _(spark, d):
 
 @query("det2_syn_flood", "SELECT packet_id, dst, half_open_count, window_syn_count, unique_attackers FROM fa")
 def _(spark, d):
-    return D.flood_events(packets(spark, d)).select("packet_id", "dst", "half_open_count", "window_syn_count", "unique_attackers")
+    return D.flood_events(stored(packets(spark, d), "packets")).select("packet_id", "dst", "half_open_count", "window_syn_count", "unique_attackers")
 
 
 @query("det3_dns_tunnel", "SELECT packet_id, src, qname, subdomain, parent, round(entropy, 6) AS entropy, score, CASE WHEN score >= 5 THEN 'high' ELSE 'medium' END AS severity FROM dns WHERE score >= 3")
@@ -379,7 +379,7 @@ def _(spark, d):
 
 @query("det6_dedup_alerts", "SELECT packet_id, CAST(said AS BIGINT) AS suppressed FROM dc WHERE emit")
 def _(spark, d):
-    return S.dedup_alerts(D.detect_dns_tunnel(packets(spark, d))).select("packet_id", "suppressed")
+    return S.dedup_alerts(stored(D.detect_dns_tunnel(packets(spark, d)), "alerts")).select("packet_id", "suppressed")
 
 
 @query("det6_dedup_all", "SELECT alert_type, packet_id, CAST(said AS BIGINT) AS suppressed FROM xc WHERE emit")
