@@ -1,4 +1,5 @@
 import itertools
+import random
 import zlib
 
 import numpy as np
@@ -34,6 +35,38 @@ def test_words_are_as_in_the_whole(text):
     assert np.frombuffer(ids, "<u4").tolist() == Tokenizer.from_file(default_tokenizer()).encode(text, add_special_tokens=False).ids
 
 
+class Told:
+    """A tokenizer that tells what it is given."""
+
+    def __init__(self, own, sent):
+        self.own, self.sent = own, sent
+
+    def encode_batch_fast(self, texts, **options):
+        self.sent += texts
+        return self.own.encode_batch_fast(texts, **options)
+
+
+def test_a_word_in_many_chunks_is_encoded_once():
+    tokenizer, whole, sent = WordTokenizer(default_tokenizer()), Tokenizer.from_file(default_tokenizer()), []
+    for name, v in list(vars(tokenizer).items()):
+        if isinstance(v, Tokenizer):
+            setattr(tokenizer, name, Told(v, sent))
+    for text in ["Word, word. (word) word-word's", "WORD; été ÉTÉ. word_1", "word's Été,"]:
+        assert np.frombuffer(tokenizer.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    words = WordTokenizer.WORDS.findall(" ".join(sent))
+    assert len(words) == len(set(words)) >= 8
+
+
+@pytest.mark.parametrize("kept", [0, 50, 400_000])
+def test_texts_together_are_as_each_alone(monkeypatch, kept):
+    monkeypatch.setattr(WordTokenizer, "KEPT", kept)
+    rng, whole, tokenizer = random.Random(3), Tokenizer.from_file(default_tokenizer()), WordTokenizer(default_tokenizer())
+    for _ in range(20):
+        texts = ["".join(rng.choice("aetsTrd'lvm\"$_-.,<|0\xa1\xaeßÉñœŁžÄ \t\n²中") for _ in range(rng.randint(0, 60))) for _ in range(20)]
+        texts += ["".join(rng.choice("aetsTrd'lvm_-.,0ßÉñœŁ  \n") for _ in range(rng.randint(0, 60))) for _ in range(20)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in tokenizer.encode_all(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_exchange(spark, monkeypatch):
     monkeypatch.setattr(packing, "PIECES_A_TASK", 15)
     docs = spark.createDataFrame([(i, "word " * (7 + i % 13)) for i in range(300)] + [(1, None), (1, ""), (None, "a")], "doc_id long, text string").selectExpr("*", "0 as rid", "0 as length")

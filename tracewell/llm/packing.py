@@ -11,7 +11,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import reduce
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, save
+from .common import give_back, save, text_slices
 
 CAPACITY = 4096
 #: Pieces that one task packs, and the share of free room up to which a bin counts as full.
@@ -43,16 +43,18 @@ class WordTokenizer:
     #: The alternatives of the file's pre-tokenizer, for texts that PLAIN matches.
     WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
     PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įĲ-ž]*")
-    #: Chunks between white space, which is never in a word, whose ids are kept; beyond that all are forgotten and learnt anew.
+    #: Words, and chunks between white space, which is never in a word, whose ids are kept; beyond that all are forgotten and learnt anew.
     KEPT = 400_000
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
+        self.words = Tokenizer(self.whole.model)  # for words that are cut and in lower case already
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
@@ -60,43 +62,49 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if "<|" in text or not self.PLAIN.fullmatch(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        chunks = text.lower().split()
-        try:
-            return b"".join(map(self.ids.__getitem__, chunks))
-        except KeyError:
-            if len(self.ids) > self.KEPT:
-                self.ids = {}
-            self._learn([c for c in set(chunks) if c not in self.ids])
-            return b"".join(map(self.ids.__getitem__, chunks))
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """encode() of each; what is new in them is learnt together."""
+        chunks = [t.lower().split() if "<|" not in t and self.PLAIN.fullmatch(t) else None for t in texts]
+        if len(self.ids) > self.KEPT:
+            self.ids = {}
+        self._learn(list(set().union(*filter(None, chunks)).difference(self.ids)))
+        for text, own in zip(texts, chunks, strict=True):
+            if own is None:
+                yield np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                yield b"".join(map(self.ids.__getitem__, own))
 
     def _learn(self, chunks: list[str]) -> None:
-        """Encodes chunks together: a word's last token alone ends with the file's mark, so the words that a chunk has tell where its ids end."""
-        ids = np.array(self.whole.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
-        words = np.cumsum([0, *map(len, map(self.WORDS.findall, chunks))])
-        cut = (np.append(0, np.flatnonzero(self.ends[ids]) + 1)[words] * 4).tolist()
+        """Encodes the new words of chunks together: a word's last token alone ends with the file's mark."""
+        words_of = list(map(self.WORDS.findall, chunks))
+        words = list(set(chain.from_iterable(words_of)).difference(self.ids))
+        ids = np.array(self.words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cut = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
         own = ids.tobytes()
-        for c, a, b in zip(chunks, cut[:-1], cut[1:], strict=True):
-            self.ids[c] = own[a:b]
+        for w, a, b in zip(words, cut[:-1], cut[1:], strict=True):
+            self.ids[w] = own[a:b]
+        for c, inside in zip(chunks, words_of, strict=True):
+            if len(inside) > 1:
+                self.ids[c] = b"".join(map(self.ids.__getitem__, inside))
 
 
 def _pieces(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, rid = WordTokenizer(path), TaskContext.get().partitionId() << 33
         end = np.array([END], "<u4").tobytes()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                rows, out = batch.slice(lo, 500), []
-                for doc, text in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
-                    ids = memoryview(tokenizer.encode(text or "") + end)
-                    for k, start in enumerate(range(0, len(ids) // 4, capacity)):
-                        part = ids[4 * start : 4 * (start + capacity)]
-                        out.append((rid, doc, k, start, len(part) // 4, zlib.crc32(part), bytes(part) if with_ids else None))
-                        rid += 1
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                cols = list(zip(*out, strict=True)) or [()] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["rid", "doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+        for rows, _, _ in text_slices(batches):
+            out = []
+            for doc, encoded in zip(rows.column("doc_id").to_pylist(), tokenizer.encode_all([t or "" for t in rows.column("text").to_pylist()]), strict=True):
+                ids = memoryview(encoded + end)
+                for k, start in enumerate(range(0, len(ids) // 4, capacity)):
+                    part = ids[4 * start : 4 * (start + capacity)]
+                    out.append((rid, doc, k, start, len(part) // 4, zlib.crc32(part), bytes(part) if with_ids else None))
+                    rid += 1
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            cols = list(zip(*out, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["rid", "doc_id", "piece", "start", "length", "ids_crc32", "ids"])
         del tokenizer
         give_back()
 
