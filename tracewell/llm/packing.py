@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, save, text_slices
+from .common import WHITE, find_words, give_back, save, text_slices, word_ids
 
 CAPACITY = 4096
 #: Pieces that one task packs, and the share of free room up to which a bin counts as full.
@@ -66,19 +66,25 @@ class WordTokenizer:
 
     def encode_all(self, texts: list[str]) -> Iterator[bytes]:
         """encode() of each; what is new in them is learnt together."""
-        chunks = [t.lower().split() if "<|" not in t and self.PLAIN.fullmatch(t) else None for t in texts]
+        plain = ["<|" not in t and self.PLAIN.fullmatch(t) is not None for t in texts]
+        own = [t.lower().encode() if p else b"" for t, p in zip(texts, plain, strict=True)]
+        data = np.frombuffer(b"".join(own), np.uint8)
+        begin, end, first = find_words(data, np.cumsum([0, *map(len, own)]))
+        which, chunks = word_ids(data, ~WHITE[data], begin, end)
+        chunks = chunks.cast(pa.large_string()).to_numpy(zero_copy_only=False).tolist()
         if len(self.ids) > self.KEPT:
             self.ids = {}
-        self._learn(list(set().union(*filter(None, chunks)).difference(self.ids)))
-        for text, own in zip(texts, chunks, strict=True):
-            if own is None:
-                yield np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                yield b"".join(map(self.ids.__getitem__, own))
+        self._learn([c for c in chunks if c not in self.ids])
+        found = pa.array([self.ids[c] for c in chunks], pa.large_binary()).take(pa.array(which))
+        _, offsets, values = found.buffers()
+        cut = np.frombuffer(offsets, np.int64)[first].tolist() if len(found) else [0] * (len(texts) + 1)
+        joined = memoryview(values or b"")
+        for text, p, a, b in zip(texts, plain, cut[:-1], cut[1:], strict=True):
+            yield bytes(joined[a:b]) if p else np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, chunks: list[str]) -> None:
         """Encodes the new words of chunks together: a word's last token alone ends with the file's mark."""
-        words_of = list(map(self.WORDS.findall, chunks))
+        words_of = [[c] if c.isalpha() else self.WORDS.findall(c) for c in chunks]
         words = list(set(chain.from_iterable(words_of)).difference(self.ids))
         ids = np.array(self.words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         cut = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
