@@ -368,9 +368,9 @@ class FlowState:
             self.own |= {"state": "NONE", "fin": set(), "start": row.ts, "sides": {True: [0, 0], False: [0, 0]}}
         own = self.own
         follow(own, row)
-        side = own["sides"][row.src == own["src"] and (pd.isna(row.sport) or pd.isna(own["sport"]) or row.sport == own["sport"])]
+        side = own["sides"][row.src == own["src"] and (missing(row.sport) or missing(own["sport"]) or row.sport == own["sport"])]
         side[0] += 1
-        side[1] += 0 if pd.isna(row.size) else int(row.size)
+        side[1] += 0 if missing(row.size) else int(row.size)
         own["last"] = row.ts
         return out
 
@@ -378,12 +378,17 @@ class FlowState:
         own, self.own = self.own, None
         if own is None:
             return []
-        port = lambda x: None if pd.isna(x) else int(x)
+        port = lambda x: None if missing(x) else int(x)
         (pf, bf), (pr, br) = own["sides"][True], own["sides"][False]
         self.number += 1
         return [(own["key"], self.number - 1, own["proto"], own["src"], port(own["sport"]), own["dst"], port(own["dport"]), own["start"], own["last"], pf, bf, pr, br, pf + pr, bf + br, own["state"])]
 
 
+def missing(x) -> bool:
+    """Whether a number is null: None, pandas' NA or NaN."""
+    return x is None or x is pd.NA or x != x
+
+
 def state_of(flags: dict) -> str:
     return flags["state"]
 
@@ -391,7 +396,7 @@ def state_of(flags: dict) -> str:
 def follow(own: dict, row) -> None:
     """One packet's step of the connection state: a reset, then FINs, then the handshake."""
     flags = row.flags if row.proto == "TCP" and isinstance(row.flags, str) else ""
-    forward = row.src == own["src"] and (pd.isna(row.sport) or pd.isna(own["sport"]) or row.sport == own["sport"])
+    forward = row.src == own["src"] and (missing(row.sport) or missing(own["sport"]) or row.sport == own["sport"])
     if "R" in flags:
         own["state"] = "RESET"
     elif "F" in flags:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
+from bisect import bisect_left
+from collections import namedtuple
 from collections.abc import Callable, Iterator
+from operator import itemgetter
+from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -34,94 +39,151 @@ def stream_gap_flows(stream: DataFrame, gap: str = "60 seconds") -> DataFrame:
     return g.agg(F.count("*").alias("total_packets"), F.sum("size").alias("total_bytes"), F.min("ts").alias("start_ts"), F.max("ts").alias("last_seen_ts")).drop("w")
 
 
+#: Keys are dealt to so many groups of state, and a group's folds to so many pages; a stream's checkpoint depends on both.
+SHARDS, PAGES = 256, 64
+#: Held rows are kept in chunks of about so many.
+CHUNK = 50_000
+
+
 class Sorted(StatefulProcessor):
-    """Holds a key's rows until the watermark has passed them, then folds them in order of (ts, packet_id): what a stream gives is what the batch fold gives.
+    """Holds rows until the watermark has passed them, then folds each key's in order of (ts, packet_id): what a stream gives is what the batch fold gives.
 
     make() returns a fold's state (step(row) -> rows, end() -> rows); it is pickled between batches, and it ends and is forgotten when the watermark is `idle`
-    seconds past its last row. Rows are held by second, and a key has one timer, at its earliest row or its end: when that fires, all rows behind the watermark
-    are folded at once."""
+    seconds past its last row. Every access to state is a round trip between Python and the JVM, so a group is not a key but a shard of keys: rows are held in
+    chunks in order of time, folds in pages of several keys, and the index says when a chunk begins and when a page's first fold ends. A batch reads and writes
+    the chunks that the watermark has reached and the pages of their rows alone. A shard has one timer; when that fires, all rows behind the watermark are folded
+    at once, chunk by chunk in order of time, so memory holds the chunks that overlap."""
+
+    def __init__(self, make: Callable[[], object], keys: list[str], columns: list[str], out: list[str], idle: float | None):
+        self.make, self.out, self.idle = make, out, idle
+        self.columns = [*columns, *[k for k in keys if k not in columns]]
+        self.key = itemgetter(*[self.columns.index(k) for k in keys])
+        self.keys, self.row = keys, namedtuple("Row", self.columns)
 
-    def __init__(self, make: Callable[[], object], columns: list[str], out: list[str], idle: float):
-        self.make, self.columns, self.out, self.idle = make, columns, out, idle
+    def __reduce__(self):
+        return Sorted, (self.make, self.keys, self.columns, self.out, self.idle)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "second long", "rows binary")
-        self.fold = handle.getValueState("fold", "state binary")
-        self.timer = handle.getValueState("timer", "at long")
+        self.held = handle.getMapState("held", "chunk long", "rows binary")
+        self.folds = handle.getMapState("folds", "page int", "folds binary")
+        self.index = handle.getValueState("index", "state binary")
+
+    def _open(self) -> SimpleNamespace:
+        """chunks: number -> time of the first row; ends: page -> when its first fold ends, None for never. What they lack is not in the state."""
+        return SimpleNamespace(**pickle.loads(bytes(self.index.get()[0]))) if self.index.exists() else SimpleNamespace(chunks={}, next=0, ends={}, timer=None)
+
+    def _close(self, index: SimpleNamespace, least: int = 0) -> None:
+        """Sets the one timer to what comes first, at `least` or later, and writes the index."""
+        due = [int(t * 1000) + 1 for t in index.chunks.values()] + [at for at in index.ends.values() if at is not None]
+        at = max(least, min(due)) if due else None
+        if at != index.timer:
+            if index.timer is not None:
+                self.handle.deleteTimer(index.timer)
+            if at is not None:
+                self.handle.registerTimer(at)
+            index.timer = at
+        self.index.update((pickle.dumps(vars(index)),))
+
+    def _hold(self, index: SimpleNamespace, lists: list[list]) -> None:
+        """Columns as lists, in order of time, as a chunk."""
+        self.held.updateValue((index.next,), (pickle.dumps(lists),))
+        index.chunks[index.next] = lists[0][0]
+        index.next += 1
+
+    def _page(self, index: SimpleNamespace, pages: dict[int, dict], page: int) -> dict:
+        if page not in pages:
+            pages[page] = pickle.loads(bytes(self.folds.getValue((page,))[0])) if page in index.ends else {}
+        return pages[page]
+
+    def _ends(self, fold: object) -> int | None:
+        """The watermark at which a fold ends; None for never."""
+        last = getattr(fold, "last_row", None)
+        return None if last is None or self.idle is None else int((last + self.idle) * 1000) + 1
+
+    def _keep(self, index: SimpleNamespace, page: int, folds: dict, now: int) -> None:
+        if folds:
+            self.folds.updateValue((page,), (pickle.dumps(folds),))
+            index.ends[page] = min((at for at in map(self._ends, folds.values()) if at is not None and at > now), default=None)
+        elif page in index.ends:
+            self.folds.removeKey((page,))
+            del index.ends[page]
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        """A key's state as a batch left it: make()'s state takes the row with restore(row)."""
-        import pickle
-
-        fold = self.make()
+        """Keys' states as a batch left them: make()'s state takes a row with restore(row)."""
+        index, pages = self._open(), {}
         for row in initialState.itertuples(index=False):
+            fold = self.make()
             fold.last_row = fold.restore(row)
-        self.fold.update((pickle.dumps(fold),))
-
-    def _wake(self, at: int | None) -> None:
-        """The key's one timer; None for none."""
-        old = self.timer.get()[0] if self.timer.exists() else None
-        if old is not None and old != at:
-            self.handle.deleteTimer(old)
-        if at is None:
-            self.timer.clear()
-        elif old != at:
-            self.handle.registerTimer(at)
-            self.timer.update((at,))
+            own = [None if pd.isna(v) else v for v in (getattr(row, k) for k in self.keys)]
+            self._page(index, pages, int(row.fold_page))[own[0] if len(own) == 1 else tuple(own)] = fold
+        for page, folds in pages.items():
+            self._keep(index, page, folds, 0)
+        self.index.update((pickle.dumps(vars(index)),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        import pickle
+        index, some = self._open(), []
+
+        def hold() -> None:
+            new = pd.concat(some, ignore_index=True).sort_values(self.columns[:2], kind="stable") if some else None
+            some.clear()
+            if new is not None:
+                if new[self.columns[0]].isna().any():
+                    raise ValueError("a row without ts has no place in time")
+                # what is null in a column of numbers is NaN in pandas
+                self._hold(index, [new[c].tolist() if not new[c].isna().any() else new[c].astype(object).where(new[c].notna(), None).tolist() for c in [*self.columns, "fold_page"]])
 
-        new: dict[int, list[tuple]] = {}
         for batch in rows:
-            for values in batch[self.columns].astype(object).where(batch[self.columns].notna(), None).itertuples(index=False, name=None):
-                new.setdefault(int(values[0] // 1), []).append(values)
-        for second, some in new.items():
-            before = pickle.loads(bytes(self.held.getValue((second,))[0])) if self.held.containsKey((second,)) else []
-            self.held.updateValue((second,), (pickle.dumps(before + some),))
-        first = min(int(v[0] * 1000) + 1 for some in new.values() for v in some)
-        if not self.timer.exists() or first < self.timer.get()[0]:
-            self._wake(first)
+            some.append(batch[[*self.columns, "fold_page"]])
+            if sum(map(len, some)) >= CHUNK:
+                hold()
+        hold()
+        self._close(index)
         yield pd.DataFrame(columns=self.out)
 
+    def _due(self, index: SimpleNamespace, now: int) -> Iterator[list[tuple]]:
+        """Rows behind the watermark in order, a list for each chunk; what is left of chunks is held again."""
+        due, parts = sorted((t, number) for number, t in index.chunks.items() if t * 1000 < now), []
+        for k, (_, number) in enumerate(due):
+            parts.append([pickle.loads(bytes(self.held.getValue((number,))[0])), 0])
+            self.held.removeKey((number,))
+            del index.chunks[number]
+            ready = []
+            for part in parts:
+                lists, since = part
+                part[1] = bisect_left(lists[0], due[k + 1][0], since) if k + 1 < len(due) else bisect_left(lists[0], now, since, key=lambda t: t * 1000)
+                ready += zip(*(c[since : part[1]] for c in lists), strict=True)
+            parts = [p for p in parts if p[1] < len(p[0][0])]
+            yield sorted(ready, key=itemgetter(0, 1))
+        for lists, since in parts:
+            self._hold(index, [c[since:] for c in lists])
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        import pickle
-        from types import SimpleNamespace
-
-        self.timer.clear()  # it has fired
-        now = timerValues.getCurrentWatermarkInMs()
-        due, left = [], None
-        for (second,) in sorted(self.held.keys()):
-            if second * 1000 >= now:
-                left = second * 1000 + 1 if left is None else left
-                break
-            rows = pickle.loads(bytes(self.held.getValue((second,))[0]))
-            later = [r for r in rows if r[0] * 1000 >= now]
-            due += [r for r in rows if r[0] * 1000 < now]
-            if later:
-                self.held.updateValue((second,), (pickle.dumps(later),))
-                left = int(min(r[0] for r in later) * 1000) + 1
-            else:
-                self.held.removeKey((second,))
-        fold = pickle.loads(bytes(self.fold.get()[0])) if self.fold.exists() else self.make()
+        index, now, pages = self._open(), timerValues.getCurrentWatermarkInMs(), {}
+        index.timer = None  # it has fired
+        for rows in self._due(index, now):
+            out = []
+            for *values, page in rows:
+                folds = pages[page] if page in pages else self._page(index, pages, page)
+                own = self.key(values)
+                fold = folds.get(own)
+                if fold is None:
+                    fold = folds[own] = self.make()
+                out += fold.step(self.row._make(values))
+                fold.last_row = values[0]
+            yield pd.DataFrame(out, columns=self.out, dtype=object)
+        for page in [p for p, at in index.ends.items() if at is not None and at <= now]:
+            self._page(index, pages, page)
         out = []
-        for r in sorted(due, key=lambda r: r[:2]):
-            out += fold.step(SimpleNamespace(**dict(zip(self.columns, r, strict=True))))
-        last = max((r[0] for r in due), default=getattr(fold, "last_row", None))
-        end = None if last is None or self.idle is None else int((last + self.idle) * 1000) + 1
-        if left is None and (end is None or end <= now):
-            if self.idle is None or getattr(fold, "rests", lambda: False)():
-                self.fold.update((pickle.dumps(fold),))
-            else:
-                out += fold.end()
-                self.fold.clear()
-        else:
-            fold.last_row = last
-            self.fold.update((pickle.dumps(fold),))
-            if left is not None or end is not None:
-                self._wake(max(now + 1, end if left is None else left))
-        yield pd.DataFrame(out, columns=self.out)
+        for page, folds in pages.items():
+            for own, fold in list(folds.items()):
+                at = self._ends(fold)
+                if at is not None and at <= now and not getattr(fold, "rests", lambda: False)():
+                    out += fold.end()
+                    del folds[own]
+            self._keep(index, page, folds, now)
+        self._close(index, now + 1)
+        yield pd.DataFrame(out, columns=self.out, dtype=object)
 
     def close(self) -> None:
         pass
@@ -130,8 +192,12 @@ class Sorted(StatefulProcessor):
 def stream_fold(stream: DataFrame, keys: list[str], make: Callable[[], object], columns: list[str], schema: str, idle: float | None, initial: DataFrame | None = None) -> DataFrame:
     """columns start with ts and packet_id; initial: rows of keys and what their state takes. Needs the RocksDB state store."""
     out = [c.split()[0] for c in schema.split(", ")]
-    start = initial.groupBy(*keys) if initial is not None else None
-    return stream.groupBy(*keys).transformWithStateInPandas(Sorted(make, columns, out, idle), schema, "Append", "EventTime", start)
+    place = F.xxhash64(*keys)
+    shard, page = F.pmod(place, F.lit(SHARDS)).cast("int").alias("fold_shard"), F.pmod(F.shiftright(place, 32), F.lit(PAGES)).cast("int").alias("fold_page")
+    needed = {*columns, *keys, "event_time"}
+    rows = stream.select(*[c for c in stream.columns if c in needed], shard, page)
+    start = initial.select("*", shard, page).groupBy("fold_shard") if initial is not None else None
+    return rows.groupBy("fold_shard").transformWithStateInPandas(Sorted(make, keys, columns, out, idle), schema, "Append", "EventTime", start)
 
 
 FLOW_SCHEMA = (
