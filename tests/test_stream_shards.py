@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from tests.test_fixtures import syn, table
 from tests.test_streams_more import ROCKS
 from tracewell.functions.expressions import event_time
+from tracewell.operators.detectors import flood_events
 from tracewell.operators.flows import aggregate_flows
-from tracewell.operators.folds import sessionize
+from tracewell.operators.folds import FloodBuckets, FloodState, sessionize
 from tracewell.streaming import jobs as J
 
 
@@ -125,3 +126,48 @@ def test_flows_of_many_keys_are_few_rows_of_state(spark):
     assert sorted(tuple(r[c] for c in columns) for r in got) == sorted(tuple(r) for r in aggregate_flows(sessionize(whole), ("session_no",)).select(*columns).collect())
     # before, a row for each key and second, one for each key's fold and two or three for its timer
     assert max(s.numRowsTotal for p in q.recentProgress for s in p.stateOperators) < 3000
+
+
+def flood_rows(seed):
+    """Openings and acknowledgements of two targets, in bursts and between them."""
+    rng, rows, t = random.Random(seed), [], 1000.0
+    for burst in range(40):
+        t += rng.choice([0.5, 4.0, 5.0, 5.001, 5.002, 9.0, 30.0])
+        for _ in range(rng.choice([1, 3, 9, 30])):
+            t += rng.choice([0.0, 0.05, 0.125, 0.3])
+            n, target = rng.randrange(8), rng.choice(["v", "v", "w"])
+            rows.append(syn(t, f"s{n % 4}", target, 80, sport=1000 + n))
+            if rng.random() < 0.2 + 0.5 * (burst % 3 == 0):
+                rows.append(dict(syn(t + rng.choice([0.0, 0.01, 1.0]), target, f"s{n % 4}", 1000 + n, sport=80), flags="SA"))
+    return sorted(rows, key=lambda r: r["ts"])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_floods_gathered_by_bucket_are_those_of_the_batch(spark, seed):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    folder, rows = tempfile.mkdtemp(), flood_rows(seed)
+    whole = table(spark, rows)
+    cuts = [0.0, *[rows[len(rows) * k // 4]["ts"] for k in (1, 2, 3)], 1e9]
+    parts = [whole.where((F.col("ts") >= a) & (F.col("ts") < b)) for a, b in zip(cuts, cuts[1:])] + [table(spark, [syn(1e9, "end", "end", 1)])]
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.parquet(f"{folder}/in/k={k}")
+    stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*").withColumn("event_time", event_time(F.col("ts"))).withWatermark("event_time", "1 second")
+    got = []
+    J.run_available(J.stream_syn_flood(stream, 5.0, 6, 0.5), f"{folder}/progress", lambda b, n: got.extend(map(tuple, b.collect())), "append")
+    want = sorted(map(tuple, flood_events(whole, 5.0, 6, 0.5).collect()))
+    assert len(want) > 5 and sorted(got) == want
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_a_bucket_without_a_flood_near_is_not_gone_through(seed):
+    packets = [r | {"packet_id": k} for k, r in enumerate(flood_rows(seed)) if "v" in (r["src"], r["dst"])]
+    row = lambda r: SimpleNamespace(ts=r["ts"], packet_id=r["packet_id"], src=r["src"], pair=min((r["src"], r["sport"]), (r["dst"], r["dport"])) if r["flags"] == "S" else min((r["dst"], r["dport"]), (r["src"], r["sport"])), is_ack="A" in r["flags"], target="v")
+    rows, whole = [row(r) for r in packets], FloodState(5.0, 9, 0.5)
+    want = [x for r in rows for x in whole.step(r)]
+    fold, steps, out = FloodBuckets(5.0, 9, 0.5, 5.001), [], []
+    step = fold.fold.step
+    fold.fold.step = lambda r: steps.append(r.packet_id) or step(r)
+    for b in sorted({int(r.ts // 5.001) for r in rows}):
+        own = [r for r in rows if int(r.ts // 5.001) == b]
+        out += fold.step(SimpleNamespace(ts=b * 5.001, target="v", opened=sum(not r.is_ack for r in own), **{k: [getattr(r, c) for r in own] for k, c in {"times": "ts", "ids": "packet_id", "sources": "src", "pairs": "pair", "acks": "is_ack"}.items()}))
+    assert out == want and steps == sorted(set(steps)) and len(steps) < len(rows)

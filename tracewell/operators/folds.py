@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
+from collections import deque, namedtuple
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -175,6 +175,37 @@ class FloodState:
         return []
 
 
+FloodPacket = namedtuple("FloodPacket", "ts packet_id src pair is_ack target")
+
+
+class FloodBuckets:
+    """FloodState over buckets of one target's packets, each at least as wide as the window: only where a bucket and the one before it hold `threshold` opened
+    connections is an alert possible in it, and just such buckets and those before them are gone through packet by packet."""
+
+    def __init__(self, window: float, threshold: int, ratio: float, width: float):
+        self.fold, self.width, self.before = FloodState(window, threshold, ratio), width, None
+
+    def step(self, row) -> list[tuple]:
+        before, out = self.before, []
+        near = before is not None and row.ts - before[0] < 1.5 * self.width
+        hot = row.opened + (before[1] if near else 0) >= self.fold.threshold
+        own = (row.times, row.ids, row.sources, row.pairs, row.acks)
+        if hot and near and before[2] is not None:
+            out += self.packets(row.target, before[2])  # no alert is in these
+        out += self.packets(row.target, own) if hot else []
+        self.before = (row.ts, row.opened, None if hot else own)
+        return out
+
+    def packets(self, target: str, columns: tuple) -> list[tuple]:
+        out = []
+        for packet in zip(*(x if isinstance(x, list) else x.tolist() for x in columns), strict=True):
+            out += self.fold.step(FloodPacket(*packet, target))
+        return out
+
+    def end(self) -> list[tuple]:
+        return []
+
+
 class BurstState:
     """Distinct subdomains that a source asks of one parent in a sliding window, for each query; an empty subdomain is none."""
 

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ..functions.expressions import canonical_flow_key, flow_key_text, protocol_bucket, pure_syn
 from ..operators.detectors import FLOOD_SCHEMA, NAME_COLUMNS, arp_claims, flood_packets, name_queries, scored_names
-from ..operators.folds import BurstState, ClaimState, CooldownState, FloodState, FlowState, HoldState, ScanState
+from ..operators.folds import BurstState, ClaimState, CooldownState, FloodBuckets, FlowState, HoldState, ScanState
 from ..operators.reports import SKETCH_BITS
 from ..sources.tables import Table
 
@@ -41,7 +41,7 @@ def stream_gap_flows(stream: DataFrame, gap: str = "60 seconds") -> DataFrame:
 
 #: Keys are dealt to so many groups of state, and a group's folds to so many pages; a stream's checkpoint depends on both.
 SHARDS, PAGES = 256, 64
-#: Held rows are kept in chunks of about so many.
+#: Held rows are kept in chunks of about so many, or of so much weight.
 CHUNK = 50_000
 
 
@@ -52,16 +52,16 @@ class Sorted(StatefulProcessor):
     seconds past its last row. Every access to state is a round trip between Python and the JVM, so a group is not a key but a shard of keys: rows are held in
     chunks in order of time, folds in pages of several keys, and the index says when a chunk begins and when a page's first fold ends. A batch reads and writes
     the chunks that the watermark has reached and the pages of their rows alone. A shard has one timer; when that fires, all rows behind the watermark are folded
-    at once, chunk by chunk in order of time, so memory holds the chunks that overlap."""
+    at once, chunk by chunk in order of time, so memory holds the chunks that overlap. weight: a column that says how much a row is, where rows hold arrays."""
 
-    def __init__(self, make: Callable[[], object], keys: list[str], columns: list[str], out: list[str], idle: float | None):
-        self.make, self.out, self.idle = make, out, idle
+    def __init__(self, make: Callable[[], object], keys: list[str], columns: list[str], out: list[str], idle: float | None, weight: str | None = None):
+        self.make, self.out, self.idle, self.weight = make, out, idle, weight
         self.columns = [*columns, *[k for k in keys if k not in columns]]
         self.key = itemgetter(*[self.columns.index(k) for k in keys])
         self.keys, self.row = keys, namedtuple("Row", self.columns)
 
     def __reduce__(self):
-        return Sorted, (self.make, self.keys, self.columns, self.out, self.idle)
+        return type(self), (self.make, self.keys, self.columns, self.out, self.idle, self.weight)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -122,22 +122,26 @@ class Sorted(StatefulProcessor):
         self.index.update((pickle.dumps(vars(index)),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        index, some = self._open(), []
+        index, some, weight = self._open(), [], 0
 
         def hold() -> None:
-            new = pd.concat(some, ignore_index=True).sort_values(self.columns[:2], kind="stable") if some else None
+            new = pd.concat(some, ignore_index=True).sort_values(self.columns[:2], kind="stable")
             some.clear()
-            if new is not None:
-                if new[self.columns[0]].isna().any():
-                    raise ValueError("a row without ts has no place in time")
-                # what is null in a column of numbers is NaN in pandas
-                self._hold(index, [new[c].tolist() if not new[c].isna().any() else new[c].astype(object).where(new[c].notna(), None).tolist() for c in [*self.columns, "fold_page"]])
+            if new[self.columns[0]].isna().any():
+                raise ValueError("a row without ts has no place in time")
+            # what is null in a column of numbers is NaN in pandas
+            self._hold(index, [new[c].tolist() if not new[c].isna().any() else new[c].astype(object).where(new[c].notna(), None).tolist() for c in new.columns])
 
         for batch in rows:
-            some.append(batch[[*self.columns, "fold_page"]])
-            if sum(map(len, some)) >= CHUNK:
-                hold()
-        hold()
+            sums = batch[self.weight].cumsum() if self.weight else pd.Series(range(1, len(batch) + 1), index=batch.index)
+            for _, part in batch[[*self.columns, "fold_page"]].groupby((sums - 1) // CHUNK):
+                some.append(part)
+                weight += part[self.weight].sum() if self.weight else len(part)
+                if weight >= CHUNK:
+                    hold()
+                    weight = 0
+        if some:
+            hold()
         self._close(index)
         yield pd.DataFrame(columns=self.out)
 
@@ -189,7 +193,7 @@ class Sorted(StatefulProcessor):
         pass
 
 
-def stream_fold(stream: DataFrame, keys: list[str], make: Callable[[], object], columns: list[str], schema: str, idle: float | None, initial: DataFrame | None = None) -> DataFrame:
+def stream_fold(stream: DataFrame, keys: list[str], make: Callable[[], object], columns: list[str], schema: str, idle: float | None, initial: DataFrame | None = None, weight: str | None = None) -> DataFrame:
     """columns start with ts and packet_id; initial: rows of keys and what their state takes. Needs the RocksDB state store."""
     out = [c.split()[0] for c in schema.split(", ")]
     place = F.xxhash64(*keys)
@@ -197,7 +201,7 @@ def stream_fold(stream: DataFrame, keys: list[str], make: Callable[[], object],
     needed = {*columns, *keys, "event_time"}
     rows = stream.select(*[c for c in stream.columns if c in needed], shard, page)
     start = initial.select("*", shard, page).groupBy("fold_shard") if initial is not None else None
-    return rows.groupBy("fold_shard").transformWithStateInPandas(Sorted(make, keys, columns, out, idle), schema, "Append", "EventTime", start)
+    return rows.groupBy("fold_shard").transformWithStateInPandas(Sorted(make, keys, columns, out, idle, weight), schema, "Append", "EventTime", start)
 
 
 FLOW_SCHEMA = (
@@ -226,8 +230,18 @@ def stream_port_scan(stream: DataFrame, window: float = 10.0, threshold: int = 1
 
 
 def stream_syn_flood(stream: DataFrame, window: float = 5.0, threshold: int = 40, ratio: float = 0.8) -> DataFrame:
-    columns = ["ts", "packet_id", "src", "target", "pair", "is_ack"]
-    return stream_fold(flood_packets(stream), ["target"], lambda: FloodState(window, threshold, ratio), columns, FLOOD_SCHEMA, window)
+    """What flood_events gives. Spark gathers packets by target and time bucket, a bit wider than the window, so a busy target is many groups, and a bucket is one row
+    of the fold, which goes through its packets just where an alert is possible. An alert comes when the watermark has passed its bucket."""
+    width = int(window * 1000) + 1
+    packet = F.struct("ts", "packet_id", "src", "pair", "is_ack")
+    g = flood_packets(stream).groupBy("target", F.window("event_time", f"{width} milliseconds").alias("w"))
+    g = g.agg(F.count_if(~F.col("is_ack")).alias("opened"), F.count("*").alias("packets"), F.collect_list(packet).alias("rows"))
+    rows = g.select("target", "opened", "packets", F.sort_array("rows").alias("rows"), (F.unix_micros("w.start") / 1_000_000).alias("ts"), F.lit(0).cast("long").alias("packet_id"), F.window_time("w").alias("event_time"))
+    lists = {"times": "ts", "ids": "packet_id", "sources": "src", "pairs": "pair", "acks": "is_ack"}
+    rows = rows.select("target", "opened", "packets", "ts", "packet_id", "event_time", *[F.col(f"rows.{c}").alias(k) for k, c in lists.items()])
+    make = lambda: FloodBuckets(window, threshold, ratio, width / 1000)
+    # a bucket that comes when the watermark is four widths past another's start begins after that one's end and the window behind it
+    return stream_fold(rows, ["target"], make, ["ts", "packet_id", "target", "opened", "packets", *lists], FLOOD_SCHEMA, 4 * width / 1000, weight="packets")
 
 
 def stream_dns_scores(stream: DataFrame, window: float = 15.0, **options) -> DataFrame:
